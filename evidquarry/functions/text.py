@@ -32,20 +32,24 @@ def subtokens(token: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def tokens(value: Column) -> Column:
-    """Whole tokens plus identifier parts, in order, with repeats."""
+def raw_tokens(value: Column) -> Column:
+    """Tokens and identifier parts in their original case (lower them once exploded)."""
     found = F.regexp_extract_all(value, _lit(TOKEN_PATTERN), 0)
-    plain = F.transform(found, F.lower)
     expanded = F.flatten(
         F.transform(
             found,
             lambda token: F.concat(
-                F.array(F.lower(token)), F.coalesce(subtokens(token), F.array().cast("array<string>"))
+                F.array(token), F.coalesce(subtokens(token), F.array().cast("array<string>"))
             ),
         )
     )
     # Prose without any compound token takes the cheap branch.
-    return F.when(value.rlike(HAS_BOUNDARY), expanded).otherwise(plain)
+    return F.when(value.rlike(HAS_BOUNDARY), expanded).otherwise(found)
+
+
+def tokens(value: Column) -> Column:
+    """Whole tokens plus identifier parts, lower-cased, in order, with repeats."""
+    return F.transform(raw_tokens(value), F.lower)
 
 
 def fold_accents(value: Column) -> Column:

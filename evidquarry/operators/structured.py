@@ -265,7 +265,11 @@ def section_identity() -> list[Column]:
 
 
 def render_changelog(text: Column) -> Column:
-    """Change entries as ``field: from → to`` lines; other text is left alone."""
+    """Change entries as ``field: from → to`` lines; other text is left alone.
+
+    The JSON reader stops after the first value, so text that holds several lists
+    (joined from parts by line breaks) is excluded by shape first.
+    """
     parsed = F.from_json(text, "array<struct<field:string,fromString:string,toString:string>>")
 
     def line(change: Column) -> Column:
@@ -277,7 +281,7 @@ def render_changelog(text: Column) -> Column:
         )
 
     return F.when(
-        text.startswith("[") & parsed.isNotNull(), F.array_join(F.transform(parsed, line), "\n")
+        text.rlike(r"(?s)^\[.*\]$") & ~text.rlike(r"\]\s*\n\s*\[") & parsed.isNotNull(), F.array_join(F.transform(parsed, line), "\n")
     ).otherwise(text)
 
 

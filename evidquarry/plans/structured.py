@@ -88,9 +88,9 @@ def a5_detail(t):
 _SECTION_CTES = (
     "sections",
     ("parts", "SELECT cloud_id, issue_key, section_kind, event_id, trim(page_content, ' ' || chr(10)) AS body, "
-     "min({'o': chunk_ordinal, 'i': ord}) AS at FROM sections "
+     "min({'o': chunk_ordinal, 'i': ord}) AS pos_ FROM sections "
      "WHERE trim(page_content, ' ' || chr(10)) <> '' GROUP BY ALL"),
-    ("bodies", "SELECT cloud_id, issue_key, section_kind, event_id, string_agg(body, chr(10) ORDER BY at) AS txt "
+    ("bodies", "SELECT cloud_id, issue_key, section_kind, event_id, string_agg(body, chr(10) ORDER BY pos_) AS txt "
      "FROM parts GROUP BY ALL"),
     ("heads", "SELECT cloud_id, issue_key, section_kind, event_id, "
      "arg_min(event_date, {'o': chunk_ordinal, 'i': ord}) AS event_date, arg_min(event_date, ord) AS sort_date, "
@@ -100,7 +100,7 @@ _SECTION_CTES = (
      "FROM heads h LEFT JOIN bodies USING (cloud_id, issue_key, section_kind, event_id)"),
 )
 _CHANGE = (
-    "CASE WHEN section_kind = 'CHANGELOG' AND body LIKE '[%' AND json_valid(body) THEN "
+    "CASE WHEN section_kind = 'CHANGELOG' AND body LIKE '[%' AND instr(body, chr(10)) = 0 THEN "
     "array_to_string(list_transform(CAST(json(body) AS JSON[]), lambda c: (c->>'field') || ': ' || "
     "coalesce(nullif(c->>'fromString', ''), 'not set') || ' → ' || coalesce(nullif(c->>'toString', ''), 'not set')), "
     "chr(10)) ELSE body END"

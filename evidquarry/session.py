@@ -51,3 +51,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def fits_within(df: DataFrame, limit: int) -> bool:
     """True when *df* has at most *limit* rows; reads no more than limit + 1 rows."""
     return df.limit(limit + 1).count() <= limit
+
+
+def balanced(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a frame read from fewer splits than there are cores.
+
+    Large inputs already arrive in more splits than cores and are returned as they
+    are; only a small file would otherwise leave CPU-heavy text work on one core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    except AttributeError:  # a remote client has no plan at hand
+        return df
+    return df if splits >= cores else df.repartition(cores, *keys)
