@@ -1,4 +1,4 @@
 """Registered queries; importing this package fills the registry."""
 
-from evidquarry.plans import retrieval, structured  # noqa: F401
+from evidquarry.plans import evaluation, retrieval, structured, text  # noqa: F401
 from evidquarry.plans.registry import ORACLES, QUERIES  # noqa: F401

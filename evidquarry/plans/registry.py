@@ -25,6 +25,7 @@ def query(name: str, sql: str | None = None):
             return fn(Tables(spark, folder))
 
         run.__doc__ = fn.__doc__
+        run.module = fn.__module__.rsplit(".", 1)[-1]
         QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql

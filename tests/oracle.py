@@ -76,7 +76,8 @@ def main(argv):
     con = connect(folder)
     bad = []
     for name in QUERIES:
-        if wanted and not any(name.startswith(w) for w in wanted):
+        module = QUERIES[name].module
+        if wanted and not any(name.startswith(w) or module == w for w in wanted):
             continue
         try:
             ok, note = compare(spark, con, folder, name, QUERIES[name], ORACLES.get(name))
