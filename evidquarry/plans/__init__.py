@@ -1,4 +1,4 @@
 """Registered queries; importing this package fills the registry."""
 
-from evidquarry.plans import corpus, evaluation, evidence, retrieval, routing, structured, text  # noqa: F401
+from evidquarry.plans import composites, corpus, evaluation, evidence, retrieval, routing, structured, text  # noqa: F401
 from evidquarry.plans.registry import ORACLES, QUERIES  # noqa: F401
