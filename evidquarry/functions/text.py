@@ -47,6 +47,21 @@ def raw_tokens(value: Column) -> Column:
     return F.when(value.rlike(HAS_BOUNDARY), expanded).otherwise(found)
 
 
+def token_bag(value: Column) -> Column:
+    """The same tokens in any order: only compound tokens are looked at twice."""
+    found = F.regexp_extract_all(value, _lit(TOKEN_PATTERN), 0)
+    compound = F.filter(found, lambda token: token.rlike(HAS_BOUNDARY))
+    parts = F.transform(compound, lambda token: F.coalesce(subtokens(token), F.array().cast("array<string>")))
+    return F.when(value.rlike(HAS_BOUNDARY), F.concat(found, F.flatten(parts))).otherwise(found)
+
+
+def token_count(value: Column) -> Column:
+    """Number of tokens, without building them for text that has no compound token."""
+    return F.when(value.rlike(HAS_BOUNDARY), F.size(token_bag(value))).otherwise(
+        F.regexp_count(value, _lit(TOKEN_PATTERN))
+    )
+
+
 def tokens(value: Column) -> Column:
     """Whole tokens plus identifier parts, lower-cased, in order, with repeats."""
     return F.transform(raw_tokens(value), F.lower)

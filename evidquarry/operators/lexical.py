@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from evidquarry.functions.text import raw_tokens, tokens
+from evidquarry.functions.text import token_bag, token_count, tokens
 from evidquarry.session import balanced
 
 # Saturation, length normalisation, score precision.
@@ -44,34 +44,47 @@ def searchable_text(chunks: DataFrame) -> Column:
     return F.concat_ws(" ", *[F.nullif(part, F.lit("")) for part in parts])
 
 
-def _weighted_tokens(chunks: DataFrame) -> Column:
-    """Tokens of the searchable text, tokenizing every field only once.
-
-    A space never sits inside a token, so repeating a field's tokens equals
-    tokenizing the text in which the field is repeated.
-    """
+def _searchable_fields(chunks: DataFrame) -> list[tuple[Column, int]]:
     types = dict(chunks.dtypes)
-    parts = [raw_tokens(F.col("page_content"))]
+    fields = [(F.col("page_content"), 1)]
     for field, weight in FIELD_WEIGHTS.items():
         if field in types:
             value = F.array_join(F.col(field), " ") if types[field].startswith("array") else F.col(field)
-            found = F.coalesce(raw_tokens(value), F.array().cast("array<string>"))
-            parts.append(F.flatten(F.array_repeat(found, weight)))
-    return F.concat(*parts)
+            fields.append((value, weight))
+    return fields
 
 
-def tokenized(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, tokens, length) per chunk; tokens keep their case until exploded."""
+def prepared(chunks: DataFrame) -> DataFrame:
+    """The searchable fields of every chunk, spread over the available cores."""
     columns = ["chunk_id", "page_content", *[f for f in FIELD_WEIGHTS if f in chunks.columns]]
-    rows = balanced(chunks.select(*columns), "chunk_id")
-    return rows.select("chunk_id", _weighted_tokens(rows).alias("tokens")).withColumn("length", F.size("tokens"))
+    return balanced(chunks.select(*columns), "chunk_id")
+
+
+def _length(corpus: DataFrame) -> Column:
+    counts = [F.coalesce(token_count(value), F.lit(0)) * weight for value, weight in _searchable_fields(corpus)]
+    return sum(counts[1:], counts[0])
+
+
+def _tokens(corpus: DataFrame) -> Column:
+    """All tokens, a weighted field's repeated: a space never sits inside a token, so
+    this equals tokenizing the text in which the field itself is repeated."""
+    none = F.array().cast("array<string>")
+    parts = []
+    for value, weight in _searchable_fields(corpus):
+        found = F.coalesce(token_bag(value), none)
+        parts.append(found if weight == 1 else F.flatten(F.array_repeat(found, weight)))
+    return F.concat(*parts)
 
 
 def postings(corpus: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, length, term, tf), optionally only for the given terms."""
-    rows = corpus.select("chunk_id", "length", F.explode("tokens").alias("term")).withColumn(
-        "term", F.lower("term")
-    )
+    """(chunk_id, length, term, tf), optionally only for the given terms.
+
+    The length is a column before the explode and the token array is the generator's own
+    expression: otherwise one would be computed, or the other copied, per exploded row.
+    """
+    sized = corpus.withColumn("length", _length(corpus))
+    rows = sized.select("chunk_id", "length", F.explode(_tokens(corpus)).alias("term"))
+    rows = rows.withColumn("term", F.lower("term"))
     if terms is not None:
         rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
     return rows.groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -83,7 +96,7 @@ def document_frequency(posting_rows: DataFrame) -> DataFrame:
 
 def corpus_stats(corpus: DataFrame) -> DataFrame:
     """One struct, so that its users share a single scalar subquery."""
-    return corpus.agg(
+    return corpus.select(_length(corpus).alias("length")).agg(
         F.struct(
             F.count(F.lit(1)).alias("n"), F.greatest(F.avg("length"), F.lit(1.0)).alias("avg_length")
         ).alias("stats")
@@ -103,35 +116,46 @@ def term_weight(tf: Column, df: Column, length: Column, n: Column, avg_length: C
     return idf * (tf * F.lit(K1 + 1)) / (tf + F.lit(K1) * norm)
 
 
-def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int, order: str = "chunk_id") -> DataFrame:
-    """Top *k* chunks per query: query_id, chunk_id, lexical_score, lexical_rank.
-
-    Chunks without a matching term score 0 and rank after all others in input
-    order; only the first *k* chunks by order can ever be needed for that padding.
-    """
-    corpus = tokenized(chunks)
+def scored_pairs(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, raw score, matched terms) of every pair that shares a term."""
+    corpus = prepared(chunks)
     terms = query_terms(queries)
     hits = postings(corpus, terms)
     stats = corpus_stats(corpus).scalar()
     weighted = hits.join(document_frequency(hits), "term").select(
         "chunk_id",
         "term",
-        term_weight(
-            F.col("tf"), F.col("df"), F.col("length"),
-            stats["n"], stats["avg_length"],
-        ).alias("w"),
+        term_weight(F.col("tf"), F.col("df"), F.col("length"), stats["n"], stats["avg_length"]).alias("w"),
     )
-    scored = terms.join(weighted, "term").select("query_id", "chunk_id", "w")
-    first = chunks.select(F.col(order).alias("chunk_id")).orderBy("chunk_id").limit(k)
-    padding_ids = first.agg(F.collect_list("chunk_id").alias("ids")).scalar()
-    padding = queries.select("query_id", F.explode(padding_ids).alias("chunk_id"), F.lit(0.0).alias("w"))
-    total = (
-        scored.unionByName(padding)
+    return (
+        terms.join(weighted, "term")
         .groupBy("query_id", "chunk_id")
-        .agg(F.round(F.sum("w"), DIGITS).alias("lexical_score"))
+        .agg(F.round(F.sum("w"), DIGITS).alias("lexical_score"), F.count(F.lit(1)).alias("matched"))
+        # both results stay in the aggregate, so its users can share one shuffle
+        .where((F.col("lexical_score") >= 0) & (F.col("matched") > 0))
     )
+
+
+def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int, order: str = "chunk_id") -> DataFrame:
+    """Top *k* chunks per query: query_id, chunk_id, lexical_score, lexical_rank.
+
+    Chunks without a matching term score 0 and rank after all others in input
+    order; only the first *k* chunks by order can ever be needed for that padding,
+    and the k best of the matching ones already decide which of them are free.
+    """
     best = Window.partitionBy("query_id").orderBy(F.desc("lexical_score"), F.asc("chunk_id"))
-    return total.withColumn("lexical_rank", F.row_number().over(best)).where(F.col("lexical_rank") <= k)
+    top = (
+        scored_pairs(chunks, queries)
+        .withColumn("rn", F.row_number().over(best))
+        .where(F.col("rn") <= k)
+        .select("query_id", "chunk_id", "lexical_score")
+    )
+    first = chunks.select(F.col(order).alias("chunk_id")).orderBy("chunk_id").limit(k)
+    padding_ids = first.agg(F.collect_list("chunk_id").alias("ids")).scalar()
+    padding = queries.select("query_id", F.explode(padding_ids).alias("chunk_id"), F.lit(0.0).alias("lexical_score"))
+    # at most 2k rows per query remain; a chunk found both ways keeps its real score
+    merged = top.unionByName(padding).groupBy("query_id", "chunk_id").agg(F.max("lexical_score").alias("lexical_score"))
+    return merged.withColumn("lexical_rank", F.row_number().over(best)).where(F.col("lexical_rank") <= k)
 
 
 def max_normalised(ranked: DataFrame) -> DataFrame:
@@ -149,7 +173,7 @@ def rare_threshold(frequencies: DataFrame) -> DataFrame:
 
 def rare_query_terms(chunks: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
     """First rare terms of each query, in question order."""
-    frequencies = document_frequency(postings(tokenized(chunks)))
+    frequencies = document_frequency(postings(prepared(chunks)))
     threshold = rare_threshold(frequencies).scalar()
     terms = queries.select(
         "query_id",

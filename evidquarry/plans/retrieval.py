@@ -73,7 +73,7 @@ FUSE_CTES = (
 RERANK_CTES = (
     *FUSE_CTES,
     ("qs", "SELECT query_id, list(term) AS terms FROM qt GROUP BY 1"),
-    ("dt", f"SELECT chunk_id, list_distinct({sql_tokens('page_content')}) AS dterms FROM chunks"),
+    ("dt", "SELECT chunk_id, list_distinct(tk) AS dterms FROM toks"),
     ("rr", "SELECT cand.*, round(1 / (1 + exp(-(8.0 * len(list_intersect(terms, dterms)) / len(terms) - 4))), 6) "
      "AS rerank_score FROM cand JOIN qs USING (query_id) JOIN dt USING (chunk_id)"),
 )
@@ -120,16 +120,21 @@ def with_variants(df):
     return df.withColumn("primary_rank", F.col("lexical_rank")).withColumn("variant_ranks", F.map_from_entries(ranks))
 
 
-def token_overlap_scores(pool, asked):
-    """Offline stand-in for a cross-encoder: question-term overlap, as a probability."""
-    terms = asked.select("query_id", F.array_distinct(tokens(F.col("question"))).alias("terms"))
-    share = F.size(F.array_intersect("terms", tokens(F.col("page_content")))) / F.size("terms")
+def token_overlap_scores(pool, chunks, asked):
+    """Offline stand-in for a cross-encoder: question-term overlap, as a probability.
+
+    The overlap is a by-product of lexical scoring, so no text is tokenized again.
+    """
+    size = asked.select("query_id", F.size(F.array_distinct(tokens(F.col("question")))).alias("n_terms"))
+    matched = lexical.scored_pairs(chunks, asked).select("query_id", "chunk_id", "matched")
+    joined = pool.join(matched, ["query_id", "chunk_id"], "left").join(size, "query_id")
+    share = F.coalesce("matched", F.lit(0)) / F.col("n_terms")
     logit = F.lit(8.0) * share - F.lit(4.0)
-    return pool.join(terms, "query_id").withColumn("rerank_score", F.round(1 / (1 + F.exp(-logit)), 6)).drop("terms")
+    return joined.withColumn("rerank_score", F.round(1 / (1 + F.exp(-logit)), 6)).drop("matched", "n_terms")
 
 
 def reranked(t):
-    return token_overlap_scores(candidates(t), questions(t))
+    return token_overlap_scores(candidates(t), t.chunks(), questions(t))
 
 
 # ---- scans ----------------------------------------------------------------------
@@ -314,7 +319,7 @@ def p6_searchable_text(t):
 @query("a10_term_index", ctes(*LEX_CTES[:4]) + """
 SELECT term, df, (SELECT sum(tf) FROM post p WHERE p.term = dfs.term) AS cf FROM dfs""")
 def a10_term_index(t):
-    rows = lexical.postings(lexical.tokenized(t.chunks()))
+    rows = lexical.postings(lexical.prepared(t.chunks()))
     return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
@@ -322,7 +327,7 @@ def a10_term_index(t):
 SELECT term, count(*) AS hits, sum(tf) AS tf, max(df) AS df FROM post JOIN dfs USING (term)
 WHERE term IN (SELECT term FROM qt) GROUP BY 1""")
 def j1_postings_join(t):
-    hits = lexical.postings(lexical.tokenized(t.chunks()), lexical.query_terms(questions(t)))
+    hits = lexical.postings(lexical.prepared(t.chunks()), lexical.query_terms(questions(t)))
     joined = hits.join(lexical.document_frequency(hits), "term")
     return joined.groupBy("term").agg(
         F.count(F.lit(1)).alias("hits"), F.sum("tf").alias("tf"), F.max("df").alias("df")
