@@ -8,6 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from evidquarry.functions.text import tokens
 from evidquarry.operators import dense, fusion, lexical, ranking as R, scans
+from evidquarry.operators.neighbors import expand_neighbors
 from evidquarry.plans.registry import ctes, query
 from evidquarry.sources.tables import CALLER_POLICIES, PROJECT
 
@@ -741,6 +742,12 @@ def j5_neighbor_join(t):
     return scans.neighbor_pairs(pool, pool.where(F.col("ord") <= 12)).select("query_id", "anchor_id", "chunk_id")
 
 
+@query("j5_neighbor_expand", None)
+def j5_neighbor_expand(t):
+    """Sequential caps: checked against a direct computation in the tests."""
+    return expand_neighbors(candidates(t).withColumn("source_version", F.lit("1")), 16, 2, 3)
+
+
 @query("u2_union_precedence", ctes(*FUSE_CTES, ("u", """
 SELECT query_id, chunk_id, 0 AS c, ord AS o FROM cand WHERE source_type = 'PAGE'
 UNION ALL SELECT query_id, chunk_id, 1, lexical_rank FROM cand WHERE lexical_rank <= 10 UNION ALL SELECT query_id, chunk_id, 2, ord FROM cand""")) + """
