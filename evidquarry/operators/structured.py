@@ -301,14 +301,14 @@ def sections(chunks: DataFrame) -> DataFrame:
         .agg(F.min("at").alias("at"))
     )
     leading = distinct_parts.withColumn(
-        "rn", F.row_number().over(Window.partitionBy(*keys).orderBy("at"))
+        "rn", F.row_number().over(Window.partitionBy(*keys).orderBy("at", "body"))
     ).where(F.col("rn") <= SECTION_PARTS)
     bodies = leading.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("rn", "body"))).alias("parts")
     )
     heads = chunks.groupBy(*keys).agg(
-        F.min_by(F.col("event_date"), F.struct("chunk_ordinal", "ord")).alias("event_date"),
-        F.min_by(F.col("event_date"), F.col("ord")).alias("sort_date"),
+        F.min_by(F.col("event_date"), F.struct("chunk_ordinal", "ord", "event_date")).alias("event_date"),
+        F.min_by(F.col("event_date"), F.struct("ord", "event_date")).alias("sort_date"),
         F.count(F.lit(1)).alias("chunks"),
     )
     text = F.array_join(F.transform("parts", lambda p: p["body"]), "\n")

@@ -90,10 +90,10 @@ _SECTION_CTES = (
     ("parts", "SELECT cloud_id, issue_key, section_kind, event_id, trim(page_content, ' ' || chr(10)) AS body, "
      "min({'o': chunk_ordinal, 'i': ord}) AS pos_ FROM sections "
      "WHERE trim(page_content, ' ' || chr(10)) <> '' GROUP BY ALL"),
-    ("bodies", "SELECT cloud_id, issue_key, section_kind, event_id, string_agg(body, chr(10) ORDER BY pos_) AS txt "
+    ("bodies", "SELECT cloud_id, issue_key, section_kind, event_id, string_agg(body, chr(10) ORDER BY pos_, body) AS txt "
      "FROM parts GROUP BY ALL"),
     ("heads", "SELECT cloud_id, issue_key, section_kind, event_id, "
-     "arg_min(event_date, {'o': chunk_ordinal, 'i': ord}) AS event_date, arg_min(event_date, ord) AS sort_date, "
+     "arg_min(event_date, {'o': chunk_ordinal, 'i': ord, 'd': event_date}) AS event_date, arg_min(event_date, {'i': ord, 'd': event_date}) AS sort_date, "
      "count(*) AS chunks FROM sections GROUP BY ALL"),
     ("stripped", "SELECT h.*, CASE WHEN upper(txt) LIKE section_kind || ' %' "
      "THEN trim(regexp_replace(txt, '^[^\n]*\n?', ''), ' ' || chr(10)) ELSE txt END AS body "
