@@ -1,7 +1,7 @@
 """Operators of a training-data pipeline; each module registers its query and SQL."""
 
-from evidquarry.llm import bpe, decontamination, near_dedup, token_counts
+from evidquarry.llm import bpe, chat_format, decontamination, near_dedup, sharding, token_counts, topk_search, warc
 
-MODULES = (decontamination, token_counts, near_dedup, bpe)
+MODULES = (decontamination, topk_search, sharding, token_counts, near_dedup, warc, chat_format, bpe)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
