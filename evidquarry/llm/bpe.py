@@ -138,29 +138,30 @@ def _portions(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, n_tokens, token_ids, decoded) per document."""
-    return _with_codec(docs, path, id_col, text_col, "n_tokens long, token_ids array<int>, decoded string", lambda packed, text: (
-        pa.array([len(p) // 4 for p in packed], pa.int64()),
-        pa.array([np.frombuffer(p, "<i4") for p in packed], pa.list_(pa.int32())),
-        pa.array(text, pa.string()),
-    ))
-
-
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, n_tokens, ids_sha256, decoded_sha256) per document."""
-    digest = lambda data: hashlib.sha256(data).hexdigest()
-    return _with_codec(docs, path, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda packed, text: (
-        pa.array([len(p) // 4 for p in packed], pa.int64()),
-        pa.array([digest(p) for p in packed]),
-        pa.array([digest(t.encode("utf-8", "surrogatepass")) for t in text]),
-    ))
-
-
-def _with_codec(docs: DataFrame, path: str, id_col: str, text_col: str, columns: str, build) -> DataFrame:
+def _digest(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
+_COLUMNS = {
+    "n_tokens": ("long", lambda packed, texts: pa.array([len(p) // 4 for p in packed], pa.int64())),
+    "token_ids": ("array<int>", lambda packed, texts: pa.array([np.frombuffer(p, "<i4") for p in packed], pa.list_(pa.int32()))),
+    "decoded": ("string", lambda packed, texts: pa.array(texts, pa.string())),
+    "ids_sha256": ("string", lambda packed, texts: pa.array(map(_digest, packed), pa.string())),
+    "decoded_sha256": ("string", lambda packed, texts: pa.array([_digest(t.encode("utf-8", "surrogatepass")) for t in texts], pa.string())),
+}
+
+
+def encoded(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = ("n_tokens", "token_ids", "decoded"),
+) -> DataFrame:
+    """One row per document: its id and the *columns* asked for.
+
+    n_tokens; token_ids; decoded (the text decoded from the ids again); ids_sha256 (of the
+    ids as little-endian unsigned 32-bit integers); decoded_sha256 (of the decoded text).
+    """
     with open(path, encoding="utf-8") as file:
         sent = docs.sparkSession.sparkContext.broadcast(file.read())
-    names = ["id", *(c.split()[0] for c in columns.split(", "))]
+    names = ["id", *columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent.value)
@@ -168,21 +169,23 @@ def _with_codec(docs: DataFrame, path: str, id_col: str, text_col: str, columns:
             at = 0
             for texts in _portions([t.as_py() or "" for t in batch.column(1)]):
                 packed = codec.encode_all(texts)
+                decoded = [codec.decode(p) for p in packed]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), *build(packed, [codec.decode(p) for p in packed])], names=names)
+                    [batch.column(0).slice(at, len(texts)), *(_COLUMNS[c][1](packed, decoded) for c in columns)], names=names)
                 at += len(texts)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .mapInArrow(run, f"id {kind}, {columns}").withColumnRenamed("id", id_col)
+        .mapInArrow(run, ", ".join([f"id {kind}", *(f"{c} {_COLUMNS[c][0]}" for c in columns)])).withColumnRenamed("id", id_col)
     )
 
 
 def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return encoded(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 QUERIES = {"op10_trie_bpe": op10_trie_bpe}

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,28 +88,32 @@ class Probe:
         return out
 
 
-def contained_items(
-    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text",
-    item_id: str = "item_id", item_text: str = "text", least_per_cent: int = 80,
-) -> DataFrame:
-    """One row (doc, item, n_item, n_shared, containment) per item found in a document."""
-    spark = docs.sparkSession
+def _probes(items: DataFrame, item_id: str, item_text: str, least_per_cent: int) -> Iterator[Broadcast]:
+    """The items in blocks, each sent to the tasks; the driver holds one block at a time."""
+    spark = items.sparkSession
     sets = stored(
         items.select(F.col(item_id).cast("long"), F.col(item_text))
         .mapInArrow(_item_sets, "item long, n long, hashes array<long>").where("n > 0"),
         "items",
     )
     total = sets.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_SHINGLES))
+    blocks = -(-total // BLOCK_SHINGLES)
+    for block in range(blocks):
+        rows = sets.where(F.pmod(F.xxhash64("item", "hashes"), F.lit(blocks)) == block).collect()
+        if rows:
+            yield spark.sparkContext.broadcast(Probe(
+                [r.item for r in rows], [np.array(r.hashes, np.int64).view(np.uint64) for r in rows], 100 - least_per_cent))
+
+
+def contained_items(
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text",
+    item_id: str = "item_id", item_text: str = "text", least_per_cent: int = 80,
+) -> DataFrame:
+    """One row (doc, item, n_item, n_shared, containment) per item found in a document."""
     texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(doc_text).alias("text"))
     schema = "doc long, item long, n_item long, n_shared long"
-    parts = []
-    for block in range(blocks):
-        rows = sets.where(F.pmod(F.xxhash64("hashes"), F.lit(blocks)) == block).collect()
-        if not rows:
-            continue
-        probe = spark.sparkContext.broadcast(
-            Probe([r.item for r in rows], [np.array(r.hashes, np.int64).view(np.uint64) for r in rows], 100 - least_per_cent))
+    result = docs.sparkSession.createDataFrame([], schema)
+    for probe in _probes(items, item_id, item_text, least_per_cent):
 
         def scan(batches: Iterator[pa.RecordBatch], probe=probe) -> Iterator[pa.RecordBatch]:
             block = probe.value
@@ -120,17 +125,28 @@ def contained_items(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["doc", "item", "n_item", "n_shared"])
 
-        parts.append(texts.mapInArrow(scan, schema))
-    if not parts:
-        return spark.createDataFrame([], schema + ", containment double").withColumnsRenamed({"doc": doc_id, "item": item_id})
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.union(part)
+        result = result.union(texts.mapInArrow(scan, schema))
     return result.select(
         F.col("doc").alias(doc_id), F.col("item").alias(item_id), "n_item", "n_shared",
         (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
+def without_items(
+    docs: DataFrame, items: DataFrame, doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", least_per_cent: int = 80,
+) -> DataFrame:
+    """The rows of *docs* that contain no item; a filter in the scan, whatever the ids."""
+    rows = docs
+    for probe in _probes(items, item_id, item_text, least_per_cent):
+
+        def clean(batches: Iterator[pa.RecordBatch], probe=probe) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index(doc_text))
+                yield batch.filter(pa.array([not probe.value.found(shingle_set(t.as_py()), least_per_cent) for t in texts], pa.bool_()))
+
+        rows = rows.mapInArrow(clean, docs.schema)
+    return rows
+
+
 def op1_containment_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
