@@ -21,6 +21,7 @@ row; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from os.path import commonprefix
@@ -33,8 +34,9 @@ from pyspark.sql import functions as F
 from evidquarry.llm.base import table
 from evidquarry.llm.pretokens import BYTE_RULE, Splitter, Vocabulary
 
-REMEMBERED_WORDS, REMEMBERED_PAIRS = 150_000, 400_000
-CHUNK = 4_000_000  # characters whose words are held at a time
+REMEMBERED_WORDS, REMEMBERED_PAIRS = 600_000, 400_000
+CHUNK = 2_000_000  # characters whose words are held at a time
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
 class TrieEncoder:
@@ -47,15 +49,14 @@ class TrieEncoder:
         for word in self.token:
             lengths.setdefault(word[-1], set()).add(len(word))
         self.lengths = [sorted(lengths.get(b, ()), reverse=True) for b in range(256)]
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}  # key: left id * 2^20 + right id
 
     def _stay_apart(self, left: int, right: int) -> bool:
-        known = self.apart.get((left, right))
-        if known is None:
-            if len(self.apart) > REMEMBERED_PAIRS:
-                self.apart.clear()
-            word = self.vocabulary.bytes_of[left] + self.vocabulary.bytes_of[right]
-            known = self.apart[left, right] = self.vocabulary.merged(word) == [left, right]
+        """Whether *left* followed by *right* encodes to just these two; remembered."""
+        if len(self.apart) > REMEMBERED_PAIRS:
+            self.apart.clear()
+        word = self.vocabulary.bytes_of[left] + self.vocabulary.bytes_of[right]
+        known = self.apart[left << 20 | right] = self.vocabulary.merged(word) == [left, right]
         return known
 
     def encode(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
@@ -63,19 +64,26 @@ class TrieEncoder:
         last: list[int] = [-1]  # last token at each depth of the current path
         jump: list[int] = [0]  # depth at which that token begins
         path = b""
+        token, apart, lengths = self.token.get, self.apart.get, self.lengths
         for word in sorted(words):
             depth = len(commonprefix((path, word)))
             del last[depth + 1 :], jump[depth + 1 :]
             for end in range(depth + 1, len(word) + 1):
-                for length in self.lengths[word[end - 1]]:
+                for length in lengths[word[end - 1]]:
                     start = end - length
                     if start < 0:
                         continue
-                    number = self.token.get(word[start:end])
-                    if number is not None and (start == 0 or self._stay_apart(last[start], number)):
-                        last.append(number)
-                        jump.append(start)
-                        break
+                    number = token(word[start:end])
+                    if number is None:
+                        continue
+                    if start:
+                        left = last[start]
+                        known = apart(left << 20 | number)
+                        if not (self._stay_apart(left, number) if known is None else known):
+                            continue
+                    last.append(number)
+                    jump.append(start)
+                    break
                 else:
                     raise ValueError(f"no token ends at byte {end} of {word[:80]!r}")
             ids, at = [], len(word)
@@ -83,7 +91,8 @@ class TrieEncoder:
                 ids.append(last[at])
                 at = jump[at]
             path = word
-            yield word, ids[::-1]
+            ids.reverse()
+            yield word, ids
 
 
 class Codec:
@@ -97,11 +106,9 @@ class Codec:
         self.bytes_of = [vocabulary.bytes_of.get(i, b"") for i in range(top)]
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.packed) > REMEMBERED_WORDS:
-            self.packed.clear()
         spelled = {w.encode("utf-8", "surrogatepass"): w for w in words}
         for word, ids in self.encoder.encode(spelled):
-            self.packed[spelled[word]] = np.array(ids, "<u4").tobytes()
+            self.packed[spelled[word]] = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; new words of all texts share one trie."""

@@ -33,36 +33,61 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidquarry.llm.base import table
+from evidquarry.llm.shingles import mixed
 
 UNKNOWN = "und"
 SAMPLE, STRETCHES, STRETCH, LANGUAGES = 300, 4, 60, 200
 LEXICON_COUNT, FEATURE_COUNT = 4, 3
 SEQUENCES, LENGTH, STEPS, RATE, DECAY = 2400, 48, 60, 0.5, 1e-3
-CHUNK, PORTION, REMEMBERED = 64, 1_000_000, 200_000
+CHUNK, PORTION, REMEMBERED = 64, 2_000_000, 300_000
 WORDS = re.compile(r"[^\W\d_]+")
 
 
-def features(word: str) -> list[str]:
-    """Affix, n-gram and lexicon features of a lower-cased word."""
-    padded = f"<{word}>"
-    found = ["=" + word]
-    for n in (1, 2, 3):
-        if len(word) >= n:
-            found += [f"^{word[:n]}", f"{word[-n:]}$"]
-    found += [padded[i : i + 2] for i in range(len(padded) - 1)]
-    found += [padded[i : i + 3] for i in range(len(padded) - 2)]
-    return found
+def _keys(*parts: np.ndarray) -> np.ndarray:
+    total = np.full(parts[0].shape, np.uint64(len(parts)))
+    for part in parts:
+        total = mixed(total + part.astype(np.uint64))
+    return total
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, feature key) of all features of lower-cased words, sorted by word.
+
+    Letter pairs and triples of the word between its boundary marks (at the marks these are
+    the prefixes and suffixes of one and two letters), prefix and suffix of three letters,
+    and the word itself as lexicon entry. A key is a 64-bit hash of the letters.
+    """
+    letters = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.array([len(w) + 2 for w in words])
+    owner = np.repeat(np.arange(len(words)), size)
+    begin = np.cumsum(size) - size
+    place = np.arange(len(letters)) - begin[owner]
+    rest = size[owner] - place
+    pad = np.concatenate([letters, np.zeros(3, np.uint32)])
+    found = []
+    for n in (2, 3, 4):
+        at = np.flatnonzero(rest >= n) if n < 4 else np.flatnonzero((rest >= n) & ((place == 0) | (rest == n)))
+        found.append((owner[at], _keys(*(pad[at + i] for i in range(n)))))
+    own = np.add.reduceat(mixed(letters.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(32))), begin)
+    found.append((np.arange(len(words)), _keys(*[own] * 5)))
+    owner, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(owner, kind="stable")
+    return owner[order], keys[order]
 
 
 class Model:
-    """Weights of the field: word features, start and transition scores by language."""
+    """Weights of the field: word features by sorted key, start and transition scores."""
 
-    def __init__(self, languages: list[str], index: dict[str, int], weights: np.ndarray, start: np.ndarray, moves: np.ndarray):
-        self.languages, self.index, self.weights, self.start, self.moves = languages, index, weights, start, moves
+    def __init__(self, languages: list[str], keys: np.ndarray, weights: np.ndarray, start: np.ndarray, moves: np.ndarray):
+        self.languages, self.keys, self.start, self.moves = languages, keys, start, moves
+        self.weights = np.concatenate([weights, np.zeros((1, len(languages)))])  # the last row: unknown features
 
-    def word_scores(self, word: str) -> np.ndarray:
-        known = [i for f in features(word.lower()) if (i := self.index.get(f)) is not None]
-        return self.weights[known].sum(0) if known else np.zeros(len(self.languages))
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        owner, keys = features([w.lower() for w in words])
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        at = np.where(self.keys[at] == keys, at, len(self.keys))
+        begin = np.searchsorted(owner, np.arange(len(words)))
+        return np.add.reduceat(self.weights[at], begin, axis=0)
 
 
 def _messages(scores: np.ndarray, start: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,13 +134,12 @@ def fitted(sample: list[tuple[str, list[list[str]]]], seed: int = 11) -> Model |
     lexicon = Counter(w for row in words for w in row)
     types = sorted(lexicon)
     place = {w: i for i, w in enumerate(types)}
-    lists = [[f for f in features(w) if f[0] != "=" or lexicon[w] >= LEXICON_COUNT] for w in types]
-    counts = Counter(f for own in lists for f in own)
-    names = sorted(f for f, n in counts.items() if n >= FEATURE_COUNT or f[0] == "=")
-    index = {f: i for i, f in enumerate(names)}
-    lists = [[index[f] for f in own if f in index] for own in lists]
-    owner = np.repeat(np.arange(len(types)), [len(own) for own in lists])
-    used = np.array([i for own in lists for i in own], np.int64)
+    owner, keys = features(types)
+    names, used, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    common = np.array([lexicon[w] >= LEXICON_COUNT for w in types])[owner]
+    kept = (counts[used] >= FEATURE_COUNT) | ((counts[used] == 1) & common)  # a word of its own occurs once among the types
+    owner, names = owner[kept], keys[kept]
+    names, used = np.unique(names, return_inverse=True)
     ids = np.array([[place[w] for w in row] for row in words])
     size = len(languages)
     weights, start, moves = np.zeros((len(names), size)), np.zeros(size), np.zeros((size, size))
@@ -139,7 +163,7 @@ def fitted(sample: list[tuple[str, list[list[str]]]], seed: int = 11) -> Model |
         for value, slope, total in zip((weights, start, moves), slopes, speed, strict=True):
             total += slope**2
             value += RATE * slope / np.sqrt(total)
-    return Model(languages, index, weights, start, moves)
+    return Model(languages, names, weights, start, moves)
 
 
 def _stretches(text: str) -> list[list[str]]:
@@ -184,74 +208,83 @@ class Labeller:
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.table = np.empty((1024, len(self.model.languages)))
+        self.table = np.empty((0, len(self.model.languages)))
+        self.lettered = np.empty(0, bool)
 
-    def _learn(self, words: set[str]) -> None:
-        for word in words:
-            at = len(self.place)
-            if at == len(self.table):
-                self.table = np.concatenate([self.table, np.empty_like(self.table)])
-            scores = self.model.word_scores(word)
-            self.table[at] = np.exp(scores - scores.max())
-            self.place[word] = at
+    def _learn(self, words: list[str]) -> None:
+        scores = self.model.word_scores(words)
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        self.table = np.concatenate([self.table, np.exp(scores - scores.max(1, keepdims=True))])
+        self.lettered = np.concatenate([self.lettered, np.array([any(map(str.isalpha, w)) for w in words])])
 
     def shares(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(words, expected share of each language) of every text."""
-        size = len(self.model.languages)
-        lists = [[w for w in WORDS.findall(t) if w.isalpha()] for t in texts]
-        counts = np.array([len(own) for own in lists])
-        totals = np.zeros((len(texts), size))
-        if not counts.sum():
-            return counts, totals
-        distinct = set().union(*lists)
+        lists = [WORDS.findall(t) for t in texts]
+        words = [w for own in lists for w in own]
         if len(self.place) > REMEMBERED:
             self._forget()
-        self._learn({w for w in distinct if w not in self.place})
-        get = self.place.__getitem__
-        local = self.table[np.fromiter((i for own in lists for i in map(get, own)), np.int64, counts.sum())]
-        # chunks of CHUNK words; the cells of a last chunk beyond the text stay unused
+        if new := list({w for w in words if w not in self.place}):
+            self._learn(new)
+        ids = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        owner = np.repeat(np.arange(len(texts)), [len(own) for own in lists])
+        if len(ids) and not self.lettered[ids].all():
+            owner, ids = owner[self.lettered[ids]], ids[self.lettered[ids]]
+        counts = np.bincount(owner, minlength=len(texts))
+        if not len(ids):
+            return counts, np.zeros((len(texts), len(self.model.languages)))
+        return counts, self._totals(self.table[ids], counts) / np.maximum(counts, 1)[:, None]
+
+    def _totals(self, local: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Sums of the word marginals of each text, from the words' own factors in *local*.
+
+        Within a chunk factors are multiplied up without scaling: CHUNK steps stay far
+        inside the range of a double.
+        """
+        size, step = local.shape[1], self.step
         per_text = -(-counts // CHUNK)
-        owner = np.repeat(np.arange(len(texts)), per_text)
-        within = np.arange(len(owner)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+        owner = np.repeat(np.arange(len(counts)), per_text)
+        start_of = np.cumsum(per_text) - per_text
+        within = np.arange(len(owner)) - start_of[owner]
         length = np.minimum(CHUNK, counts[owner] - within * CHUNK)
-        begin = (np.cumsum(counts) - counts)[owner] + within * CHUNK
-        cells = begin[:, None] + np.minimum(np.arange(CHUNK), length[:, None] - 1)
-        filled = np.arange(CHUNK) < length[:, None]
-        first = within == 0
+        order = np.argsort(-length, kind="stable")  # chunks still running at a step come first
+        rank = np.argsort(order)
+        begin = ((np.cumsum(counts) - counts)[owner] + within * CHUNK)[order]
+        running = np.searchsorted(-length[order], -np.arange(CHUNK))
+        first = (within == 0)[order]
         opening = np.exp(self.model.start) / size
-        moved = lambda rows, t: np.where((first & (t == 0))[:, None], rows.sum(1, keepdims=True) * opening, rows @ self.step)
-        transfer = np.broadcast_to(np.eye(size), (len(owner), size, size)).copy()
-        for t in range(CHUNK):  # chunk transfer matrices, row by row
-            new = np.stack([moved(transfer[:, i], t) for i in range(size)], axis=1) * local[cells[:, t]][:, None, :]
-            new /= new.sum((1, 2), keepdims=True)
-            transfer = np.where(filled[:, t, None, None], new, transfer)
-        entry, leave = np.ones((len(owner), size)), np.ones((len(owner), size))
-        start_of = np.cumsum(per_text) - per_text
+        begins = step.copy()[None].repeat(len(owner), axis=0)  # a text's first word has no word before it
+        begins[first] = opening
+        transfer = begins * local[begin][:, None, :]
+        for t in range(1, CHUNK):
+            n = running[t]
+            if not n:
+                break
+            transfer[:n] = (transfer[:n].reshape(-1, size) @ step).reshape(n, size, size) * local[begin[:n] + t][:, None, :]
+        transfer /= transfer.sum((1, 2), keepdims=True)
+        entry, leave = np.ones((2, len(owner), size))
         for k in range(1, per_text.max()):  # messages between the chunks of all texts
             here = start_of[per_text > k] + k
-            entry[here] = np.einsum("ni,nij->nj", entry[here - 1], transfer[here - 1])
+            entry[here] = np.einsum("ni,nij->nj", entry[here - 1], transfer[rank[here - 1]])
             entry[here] /= entry[here].sum(1, keepdims=True)
         for k in range(per_text.max() - 1, 0, -1):
             here = start_of[per_text > k] + k - 1
-            leave[here] = np.einsum("nij,nj->ni", transfer[here + 1], leave[here + 1])
+            leave[here] = np.einsum("nij,nj->ni", transfer[rank[here + 1]], leave[here + 1])
             leave[here] /= leave[here].sum(1, keepdims=True)
         ahead = np.empty((CHUNK, len(owner), size))
-        state = entry
-        for t in range(CHUNK):
-            new = moved(state, t) * local[cells[:, t]]
-            new /= new.sum(1, keepdims=True)
-            state = ahead[t] = np.where(filled[:, t, None], new, state)
+        ahead[0] = np.einsum("ni,nij->nj", entry[order], begins) * local[begin]
+        for t in range(1, CHUNK):
+            n = running[t]
+            np.multiply(ahead[t - 1, :n] @ step, local[begin[:n] + t], out=ahead[t, :n])
         sums = np.zeros((len(owner), size))
-        state = leave
+        state, back = leave[order], np.ascontiguousarray(step.T)
         for t in range(CHUNK - 1, -1, -1):
-            both = ahead[t] * state
-            both /= both.sum(1, keepdims=True)
-            sums += np.where(filled[:, t, None], both, 0)
-            new = (local[cells[:, t]] * state) @ self.step.T
-            new /= new.sum(1, keepdims=True)
-            state = np.where(filled[:, t, None], new, state)
-        np.add.at(totals, owner, sums)
-        return counts, totals / np.maximum(counts, 1)[:, None]
+            n = running[t]
+            both = ahead[t, :n] * state[:n]
+            sums[:n] += both / both.sum(1, keepdims=True)
+            state[:n] = (local[begin[:n] + t] * state[:n]) @ back
+        totals = np.zeros((len(counts), size))
+        np.add.at(totals, owner[order], sums)
+        return totals
 
 
 def identified(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

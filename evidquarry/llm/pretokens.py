@@ -8,6 +8,7 @@ such letters take a pattern that leaves them out.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import regex
@@ -33,6 +34,7 @@ def _class(ranges) -> str:
 
 
 LATER = regex.compile(f"[{_class(LATER_LETTERS + LATER_NUMBERS)}]")
+_MAYBE_LATER = re.compile(f"[{chr(LATER_LETTERS[0][0])}-{chr(0x10FFFF)}]")  # one range: quick to rule out
 #: The two splitting rules of the files; L, N and O stand for letter, number and other.
 BYTE_RULE = "'s|'t|'re|'ve|'m|'ll|'d| ?L+| ?N+| ?O+|\\s+(?!\\S)|\\s+"
 WORD_RULE = "'s|'t|'re|'ve|'m|'ll|'d|L+|N|O+"
@@ -53,13 +55,15 @@ class Splitter:
         self.narrow = regex.compile(build(narrow), regex.V1).findall
 
     def __call__(self, text: str) -> list[str]:
-        return self.plain(text) if text.isascii() or not LATER.search(text) else self.narrow(text)
+        later = not text.isascii() and _MAYBE_LATER.search(text) and LATER.search(text)
+        return self.narrow(text) if later else self.plain(text)
 
 
 # Lower-case forms newer than the Unicode version of the Python library.
 _LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 _LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 _NEWER = regex.compile("[" + "".join(map(chr, _LOWER)) + "]")
+_MAYBE_NEWER = re.compile(f"[{chr(min(_LOWER))}-{chr(0x10FFFF)}]")
 _SPACES = regex.compile(r"\s+")
 
 
@@ -67,7 +71,7 @@ def lowered(text: str) -> str:
     """Composed, white space runs as one blank, each character lower-cased on its own."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
-        if _NEWER.search(text):
+        if _MAYBE_NEWER.search(text) and _NEWER.search(text):
             text = text.translate(_LOWER)
         if "Σ" in text:  # its form at a word's end depends on the neighbours otherwise
             text = text.replace("Σ", "σ")
