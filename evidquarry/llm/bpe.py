@@ -113,8 +113,8 @@ class Codec:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; new words of all texts share one trie."""
         pieces = [[(p, None) if k % 2 else (p, self.split(p)) for k, p in enumerate(self.vocabulary.pieces(t))] for t in texts]
-        needed = {w for parts in pieces for _, words in parts for w in words or ()}
-        new = {w for w in needed if w not in self.packed}
+        needed = set().union(*(words for parts in pieces for _, words in parts if words))
+        new = needed - self.packed.keys() if self.packed else needed
         if new:
             if len(self.packed) + len(new) > REMEMBERED_WORDS:
                 self.packed.clear()

@@ -64,18 +64,21 @@ _LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2:
 _LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 _NEWER = regex.compile("[" + "".join(map(chr, _LOWER)) + "]")
 _MAYBE_NEWER = re.compile(f"[{chr(min(_LOWER))}-{chr(0x10FFFF)}]")
-_SPACES = regex.compile(r"\s+")
 
 
 def lowered(text: str) -> str:
-    """Composed, white space runs as one blank, each character lower-cased on its own."""
+    """Composed, and each character lower-cased on its own.
+
+    The files also turn white space runs into one blank, which makes no difference to the
+    pre-tokens: white space only separates them.
+    """
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
         if _MAYBE_NEWER.search(text) and _NEWER.search(text):
             text = text.translate(_LOWER)
         if "Σ" in text:  # its form at a word's end depends on the neighbours otherwise
             text = text.replace("Σ", "σ")
-    return _SPACES.sub(" ", text).lower()
+    return text.lower()
 
 
 def byte_alphabet() -> dict[str, int]:

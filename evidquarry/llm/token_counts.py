@@ -56,7 +56,7 @@ class Counter:
             words = self.split(lowered(piece))
             known = list(map(self.counts.get, words))
             if None in known:
-                known = [self.counts.get(w) or self._merge(w) for w in words]
+                known = [n or self.counts.get(w) or self._merge(w) for w, n in zip(words, known, strict=True)]
             total += sum(known)
             if len(self.counts) > REMEMBERED + len(self.proven):
                 self.counts = dict(self.proven)
