@@ -64,16 +64,19 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
                 F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("length")))
     leaves = reach.select("tree", "node").join(reach.select("tree", F.col("up").alias("node")).distinct(), ["tree", "node"], "left_anti")
     nodes, rounds = reach.count(), []
-    while nodes >> len(rounds) and not reach.where("up is not null").isEmpty():
-        rounds.append(reach.select("tree", "node", "up").where("up is not null"))
-        above = reach.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("length").alias("longer"))
-        reach = cut(
-            reach.join(above, ["tree", "up"], "left")
-            .select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
-                    (F.col("length") + F.coalesce("longer", F.lit(0))).alias("length")))
+    rooted, climbing = reach.where("up is null"), reach.where("up is not null")
+    while nodes >> len(rounds) and not climbing.isEmpty():  # messages that have met their root are not joined again
+        rounds.append(climbing.select("tree", "node", "up"))
+        above = rooted.union(climbing).select(
+            "tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("length").alias("longer"))
+        moved = cut(
+            climbing.join(above, ["tree", "up"])
+            .select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"),
+                    (F.col("length") + F.col("longer")).alias("length")))
+        rooted, climbing = rooted.union(moved.where("up is null")), moved.where("up is not null")
     ranked = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("length"), "node")
     paths = (
-        leaves.join(reach.where("up is null"), ["tree", "node"])
+        leaves.join(rooted, ["tree", "node"])
         .withColumn("branch", F.row_number().over(ranked)).where(F.col("branch") <= branches)
         .select("tree", F.col("node").alias("leaf"), "branch", "node", F.lit(0).cast("long").alias("place")))
     for i in reversed(range(len(rounds))):
