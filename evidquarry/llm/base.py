@@ -98,6 +98,17 @@ def joined_labels(count: int, left: np.ndarray, right: np.ndarray) -> np.ndarray
         label = label[label]
 
 
+SALTS = 16
+
+
+def _with_least(links: DataFrame) -> DataFrame:
+    """Each link (a, b) with m, the least of a and its partners; a busy node's links are salted."""
+    least = links.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
+    salts = F.explode(F.array(*map(F.lit, range(SALTS))))
+    salted = links.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    return salted.join(least.withColumn("salt", salts), ["a", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the pairs (a, b): one row (id, component) per node.
 
@@ -113,17 +124,12 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(
-            F.col("a").alias("n"), F.least("m", "a").alias("m"))
         large = (
-            both.join(least, F.col("a") == F.col("n"))
-            .where("b > a")
-            .select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .where("a <> b").distinct()
+            _with_least(both).where("b > a")
+            .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         )
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
         small = (
-            large.join(least, F.col("a") == F.col("n"))
+            _with_least(large)
             .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b").where("a <> b").distinct()
         )

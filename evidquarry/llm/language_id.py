@@ -7,8 +7,8 @@ one label each, training sequences are spliced from stretches of words of docume
 different languages, so the model sees switches; weights maximize the conditional
 likelihood (forward-backward gradients, adaptive steps).
 
-Training data is a bounded sample: at most ``SAMPLE`` documents a language (the smallest
-hashes of the id), of each at most ``STRETCHES`` stretches of ``STRETCH`` words, for at most
+Training data is a bounded sample: at most ``SAMPLE`` documents a language (drawn by hashes of
+the id), of each at most ``STRETCHES`` stretches of ``STRETCH`` words, for at most
 ``LANGUAGES`` languages. Prediction covers every word of every text: word scores are computed
 once for each distinct word of a task (a table of bounded size), and forward-backward runs
 over all texts of a portion at once. A text is cut into chunks; chunk transfer matrices
@@ -176,9 +176,11 @@ def _stretches(text: str) -> list[list[str]]:
 def learned(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fit on the bounded sample of the documents that *allowed* admits."""
     rows = docs.where(allowed & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.col(lang_col) != UNKNOWN))
+    ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    drawn = F.pmod(F.xxhash64("id", F.lit("draw")), F.col("many")) < 4 * SAMPLE  # about four samples a language, whatever its size
     chosen = (
-        rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+        ids.join(ids.groupBy("lang").agg(F.count("*").alias("many")), "lang").where(drawn)
         .withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE).orderBy("n", "lang").limit(SAMPLE * LANGUAGES)
         .select("id").distinct()
     )  # at most SAMPLE * LANGUAGES ids: small enough to send to every task
