@@ -8,7 +8,7 @@ Method
    ten mantissa bits after the leading one (16 bits a register).
 2. Documents with equal fingerprints form a class; its smallest id stands for it.
 3. Registers, with empty ones borrowed from a fixed random sequence of others, are banded
-   (21 bands of 6). Inside a bucket, pairs are compared on registers alone: the share of
+   (21 bands of 6 at similarity 0.85, 25 of 5 at 0.8). Inside a bucket, pairs are compared on registers alone: the share of
    equal registers less the expected chance collisions estimates the Jaccard similarity;
    pairs five standard deviations or less below the threshold count as candidates. A bucket
    of many texts is cut into blocks, one task for each pair of blocks; a task hands on a
@@ -17,7 +17,8 @@ Method
    of the cluster is verified on full shingle sets (again in blocks).
 5. Components of the verified links give each document the smallest id it is linked to.
 
-Two texts at the threshold share no band with probability 5e-5, at 0.9 with 2e-7.
+Two texts at the threshold share no band with probability 5e-5; the chance falls steeply
+above it.
 
 Defined results: null or white-space-only texts have an empty set, are linked to nothing
 and stay; a null id has a null component and stays; repeated ids are one node; empty tables
@@ -38,7 +39,7 @@ from evidquarry.llm.base import components, groups_of, joined_labels, stored, ta
 from evidquarry.llm.shingles import WIDTH, mixed, shingle_set
 
 REGISTERS, MANTISSA = 128, 10
-BANDS, ROWS = 21, 6
+MISSED = 1e-4  # highest chance that two texts at the threshold share no band
 EMPTY = np.uint16(0xFFFF)
 DEVIATIONS = 5.0
 BUCKET_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 512, 256, 400_000
@@ -67,7 +68,15 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
+def banding(similarity: float) -> tuple[int, int]:
+    """(bands, rows): the most selective bands that miss a pair at the threshold at most MISSED of the time."""
+    for rows in range(16, 1, -1):
+        if (1 - similarity**rows) ** (REGISTERS // rows) <= MISSED:
+            return REGISTERS // rows, rows
+    return REGISTERS, 1
+
+
+def band_keys(regs: np.ndarray, bands: int, width: int) -> np.ndarray:
     """Keys of all bands; an empty register takes the first filled one of its own sequence."""
     full = regs.copy()
     open_rows = np.flatnonzero((regs == EMPTY).any(1) & (regs != EMPTY).any(1))
@@ -78,9 +87,9 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
             break
         part = np.where(missing, source[:, order], part)
     full[open_rows] = part
-    rows = full[:, : BANDS * ROWS].reshape(len(full), BANDS, ROWS).astype(np.uint64)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), rows.shape[:2]).copy()
-    for i in range(ROWS):
+    rows = full[:, : bands * width].reshape(len(full), bands, width).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), rows.shape[:2]).copy()
+    for i in range(width):
         key = mixed(key + rows[:, :, i] + np.uint64(1))
     return key.view(np.int64)
 
@@ -92,7 +101,8 @@ def chance_collisions(small: np.ndarray, large: np.ndarray) -> np.ndarray:
 
 
 def _sketch(similarity: float):
-    fewest = math.ceil(similarity / (1 - similarity)) if similarity < 1 else 1 << 62
+    fewest = math.ceil(round(similarity / (1 - similarity), 9)) if similarity < 1 else 1 << 62
+    bands, width = banding(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,9 +114,9 @@ def _sketch(similarity: float):
                 with np.errstate(over="ignore"):
                     one = np.array([mixed(s).sum(dtype=np.uint64) for s in sets], np.uint64)
                     two = np.array([np.bitwise_xor.reduce(mixed(s ^ np.uint64(0x5851F42D4C957F2D))) if len(s) else 0 for s in sets], np.uint64)
-                keys = band_keys(regs)
+                keys = band_keys(regs, bands, width)
                 usable = sizes >= fewest  # smaller sets cannot differ and still reach the threshold
-                offsets = np.concatenate(([0], np.cumsum(np.where(usable, BANDS, 0)))).astype(np.int32)
+                offsets = np.concatenate(([0], np.cumsum(np.where(usable, bands, 0)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0),
                     pa.array(sizes),
