@@ -8,42 +8,43 @@ be a parser in a UDF, not work for Spark.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, functions as F
 
 # A comment outside a double-quoted string; strings are matched first and kept.
 _COMMENT = r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/'
-REPAIRS = (
-    "bom", "smart_quotes", "comments", "python_literals", "non_finite_numbers",
-    "unquoted_keys", "trailing_commas", "concatenated_objects",
-)
 
 
-def _steps(text: Column) -> list[Column]:
-    out = [text]
+def _literals(text: Column) -> Column:
+    for word, value in (("None", "null"), ("True", "true"), ("False", "false")):
+        text = F.regexp_replace(text, rf"\b{word}\b", value)
+    return text
 
-    def step(value: Column) -> None:
-        out.append(value)
 
-    step(F.regexp_replace(out[-1], "^\ufeff+", ""))
-    step(F.translate(out[-1], "“”‘’", "\"\"''"))
-    step(F.regexp_replace(out[-1], _COMMENT, "$1"))
-    literals = out[-1]
-    for word, value in (("None", "null"), ("True", "true"), ("False", "false")):
-        literals = F.regexp_replace(literals, rf"\b{word}\b", value)
-    step(literals)
-    step(F.regexp_replace(out[-1], r"\b(?:NaN|-?Infinity)\b", "null"))
-    step(F.regexp_replace(out[-1], r"([{,]\s*)([A-Za-z_][A-Za-z0-9_\-]*)(\s*:)", r'$1"$2"$3'))
-    step(F.regexp_replace(out[-1], r",(\s*[}\]])", "$1"))
-    joined = F.concat(F.lit("["), F.regexp_replace(out[-1], r"\}\s*\{", "},{"), F.lit("]"))
-    step(F.when(out[-1].rlike(r"\}\s*\{"), joined).otherwise(out[-1]))
-    return out
+def _one_array(text: Column) -> Column:
+    joined = F.concat(F.lit("["), F.regexp_replace(text, r"\}\s*\{", "},{"), F.lit("]"))
+    return F.when(text.rlike(r"\}\s*\{"), joined).otherwise(text)
+
+
+# The repairs by name, in the order in which they apply.
+REPAIRS = (
+    ("bom", lambda text: F.regexp_replace(text, "^\ufeff+", "")),
+    ("smart_quotes", lambda text: F.translate(text, "“”‘’", "\"\"''")),
+    ("comments", lambda text: F.regexp_replace(text, _COMMENT, "$1")),
+    ("python_literals", _literals),
+    ("non_finite_numbers", lambda text: F.regexp_replace(text, r"\b(?:NaN|-?Infinity)\b", "null")),
+    ("unquoted_keys", lambda text: F.regexp_replace(text, r"([{,]\s*)([A-Za-z_][A-Za-z0-9_\-]*)(\s*:)", r'$1"$2"$3')),
+    ("trailing_commas", lambda text: F.regexp_replace(text, r",(\s*[}\]])", "$1")),
+    ("concatenated_objects", _one_array),
+)
 
 
 def repaired(text: Column) -> Column:
     """struct<text, repairs>: the rewritten text and the repairs that changed it."""
-    steps = _steps(text)
+    steps = list(accumulate(REPAIRS, lambda value, repair: repair[1](value), initial=text))
     names = F.array_compact(
-        F.array(*[F.when(before != after, F.lit(name)) for name, before, after in zip(REPAIRS, steps, steps[1:])])
+        F.array(*[F.when(before != after, F.lit(name)) for (name, _), before, after in zip(REPAIRS, steps, steps[1:])])
     )
     return F.struct(steps[-1].alias("text"), names.alias("repairs"))
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from evidquarry.session import fits_within
+from evidquarry.session import fits_within, shared_path
 
 DIGITS = 6
 # A block of query vectors travels to the tasks whole: 4096 x 1024 floats is 32 MB.
@@ -97,16 +97,18 @@ def batch_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     A checked, bounded block of query vectors is sent to the tasks and every task
     returns only its own top-k, so the shuffle carries tasks x queries x k rows and
-    never query-row pairs. A larger batch of queries is cut into several blocks.
+    never query-row pairs. More queries are cut into blocks that go one after the other:
+    each block's rows are written before the next block is fetched, so the driver never
+    holds more than one.
     """
     if fits_within(queries, QUERIES_PER_PASS):
         local = _block_top_k(corpus, queries, k)
     else:
         blocks = queries.count() * 2 // QUERIES_PER_PASS + 1
         slot = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-        parts = [_block_top_k(corpus, queries.where(slot == b), k) for b in range(blocks)]
-        local = parts[0]
-        for part in parts[1:]:
-            local = local.unionByName(part)
+        path = shared_path(corpus.sparkSession, "dense")
+        for block in range(blocks):
+            _block_top_k(corpus, queries.where(slot == block), k).write.mode("append").parquet(path)
+        local = corpus.sparkSession.read.parquet(path)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("chunk_id"))
     return local.withColumn("dense_rank", F.row_number().over(best)).where(F.col("dense_rank") <= k)

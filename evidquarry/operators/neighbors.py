@@ -1,54 +1,47 @@
 """Neighbour expansion with per-source caps.
 
-Each addition changes what the caps still allow, so the choice is sequential. It runs
-per question over a pool that ranking has already bounded.
+What the caps still allow depends on what was taken before, so the choice is a fold. It runs
+over one sorted array of offers for each question, drawn from a pool that ranking has bounded
+(at most 50 rows): every anchor in rank order, each followed by its adjacent chunks.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
-
-COLUMNS = ["query_id", "chunk_id", "ord", "source_id", "parent_id", "source_version", "chunk_ordinal"]
-OUTPUT = "query_id bigint, chunk_id bigint, rn int, neighbor_of bigint"
-
-
-def pick(pool: pd.DataFrame, top_n: int, per_anchor: int, per_source: int) -> pd.DataFrame:
-    """Anchors in rank order, each followed by its adjacent chunks of the same parent."""
-    rows = pool.sort_values("ord").to_dict("records")
-    taken: dict[int, int | None] = {}
-    used: dict[str, int] = {}
-
-    def take(row: dict, anchor: int | None) -> bool:
-        if len(taken) >= top_n or row["chunk_id"] in taken or used.get(row["source_id"], 0) >= per_source:
-            return False
-        taken[row["chunk_id"]] = anchor
-        used[row["source_id"]] = used.get(row["source_id"], 0) + 1
-        return True
-
-    for anchor in rows:
-        if len(taken) >= top_n:
-            break
-        take(anchor, None)
-        adjacent = (
-            row for row in rows
-            if row["parent_id"] == anchor["parent_id"] and row["source_version"] == anchor["source_version"]
-            and abs(row["chunk_ordinal"] - anchor["chunk_ordinal"]) == 1
-        )
-        added = 0
-        for row in adjacent:
-            if added >= per_anchor:
-                break
-            added += take(row, anchor["chunk_id"])
-    return pd.DataFrame(
-        {"chunk_id": list(taken), "rn": range(1, len(taken) + 1), "neighbor_of": pd.array(list(taken.values()), dtype="Int64")}
-    )
+from pyspark.sql import DataFrame, functions as F
+
+FIELDS = ["ord", "chunk_id", "source_id", "parent_id", "source_version", "chunk_ordinal"]
+TAKEN = "array<struct<chunk_id:bigint,source_id:string,neighbor_of:bigint>>"
 
 
 def expand_neighbors(pool: DataFrame, top_n: int, per_anchor: int, per_source: int) -> DataFrame:
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out = pick(frame, top_n, per_anchor, per_source)
-        out.insert(0, "query_id", frame["query_id"].iloc[0])
-        return out
+    """query_id, chunk_id, rn, neighbor_of (null for anchors) within the three caps."""
+
+    def adjacent(anchor, row):
+        return (
+            (row.parent_id == anchor.parent_id)
+            & (row.source_version == anchor.source_version)
+            & (F.abs(row.chunk_ordinal - anchor.chunk_ordinal) == 1)
+        )
 
-    return pool.select(*COLUMNS).groupBy("query_id").applyInPandas(run, OUTPUT)
+    def offer(row, anchor_id):
+        return F.struct(row.chunk_id.alias("chunk_id"), row.source_id.alias("source_id"), anchor_id.alias("neighbor_of"))
+
+    def offers(rows):
+        nobody = F.lit(None).cast("bigint")
+        return F.flatten(F.transform(rows, lambda anchor: F.concat(
+            F.array(offer(anchor, nobody)),
+            F.transform(F.filter(rows, lambda row: adjacent(anchor, row)), lambda row: offer(row, anchor.chunk_id)),
+        )))
+
+    def fold(taken, made):
+        room = F.size(taken) < top_n
+        new = ~F.exists(taken, lambda t: t.chunk_id == made.chunk_id)
+        source = F.size(F.filter(taken, lambda t: t.source_id == made.source_id)) < per_source
+        siblings = F.size(F.filter(taken, lambda t: t.neighbor_of == made.neighbor_of)) < per_anchor
+        fits = room & new & source & (made.neighbor_of.isNull() | siblings)
+        return F.when(fits, F.concat(taken, F.array(made)).cast(TAKEN)).otherwise(taken)
+
+    ordered = F.array_sort(F.collect_list(F.struct(*FIELDS)))
+    chosen = pool.groupBy("query_id").agg(ordered.alias("rows")).select(
+        "query_id", F.posexplode(F.aggregate(offers(F.col("rows")), F.array().cast(TAKEN), fold)).alias("place", "t"))
+    return chosen.select("query_id", "t.chunk_id", (F.col("place") + 1).alias("rn"), "t.neighbor_of")

@@ -352,14 +352,14 @@ def r14_inventory_subject(t):
 # ---- verification ---------------------------------------------------------------
 
 def _evidence(t):
-    return t.read("conversations").where("role = 'user' AND turn <= 7").select(
+    return t.read("conversations").where("role = 'user'").select(
         "conv_id", (F.floor(F.col("turn") / 2) + 1).alias("source"), F.col("text").alias("page_content"), F.lit("en").alias("language")
     )
 
 
 _SCORED = (
     _ANS, *_SENTENCES,
-    ("ev", "SELECT conv_id, turn // 2 + 1 AS source, text AS page_content FROM conversations WHERE role = 'user' AND turn <= 7"),
+    ("ev", "SELECT conv_id, turn // 2 + 1 AS source, text AS page_content FROM conversations WHERE role = 'user'"),
     ("cm", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i, j) - 1 AS pos, trim(regexp_replace(s, '\\s*\\[SOURCE \\d+\\]', '', 'g')) AS plain FROM cl"),
     ("pt", f"SELECT *, list_distinct({sql_tokens('plain')}) AS ct FROM cm"),
     ("et", f"SELECT *, list_distinct({sql_tokens('page_content')}) AS tt FROM ev"),

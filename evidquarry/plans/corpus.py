@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from evidquarry.functions import text as X
 from evidquarry.operators import suites as SU
+from evidquarry.operators.ranks import cumulative_counts
 from evidquarry.plans.registry import ctes, query
 from evidquarry.sources import files
 from evidquarry.sources.html import text_lines
@@ -42,7 +43,7 @@ def s15_snapshot_fingerprint(t):
 
 @query("s13_vocabulary_merge", """
 SELECT item, CAST(row_number() OVER (ORDER BY first) AS INT) AS position FROM (SELECT item, min(p_partkey * 10 + pos) AS first FROM
-(SELECT p_partkey, lower(p_brand) AS item, 0 AS pos FROM part UNION ALL SELECT p_partkey, lower(p_type), 1 FROM part) GROUP BY 1) ORDER BY position LIMIT 20""")
+(SELECT p_partkey, lower(p_brand) AS item, 0 AS pos FROM part UNION ALL SELECT p_partkey, lower(p_type), 1 FROM part) GROUP BY 1)""")
 def s13_vocabulary_merge(t):
     record = F.to_json(F.struct(F.array("p_brand", "p_type").alias("entities")))
     rows = t.read("part").select("p_partkey", record.alias("record"))
@@ -52,9 +53,8 @@ def s13_vocabulary_merge(t):
     )
     # ordered distinct union: the first sighting of an item decides its place
     first = items.groupBy("item").agg(F.min(F.col("p_partkey") * 10 + F.col("pos")).alias("first"))
-    top = first.orderBy("first").limit(20)
-    ranked = top.agg(F.array_sort(F.collect_list(F.struct("first", "item"))).alias("v"))
-    return ranked.select(F.posexplode("v").alias("p", "e")).select("e.item", (F.col("p") + 1).alias("position"))
+    places = cumulative_counts(first, "first", []).select("first", (F.col("below") + 1).cast("int").alias("position"))
+    return first.join(places, "first").select("item", "position")
 
 
 @query("c32_intent_terms", """

@@ -275,7 +275,7 @@ def x57_presentation_order(t):
 
 # ---- suite preflight ------------------------------------------------------------
 
-NEEDLE = "substr(text, 1, 60)"
+NEEDLE = "text"
 _PRE = (
     ("nd", f"SELECT item_id AS needle_id, {NEEDLE} AS needle FROM benchmark"),
     ("mt", "SELECT needle_id AS case_id, doc_id FROM nd, documents WHERE contains(replace(lower(text), 'ß', 'ss'), replace(lower(needle), 'ß', 'ss'))"),

@@ -85,7 +85,7 @@ def overlap_score(claim, evidence):
     return F.size(F.array_intersect(asked, X.tokens(evidence))) / F.greatest(F.size(asked), F.lit(1))
 
 
-_EVI = ("ev", "SELECT conv_id, turn // 2 + 1 AS source, text AS page_content, CASE WHEN conv_id % 2 = 0 THEN 'en' ELSE 'de' END AS language FROM conversations WHERE role = 'user' AND turn <= 7")
+_EVI = ("ev", "SELECT conv_id, turn // 2 + 1 AS source, text AS page_content, CASE WHEN conv_id % 2 = 0 THEN 'en' ELSE 'de' END AS language FROM conversations WHERE role = 'user'")
 
 
 @query("c10_claim_verification", ctes(_ANS, *_SENTENCES, _EVI, ("cm", f"""
@@ -100,7 +100,7 @@ UNION ALL SELECT conv_id, turn, pos, CASE
    AND NOT regexp_matches(lower(proof), '(^|[^\\p{L}\\p{N}_])(no|not|never|none|without|zero|0|ni|nunca|sin|tampoco|cero)($|[^\\p{L}\\p{N}_])') THEN 'NEGATION_UNSUPPORTED'
   WHEN score < CASE WHEN language = 'de' THEN 0.3 ELSE 0.5 END THEN 'SCORE_BELOW_THRESHOLD' ELSE 'SUPPORTED' END, round(score, 4) FROM pa""")
 def c10_claim_verification(t):
-    evidence = t.read("conversations").where("role = 'user' AND turn <= 7").select(
+    evidence = t.read("conversations").where("role = 'user'").select(
         "conv_id", (F.floor(F.col("turn") / 2) + 1).alias("source"), F.col("text").alias("page_content"),
         F.when(F.col("conv_id") % 2 == 0, "en").otherwise("de").alias("language"),
     )

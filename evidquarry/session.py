@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,22 +31,17 @@ def build_session(app: str = "evidquarry", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder named by the session (never executor-local).
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder all executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent, as in unit tests, is a scratch folder chosen.
+    Only local runs without the setting, as in unit tests, get a scratch folder.
     """
-    context = df.sparkSession.sparkContext
-    configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    current = context._jsc.sc().getCheckpointDir()
-    if not current.isDefined():
-        folder = configured
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="run-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def fits_within(df: DataFrame, limit: int) -> bool:

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidquarry.functions import anchors, citations, language, markdown as MD, text as X
-from evidquarry.operators import dense, fusion, lexical, metrics, ranking, scans, structured
-from evidquarry.operators.neighbors import pick
+from evidquarry.operators import audits, dense, fusion, lexical, metrics, ranking, scans, structured
+from evidquarry.operators.neighbors import expand_neighbors
 from evidquarry.operators.ranks import cumulative_counts, nearest_rank
 from evidquarry.sources import files
 from evidquarry.sources.cache import CorpusCache
@@ -196,13 +196,23 @@ def test_rate_limit_batch_and_stream(spark, tmp_path):
     assert {r["event_id"]: r["admitted"] for r in spark.table("limited").collect()} == want
 
 
-def test_neighbor_caps():
+def test_neighbor_caps(spark):
     frame = pd.DataFrame(
         [(1, 10, 1, "s", "p", "1", 5), (1, 11, 2, "s", "p", "1", 9), (1, 12, 3, "s", "p", "1", 6), (1, 13, 4, "s", "p", "1", 4)],
         columns=["query_id", "chunk_id", "ord", "source_id", "parent_id", "source_version", "chunk_ordinal"],
     )
-    assert list(pick(frame, 4, 2, 3)["chunk_id"]) == [10, 12, 13]
-    assert list(pick(frame, 2, 2, 9)["chunk_id"]) == [10, 12]
+    pool = spark.createDataFrame(frame)
+    picked = lambda *caps: [(r.chunk_id, r.neighbor_of) for r in expand_neighbors(pool, *caps).orderBy("rn").collect()]
+    assert picked(4, 2, 3) == [(10, None), (12, 10), (13, 10)]
+    assert picked(2, 2, 9) == [(10, None), (12, 10)]
+    assert picked(4, 1, 9) == [(10, None), (12, 10), (11, None), (13, None)]
+
+
+def test_phrases_of_any_length_are_found(spark):
+    needles = spark.createDataFrame([(1, "Alpha"), (2, "beta gamma"), (3, "one two three"), (4, "absent"), (5, None)], "needle_id long, needle string")
+    texts = spark.createDataFrame([(1, "an ALPHA here"), (2, "x beta gamma"), (3, "so one two threes"), (4, None), (5, "")], "doc_id long, text string")
+    found = audits.contained_in(needles, texts, "doc_id", "text").collect()
+    assert sorted((r.needle_id, r.doc_id) for r in found) == [(1, 1), (2, 2), (3, 3)]
 
 
 def test_catalog_files(spark, tmp_path):
