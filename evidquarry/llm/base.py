@@ -51,6 +51,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def text_portions(column: pa.Array, most: int) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) in portions of about *most* characters; nulls are empty texts.
+
+    Texts become Python strings one portion at a time, never a whole batch at once.
+    """
+    start, texts, size = 0, [], 0
+    for row in range(len(column)):
+        texts.append(column[row].as_py() or "")
+        size += len(texts[-1])
+        if size >= most:
+            yield start, texts
+            start, texts, size = row + 1, [], 0
+    if texts:
+        yield start, texts
+
+
 def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables holding whole key groups, from batches of a partition sorted by *keys*.
 

@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidquarry.llm.base import table
+from evidquarry.llm.base import table, text_portions
 from evidquarry.llm.pretokens import BYTE_RULE, Splitter, Vocabulary
 
-REMEMBERED_WORDS, REMEMBERED_PAIRS = 600_000, 400_000
-CHUNK = 2_000_000  # characters whose words are held at a time
+REMEMBERED_WORDS, REMEMBERED_PAIRS = 350_000, 250_000
+CHUNK = 1_000_000  # characters whose words are held at a time
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
@@ -133,18 +133,6 @@ def _codec(content: str) -> Codec:
     return Codec(Vocabulary(content))
 
 
-def _portions(texts: list[str]) -> Iterator[list[str]]:
-    part, size = [], 0
-    for text in texts:
-        part.append(text)
-        size += len(text)
-        if size >= CHUNK:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def _digest(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
@@ -173,13 +161,11 @@ def encoded(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent.value)
         for batch in batches:
-            at = 0
-            for texts in _portions([t.as_py() or "" for t in batch.column(1)]):
+            for at, texts in text_portions(batch.column(1), CHUNK):
                 packed = codec.encode_all(texts)
                 decoded = [codec.decode(p) for p in packed]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(texts)), *(_COLUMNS[c][1](packed, decoded) for c in columns)], names=names)
-                at += len(texts)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (

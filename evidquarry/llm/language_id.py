@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidquarry.llm.base import table
+from evidquarry.llm.base import table, text_portions
 from evidquarry.llm.shingles import mixed
 
 UNKNOWN = "und"
-SAMPLE, STRETCHES, STRETCH, LANGUAGES = 300, 4, 60, 200
+SAMPLE, LANES, STRETCHES, STRETCH, LANGUAGES = 300, 30, 4, 60, 200
 LEXICON_COUNT, FEATURE_COUNT = 4, 3
 SEQUENCES, LENGTH, STEPS, RATE, DECAY = 2400, 48, 60, 0.5, 1e-3
-CHUNK, PORTION, REMEMBERED = 64, 2_000_000, 300_000
+CHUNK, PORTION, REMEMBERED = 64, 1_000_000, 200_000
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -177,11 +177,11 @@ def learned(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col:
     """Fit on the bounded sample of the documents that *allowed* admits."""
     rows = docs.where(allowed & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.col(lang_col) != UNKNOWN))
     ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    drawn = F.pmod(F.xxhash64("id", F.lit("draw")), F.col("many")) < 4 * SAMPLE  # about four samples a language, whatever its size
+    lane = F.pmod(F.xxhash64("id", F.lit("lane")), F.lit(LANES))  # no task has to rank a whole language
+    order = Window.partitionBy("lang", "lane").orderBy(F.xxhash64("id"), "id")
     chosen = (
-        ids.join(ids.groupBy("lang").agg(F.count("*").alias("many")), "lang").where(drawn)
-        .withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE).orderBy("n", "lang").limit(SAMPLE * LANGUAGES)
+        ids.withColumn("lane", lane).withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE // LANES)
+        .orderBy("n", "lang", "lane").limit(SAMPLE * LANGUAGES)
         .select("id").distinct()
     )  # at most SAMPLE * LANGUAGES ids: small enough to send to every task
 
@@ -297,22 +297,15 @@ def identified(docs: DataFrame, model: Model | None, text_col: str = "text", kee
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(sent.value) if sent.value else None
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(0)]
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= PORTION):
-                    size += len(texts[end])
-                    end += 1
-                names, scores = [UNKNOWN] * (end - at), np.zeros(end - at)
+            for at, texts in text_portions(batch.column(0), PORTION):
+                names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 if labeller:
-                    counts, shares = labeller.shares(texts[at:end])
+                    counts, shares = labeller.shares(texts)
                     best = np.round(shares, 12).argmax(1)
                     names = [labeller.model.languages[b] if n else UNKNOWN for b, n in zip(best, counts, strict=True)]
                     scores = np.where(counts > 0, np.clip(shares.max(1), 0, 1), 0.0)
-                rest = [c.slice(at, end - at) for c in batch.columns[1:]]
+                rest = [c.slice(at, len(texts)) for c in batch.columns[1:]]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(names), pa.array(scores)], names=[*batch.schema.names[1:], "lang_pred", "score"])
-                at = end
 
     kept = docs.select(F.col(text_col).alias("_text"), *keep)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])

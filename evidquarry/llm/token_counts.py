@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from evidquarry.llm.base import table
 from evidquarry.llm.pretokens import WORD_RULE, Splitter, Vocabulary, lowered
 
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
 
 def whole_tokens(vocabulary: Vocabulary) -> dict[str, int]:
