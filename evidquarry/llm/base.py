@@ -114,15 +114,10 @@ def joined_labels(count: int, left: np.ndarray, right: np.ndarray) -> np.ndarray
         label = label[label]
 
 
-SALTS = 16
-
-
 def _with_least(links: DataFrame) -> DataFrame:
-    """Each link (a, b) with m, the least of a and its partners; a busy node's links are salted."""
+    """Each link (a, b) with m, the least of a and its partners."""
     least = links.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
-    salts = F.explode(F.array(*map(F.lit, range(SALTS))))
-    salted = links.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    return salted.join(least.withColumn("salt", salts), ["a", "salt"]).drop("salt")
+    return links.join(least, "a")
 
 
 def components(edges: DataFrame) -> DataFrame:
