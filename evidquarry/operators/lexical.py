@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidquarry.functions.text import token_bag, token_count, tokens
+from evidquarry.operators.ranks import cumulative_counts, value_at
 from evidquarry.session import balanced
 
 # Saturation, length normalisation, score precision.
@@ -168,7 +169,8 @@ def max_normalised(ranked: DataFrame) -> DataFrame:
 
 def rare_threshold(frequencies: DataFrame) -> DataFrame:
     """Document frequency at the bottom decile of the whole vocabulary."""
-    return frequencies.agg(F.expr("percentile_disc(0.1) WITHIN GROUP (ORDER BY df)").cast("bigint").alias("threshold"))
+    at = F.greatest(F.ceil(F.col("total") / 10) - 1, F.lit(0))
+    return value_at(cumulative_counts(frequencies, "df", []), "df", [], at, "threshold")
 
 
 def rare_query_terms(chunks: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:

@@ -9,23 +9,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-RANGES = 1024
+RANGES, STEP = 1024, 32
 
 
-def cumulative_counts(df: DataFrame, value: str, group: list[str], ranges: int = RANGES) -> DataFrame:
+def cumulative_counts(df: DataFrame, value: str, group: list[str]) -> DataFrame:
     """Distinct values with ``below`` (rows with a smaller value), ``n`` and ``total``."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    span = counted.groupBy(*group).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("n").alias("total")
-    )
+    # Range ends are approximate quantiles of the distinct values: outliers cannot put all
+    # values into one range, and any ends give exact results.
+    cuts = F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)])
+    span = counted.groupBy(*group).agg(cuts.alias("_cuts"), F.sum("n").alias("total"))
     if group:
         placed = counted.join(span, group)
     else:
-        one = span.agg(F.first(F.struct("_lo", "_hi", "total")).alias("s")).scalar()
+        one = span.agg(F.first(F.struct("_cuts", "total")).alias("s")).scalar()
         placed = counted.withColumn("_s", one).select(*counted.columns, "_s.*")
-    width = (F.col("_hi") - F.col("_lo")) / ranges
-    slot = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(ranges - 1))).otherwise(F.lit(0))
-    placed = placed.withColumn("_slot", slot.cast("int"))
+    coarse = F.transform(F.sequence(F.lit(STEP), F.size("_cuts"), F.lit(STEP)), lambda i: F.element_at("_cuts", i))
+    whole = F.size(F.filter(coarse, lambda c: c < F.col(value))) * STEP
+    part = F.size(F.filter(F.slice("_cuts", whole + 1, STEP), lambda c: c < F.col(value)))
+    placed = placed.withColumn("_slot", whole + part).drop("_cuts")
     sizes = placed.groupBy(*group, "_slot").agg(F.sum("n").alias("_size"))
     ahead = Window.partitionBy(*group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(ahead), F.lit(0))).drop("_size")

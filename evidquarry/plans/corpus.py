@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from evidquarry.functions import text as X
 from evidquarry.operators import suites as SU
 from evidquarry.operators.ranks import cumulative_counts
 from evidquarry.plans.registry import ctes, query
+from evidquarry.session import shared_path
 from evidquarry.sources import files
 from evidquarry.sources.html import text_lines
 from evidquarry.streaming import rate_limit, telemetry
@@ -185,17 +184,9 @@ def c39_standardized_examples(t):
 
 # ---- files ----------------------------------------------------------------------
 
-def _scratch(t, name: str) -> str:
-    """A folder for a write-then-read round trip: shared on a cluster, local in tests."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/evidquarry-{name}-{t.spark.sparkContext.applicationId}"
-    return tempfile.mkdtemp(prefix=f"run-{name}-", dir="/tmp") + "/out"
-
-
 @query("s16_jsonl_round_trip", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def s16_jsonl_round_trip(t):
-    path = _scratch(t, "jsonl")
+    path = shared_path(t.spark, "jsonl")
     files.write_ndjson(t.read("events").select("event_id", "event_type", "value"), path)
     rows = files.read_jsonl(t.spark, path, "event_id bigint, event_type string, value double")
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))

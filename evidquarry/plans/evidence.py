@@ -8,7 +8,7 @@ from evidquarry.functions import citations as C, markdown as MD, text as X
 from evidquarry.operators import gates, ranking as R
 from evidquarry.plans.registry import ctes, query
 from evidquarry.plans.retrieval import FUSE_CTES, candidates, sql_tokens
-from evidquarry.plans.text import _ANS, _SENTENCES, ANSWER, answers, exploded_lines
+from evidquarry.plans.text import _ANS, _PARTS, _SENTENCES, ANSWER, PART_MD, answers, exploded_lines
 
 # ---- facts and conflicts --------------------------------------------------------
 
@@ -190,10 +190,17 @@ def r11_conversation_anchors(t):
     return last.select("conv_id", F.exists(anchors, lambda x: x.rlike(r"-\d+$")).alias("has_section"))
 
 
-@query("x24_answer_deltas", None)
+_DELTA_END = """cur + CASE WHEN length(answer) - cur <= 32 THEN length(answer) - cur
+  ELSE 32 + coalesce(nullif(length(regexp_extract(substr(answer, cur + 33), '^[^ \\n]*[ \\n]')), 0), 0) END"""
+
+
+@query("x24_answer_deltas", ctes(_ANS, ("d", f"""
+SELECT conv_id, turn, answer, 0 AS pos, 0 AS cur, {_DELTA_END.replace('cur', '0')} AS nxt FROM an WHERE answer <> ''
+UNION ALL SELECT conv_id, turn, answer, pos + 1, nxt, {_DELTA_END.replace('cur', 'nxt')} FROM d WHERE nxt < length(answer)""")).replace("WITH ", "WITH RECURSIVE ", 1) + """
+SELECT conv_id, turn, pos, substr(answer, cur + 1, nxt - cur) AS delta FROM d""")
 def x24_answer_deltas(t):
-    """Readable stream pieces: words are never broken, pieces reach 32 characters."""
-    piece = F.regexp_extract_all("answer", F.lit(r"(?s).{32}[^ \n]*[ \n]|.+"), 0)
+    """Readable stream pieces of 32 characters and the rest of the word; a tail without a break is cut at 32."""
+    piece = F.regexp_extract_all("answer", F.lit(r"(?s).{32}[^ \n]*[ \n]|.{1,32}"), 0)
     return answers(t).select("conv_id", "turn", F.posexplode(piece).alias("pos", "delta"))
 
 
@@ -293,15 +300,33 @@ def c42_expected_terms(t):
     return t.read("orders").select("o_orderkey", present.alias("present"))
 
 
-@query("f14_overview_metric_lines", None)
-def f14_overview_metric_lines(t):
-    """Lines that carry numbers leave an overview unless nothing would be left."""
-    lines = F.split("md", "\n")
-    metric = r"(?<![\w.])\d+(?:[.,]\d+)*(?![\w.])|\|.*\b\d[\d,.]*\b|:\s*\d[\d,.]*\s*$"
-    kept = F.trim(F.array_join(F.filter(lines, lambda l: ~l.rlike(metric)), "\n"))
-    from evidquarry.plans.text import parts_md
+# Lines of an overview that only report measurements.
+_COUNTED = r"\b(?:source\s+files?|nonblank\s+(?:kotlin\s+)?lines?|declared\s+symbols?|symbols?|tests?\s+(?:discovered|found))\b"
+_METRICS = (
+    r"\b\d[\d,.]*\b.*" + _COUNTED,
+    _COUNTED + r".*\b\d[\d,.]*\b",
+    r"\b(?:lifecycle\s+status|maturity\s+signal|observed\s+implementation\s+footprint)\b",
+    r"\|.*\b\d[\d,.]*\b",
+    r":\s*\d[\d,.]*\s*$",
+)
+_LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+_PART_SIGNALS = ("pv", """SELECT p_partkey, md || chr(10) || CASE p_partkey % 3 WHEN 0 THEN 'Lifecycle status: stable' WHEN 1
+  THEN 'Symbols: v' || p_size || ' of x1' ELSE 'Tests found in rev. 2.x' END AS md FROM pm JOIN part USING (p_partkey)""")
+
 
-    return parts_md(t).select("p_partkey", F.coalesce(F.nullif(kept, F.lit("")), F.col("md")).alias("overview"))
+@query("f14_overview_metric_lines", ctes(_PARTS, _PART_SIGNALS) + f"""
+SELECT p_partkey, coalesce(nullif(trim(array_to_string(list_filter(string_split(md, chr(10)),
+  lambda l: NOT regexp_matches(l, '{"|".join(_METRICS)}|(^|[^\\w.])\\d+([.,]\\d+)*([^\\w.]|$)', 'i')), chr(10)), ' ' || chr(10)), ''), md) AS overview FROM pv""".replace("\\\\", "\\"))
+def f14_overview_metric_lines(t):
+    """Lines that carry measurements leave an overview unless nothing would be left."""
+    metric = "(?i)(?U)" + "|".join((*_METRICS, r"(?<![\w.])\d+(?:[.,]\d+)*(?![\w.])"))
+    lines = F.filter(F.split("md", _LINE_ENDS), lambda l: ~l.rlike(metric))
+    kept = F.regexp_replace(F.array_join(lines, "\n"), r"(?U)^\s+|\s+$", "")
+    signal = F.when(F.col("p_partkey") % 3 == 0, "Lifecycle status: stable").when(
+        F.col("p_partkey") % 3 == 1, F.concat(F.lit("Symbols: v"), F.col("p_size").cast("string"), F.lit(" of x1"))
+    ).otherwise("Tests found in rev. 2.x")
+    parts = t.read("part").selectExpr("p_partkey", "p_size", f"{PART_MD} AS md").withColumn("md", F.concat("md", F.lit("\n"), signal))
+    return parts.select("p_partkey", F.coalesce(F.nullif(kept, F.lit("")), F.col("md")).alias("overview"))
 
 
 @query("f13_low_information", ctes("chunks") + """

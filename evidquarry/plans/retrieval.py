@@ -654,9 +654,9 @@ def a15_fused_rerank(t):
 
 
 @query("a16_context_quality", ctes(*RERANK_CTES, ("top", "SELECT * FROM rr WHERE ord <= 12")) + """
-SELECT query_id, 'SUFFICIENT' AS quality, CAST(round_even(least(max(rerank_score), 1.0), 3) AS DOUBLE) AS relevance,
+SELECT query_id, CASE WHEN max(rerank_score) >= 0.25 OR max(coalesce(lexical_score, 0)) > 0 THEN 'SUFFICIENT' ELSE 'INSUFFICIENT' END AS quality, CAST(round_even(least(max(rerank_score), 1.0), 3) AS DOUBLE) AS relevance,
   CAST(round_even(least(1.0, count(*) / 2.0 + least(max(coalesce(lexical_score, 0)) / 4, 0.5)), 3) AS DOUBLE) AS completeness,
-  '' AS failure_reason FROM top GROUP BY 1""")
+  CASE WHEN max(rerank_score) >= 0.25 OR max(coalesce(lexical_score, 0)) > 0 THEN '' ELSE 'LOW_RELEVANCE' END AS failure_reason FROM top GROUP BY 1""")
 def a16_context_quality(t):
     return R.context_quality(reranked(t).where(F.col("ord") <= 12))
 
@@ -736,16 +736,16 @@ def j4_siblings_by_parent(t):
 
 @query("j5_neighbor_join", ctes(*FUSE_CTES) + """
 SELECT a.query_id, a.chunk_id AS anchor_id, b.chunk_id AS chunk_id FROM cand a JOIN cand b ON a.query_id = b.query_id
-  AND a.parent_id = b.parent_id AND abs(a.chunk_ordinal - b.chunk_ordinal) = 1 WHERE a.ord <= 12""")
+  AND a.parent_id = b.parent_id AND a.language = b.language AND abs(a.chunk_ordinal - b.chunk_ordinal) = 1 WHERE a.ord <= 12""")
 def j5_neighbor_join(t):
-    pool = candidates(t).withColumn("source_version", F.lit("1"))
+    pool = candidates(t).withColumn("source_version", F.col("language"))  # editions that neighbours can share
     return scans.neighbor_pairs(pool, pool.where(F.col("ord") <= 12)).select("query_id", "anchor_id", "chunk_id")
 
 
 @query("j5_neighbor_expand", None)
 def j5_neighbor_expand(t):
     """Sequential caps: checked against a direct computation in the tests."""
-    return expand_neighbors(candidates(t).withColumn("source_version", F.lit("1")), 16, 2, 3)
+    return expand_neighbors(candidates(t).withColumn("source_version", F.col("language")), 16, 2, 3)
 
 
 @query("u2_union_precedence", ctes(*FUSE_CTES, ("u", """

@@ -131,6 +131,8 @@ SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'RATE_LIMITED' WHEN 1 THEN 'PROVI
   WHEN 3 THEN 'PROVIDER_TIMEOUT' WHEN 4 THEN 'EMBEDDING_QUOTA_EXHAUSTED' ELSE 'UNKNOWN_RETRIEVAL_FAILURE' END AS failure FROM events""")
 def t6_failure_classes(t):
     code = F.col("event_id") % 6
+    wordings = ("monthly quota used up", "embedding token limit reached", "none left in the current month", "RESOURCE_EXHAUSTED")
+    spent = F.element_at(F.array(*[F.lit(w) for w in wordings]), (F.floor(F.col("event_id") / 6) % 4 + 1).cast("int"))
     status = F.when(code.isin(0, 4), 429).when(code == 1, 403).when(code == 2, 503)
-    message = F.when(code == 3, "ReadTimeout after 5s").when(code == 4, "monthly quota used up").otherwise("failed")
+    message = F.when(code == 3, "ReadTimeout after 5s").when(code == 4, spent).otherwise("failed")
     return t.read("events").select("event_id", RT.failure_class(status, message).alias("failure"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from evidquarry.functions import anchors as A, citations as C, jsontext as J, language as L, markdown as MD, text as X
 from evidquarry.operators import lexical
@@ -407,7 +407,36 @@ def x10_edit_distance(t):
     )
 
 
-@query("c31_latest_user_language", ctes(("u", _EVID[1].replace("FROM documents", "FROM conversations WHERE role = 'user'"))) + """
+_LEXICON = _sql_list(L.LEXICON)
+_SHORT = "CASE f " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in L.SHORT_MISSPELLINGS.items()) + " END"
+# User questions with repaired words, and the evidence in them.
+_REPAIRED = (
+    ("pc", """SELECT conv_id, turn, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM (
+  SELECT conv_id, turn, regexp_extract_all(text, '\\p{L}+|[^\\p{L}]+') AS p FROM conversations WHERE role = 'user')"""),
+    ("wf", f"SELECT w, {_FOLD.format('w')} AS f FROM (SELECT DISTINCT w FROM pc)"),
+    ("wn", f"""SELECT *, {_SHORT} AS short, list_filter({_sql_list(L.CORRECTION_TARGETS)}, lambda x: damerau_levenshtein(f, x) = 1) AS near,
+  NOT regexp_matches(w, '^\\p{{L}}') OR (length(w) < {L.MIN_CORRECTABLE} AND {_SHORT} IS NULL) OR upper(w) = w OR regexp_matches(substr(w, 2), '\\p{{Lu}}')
+  OR list_contains({_LEXICON}, f) OR list_contains({_sql_list(L.NEVER_CORRECT)}, f)
+  OR (f LIKE '%s' AND list_contains({_LEXICON}, f[:-2])) OR list_contains({_LEXICON}, f || 's') AS fixed FROM wf"""),
+    ("wb", "SELECT w, f, fixed, coalesce(short, CASE WHEN len(near) = 1 THEN near[1] END) AS best FROM wn"),
+    ("wc", """SELECT w, CASE WHEN fixed OR best IS NULL OR best = f THEN w WHEN regexp_matches(w, '^\\p{Lu}') THEN upper(best[1]) || best[2:] ELSE best END AS c FROM wb"""),
+    ("uq", "SELECT conv_id, turn, string_agg(c, '' ORDER BY i) AS text FROM pc JOIN wc USING (w) GROUP BY 1, 2"),
+    ("u", _EVID[1].replace("FROM documents", "FROM uq")),
+)
+
+
+@query("x13_response_language", ctes(*_REPAIRED, ("d", """
+SELECT conv_id, turn, CASE WHEN s > e THEN 'es' WHEN e > s THEN 'en' ELSE 'mixed' END AS d FROM u"""), ("p", """
+SELECT *, lag(d) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM d""")) + """
+SELECT conv_id, turn, CASE WHEN d <> 'mixed' THEN d WHEN prev IN ('en', 'es') THEN prev ELSE 'es' END AS language FROM p""")
+def x13_response_language(t):
+    """The language a turn is answered in: its own, else that of the user's turn before, else the default."""
+    users = t.read("conversations").where("role = 'user' AND text <> ''").select("conv_id", "turn", L.detect(F.col("text")).alias("d"))
+    before = F.lag("d").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return users.withColumn("prev", before).select("conv_id", "turn", L.settled(F.col("d"), F.col("prev")).alias("language"))
+
+
+@query("c31_latest_user_language", ctes(*_REPAIRED) + """
 SELECT conv_id, arg_max(CASE WHEN s > e THEN 'es' ELSE 'en' END, turn) AS language FROM u WHERE s <> e GROUP BY 1""")
 def c31_latest_user_language(t):
     users = t.read("conversations").where("role = 'user'").select("conv_id", "turn", L.detect(F.col("text")).alias("d"))
