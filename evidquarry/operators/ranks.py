@@ -12,19 +12,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 RANGES, STEP = 1024, 32
 
 
-def cumulative_counts(df: DataFrame, value: str, group: list[str]) -> DataFrame:
+def cumulative_counts(df: DataFrame, value: str, group: list[str], ranges: int = RANGES) -> DataFrame:
     """Distinct values with ``below`` (rows with a smaller value), ``n`` and ``total``."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
     # Range ends are approximate quantiles of the distinct values: outliers cannot put all
     # values into one range, and any ends give exact results.
-    cuts = F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)])
+    cuts = F.percentile_approx(value, [i / ranges for i in range(1, ranges)])
     span = counted.groupBy(*group).agg(cuts.alias("_cuts"), F.sum("n").alias("total"))
     if group:
         placed = counted.join(span, group)
     else:
         one = span.agg(F.first(F.struct("_cuts", "total")).alias("s")).scalar()
         placed = counted.withColumn("_s", one).select(*counted.columns, "_s.*")
-    coarse = F.transform(F.sequence(F.lit(STEP), F.size("_cuts"), F.lit(STEP)), lambda i: F.element_at("_cuts", i))
+    coarse = F.filter("_cuts", lambda _c, i: i % STEP == STEP - 1)  # one in STEP, then the cuts up to the next
     whole = F.size(F.filter(coarse, lambda c: c < F.col(value))) * STEP
     part = F.size(F.filter(F.slice("_cuts", whole + 1, STEP), lambda c: c < F.col(value)))
     placed = placed.withColumn("_slot", whole + part).drop("_cuts")

@@ -1,11 +1,13 @@
 """Operator semantics on small fixtures, and brute-force checks of sequential ones."""
 
+from bisect import bisect_left
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from evidquarry.functions import anchors, citations, language, markdown as MD, text as X
-from evidquarry.operators import audits, dense, fusion, lexical, metrics, ranking, scans, structured
+from evidquarry.operators import audits, dense, fusion, lexical, metrics, ranking, routing, scans, structured
 from evidquarry.operators.neighbors import expand_neighbors
 from evidquarry.operators.ranks import cumulative_counts, nearest_rank
 from evidquarry.sources import files
@@ -239,3 +241,24 @@ def test_corpus_cache_expires(spark):
     assert cache.get("a", lambda: spark.range(2)).count() == 2
     cache.get("b", lambda: spark.range(3))
     assert len(cache) == 1
+
+def test_rules_of_failures_languages_and_deltas(spark):
+    for message in ("embedding token limit", "spent for the current month", "Quota", "resource_exhausted"):
+        assert one(spark, routing.failure_class(F.lit(429), F.lit(message))) == "EMBEDDING_QUOTA_EXHAUSTED"
+    assert one(spark, routing.failure_class(F.lit(429), F.lit("slow down"))) == "RATE_LIMITED"
+    assert one(spark, language.detect(F.lit("overveiw describbe"))) == "en"
+    assert one(spark, language.detect(F.lit("como functiona"))) == "es"
+    assert one(spark, language.detect(F.lit("zzz"))) == "mixed"
+    assert one(spark, language.settled(F.lit("mixed"), F.lit("en"))) == "en"
+    assert one(spark, language.settled(F.lit("mixed"), F.lit(None).cast("string"))) == "es"
+
+
+def test_order_statistics_hold_with_outliers_and_ties(spark):
+    values = [1e15, -1e15, *[float(v % 3000) for v in range(9000)], *[7.0] * 500, None]
+    frame = spark.createDataFrame([("a", v) for v in values] + [("b", 1.0), ("c", None)], "g string, v double")
+    found = {(r.g, r.v): (r.below, r.n, r.total) for r in cumulative_counts(frame, "v", ["g"]).collect()}
+    plain = sorted(v for v in values if v is not None)
+    expected = {("a", v): (bisect_left(plain, v), plain.count(v), len(plain)) for v in set(plain)}
+    assert found == expected | {("b", 1.0): (0, 1, 1)}
+    alone = cumulative_counts(frame.where("g = 'a'").select("v"), "v", []).collect()
+    assert {(r.v, r.below, r.n) for r in alone} == {(v, below, n) for (_g, v), (below, n, _t) in expected.items()}
