@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from evidquarry.operators.best import SCHEMA, Best
 from evidquarry.session import fits_within, shared_path
 
 DIGITS = 6
@@ -44,52 +45,31 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def _local_top_k(query_ids: list[int], matrix: np.ndarray, k: int):
+def _local_top_k(query_ids: np.ndarray, matrix: np.ndarray, k: int):
     """Per-partition top-k for every query of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_ids = [np.empty(0, dtype=np.int64)] * len(query_ids)
-        kept_scores = [np.empty(0)] * len(query_ids)
+        best = Best(query_ids, k)
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            scores = np.round(np.maximum(matrix @ _unit(flat.reshape(len(ids), -1)).T, 0.0), DIGITS)
-            for index in range(len(query_ids)):
-                values = np.concatenate([kept_scores[index], scores[index]])
-                names = np.concatenate([kept_ids[index], ids])
-                if len(values) > k:
-                    floor = np.partition(values, len(values) - k)[len(values) - k]
-                    near = values >= floor
-                    values, names = values[near], names[near]
-                    order = np.lexsort((names, -values))[:k]
-                    values, names = values[order], names[order]
-                kept_scores[index], kept_ids[index] = values, names
-        counts = [len(v) for v in kept_scores]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(np.array(query_ids, dtype=np.int64), counts)),
-                pa.array(np.concatenate(kept_ids).astype(np.int64)),
-                pa.array(np.concatenate(kept_scores).astype(np.float64)),
-            ],
-            names=["query_id", "chunk_id", "score"],
-        )
+            for start in range(0, batch.num_rows, best.portion):
+                part = batch.slice(start, best.portion)
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                cosines = _unit(flat.reshape(len(ids), -1)) @ matrix.T
+                best.meet(ids, np.round(np.maximum(cosines, 0.0), DIGITS))
+        yield best.rows()
 
     return run
 
 
 def _block_top_k(corpus: DataFrame, block: DataFrame, k: int) -> DataFrame:
-    rows = block.select("query_id", "embedding").orderBy("query_id").collect()
-    matrix = _unit(np.array([row["embedding"] for row in rows], dtype=np.float64)) if rows else np.empty((0, 1))
+    rows = block.where(F.col("embedding").isNotNull()).select("query_id", "embedding").orderBy("query_id").collect()
     if not rows:
-        return corpus.select(
-            F.lit(0).cast("bigint").alias("query_id"), "chunk_id", F.lit(0.0).alias("score")
-        ).where(F.lit(False))
-    return corpus.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "embedding").mapInArrow(
-        _local_top_k([row["query_id"] for row in rows], matrix, k),
-        "query_id bigint, chunk_id bigint, score double",
-    )
+        return corpus.sparkSession.createDataFrame([], SCHEMA)
+    matrix = _unit(np.array([row["embedding"] for row in rows], dtype=np.float64))
+    stored = corpus.where(F.col("embedding").isNotNull()).select(F.col("chunk_id").cast("bigint"), "embedding")
+    names = np.array([row["query_id"] for row in rows], dtype=np.int64)
+    return stored.mapInArrow(_local_top_k(names, matrix, k), SCHEMA)
 
 
 def batch_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -1,23 +1,30 @@
 """Inverted-index statistics and BM25 over a batch of queries.
 
-Postings are restricted to the terms the batch asks for before anything is
-shuffled, partial aggregation folds repeated terms inside each task, and the
-per-query top-k is a rank limit that Spark applies on both sides of the shuffle.
-Corpus-level numbers (N, average length) enter as scalar subqueries.
+Scores are computed in the scan: two passes over the chunks, one for the counts of the
+asked terms and one for each task's own best. The index over all terms is a map-side
+combined aggregate.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidquarry.functions.text import token_bag, token_count, tokens
+from evidquarry.operators.best import SCHEMA, Best
 from evidquarry.operators.ranks import cumulative_counts, value_at
-from evidquarry.session import balanced
+from evidquarry.session import balanced, fits_within, shared_path
 
 # Saturation, length normalisation, score precision.
 K1 = 1.2
 B = 0.75
 DIGITS = 6
+PAIRS_PER_PASS = 500_000  # (query, term) pairs of one block, about 30 MB in a task
+POSTINGS = 20_000  # term occurrences expanded to their queries at a time
 
 # How often each metadata field is repeated in the searchable text.
 FIELD_WEIGHTS = {
@@ -61,11 +68,6 @@ def prepared(chunks: DataFrame) -> DataFrame:
     return balanced(chunks.select(*columns), "chunk_id")
 
 
-def _length(corpus: DataFrame) -> Column:
-    counts = [F.coalesce(token_count(value), F.lit(0)) * weight for value, weight in _searchable_fields(corpus)]
-    return sum(counts[1:], counts[0])
-
-
 def _tokens(corpus: DataFrame) -> Column:
     """All tokens, a weighted field's repeated: a space never sits inside a token, so
     this equals tokenizing the text in which the field itself is repeated."""
@@ -77,13 +79,18 @@ def _tokens(corpus: DataFrame) -> Column:
     return F.concat(*parts)
 
 
+def searchable_tokens(corpus: DataFrame) -> Column:
+    return F.transform(_tokens(corpus), F.lower)
+
+
 def postings(corpus: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(chunk_id, length, term, tf), optionally only for the given terms.
 
     The length is a column before the explode and the token array is the generator's own
     expression: otherwise one would be computed, or the other copied, per exploded row.
     """
-    sized = corpus.withColumn("length", _length(corpus))
+    counts = [F.coalesce(token_count(value), F.lit(0)) * weight for value, weight in _searchable_fields(corpus)]
+    sized = corpus.withColumn("length", sum(counts[1:], counts[0]))
     rows = sized.select("chunk_id", "length", F.explode(_tokens(corpus)).alias("term"))
     rows = rows.withColumn("term", F.lower("term"))
     if terms is not None:
@@ -95,15 +102,6 @@ def document_frequency(posting_rows: DataFrame) -> DataFrame:
     return posting_rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def corpus_stats(corpus: DataFrame) -> DataFrame:
-    """One struct, so that its users share a single scalar subquery."""
-    return corpus.select(_length(corpus).alias("length")).agg(
-        F.struct(
-            F.count(F.lit(1)).alias("n"), F.greatest(F.avg("length"), F.lit(1.0)).alias("avg_length")
-        ).alias("stats")
-    )
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     """Distinct terms of each query."""
     return queries.select(
@@ -111,30 +109,110 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def term_weight(tf: Column, df: Column, length: Column, n: Column, avg_length: Column) -> Column:
-    idf = F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
-    norm = F.lit(1 - B) + F.lit(B) * length / avg_length
-    return idf * (tf * F.lit(K1 + 1)) / (tf + F.lit(K1) * norm)
-
-
-def scored_pairs(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, raw score, matched terms) of every pair that shares a term."""
-    corpus = prepared(chunks)
-    terms = query_terms(queries)
-    hits = postings(corpus, terms)
-    stats = corpus_stats(corpus).scalar()
-    weighted = hits.join(document_frequency(hits), "term").select(
-        "chunk_id",
-        "term",
-        term_weight(F.col("tf"), F.col("df"), F.col("length"), stats["n"], stats["avg_length"]).alias("w"),
-    )
-    return (
-        terms.join(weighted, "term")
-        .groupBy("query_id", "chunk_id")
-        .agg(F.round(F.sum("w"), DIGITS).alias("lexical_score"), F.count(F.lit(1)).alias("matched"))
-        # both results stay in the aggregate, so its users can share one shuffle
-        .where((F.col("lexical_score") >= 0) & (F.col("matched") > 0))
-    )
+class Asked:
+    """The terms of one block of queries: what the tasks look tokens up in."""
+
+    def __init__(self, pairs: pa.Table):
+        self.query_ids, query = np.unique(pairs.column("query_id").to_numpy(), return_inverse=True)
+        encoded = pc.dictionary_encode(pairs.column("term")).combine_chunks()
+        self.terms, term = encoded.dictionary, encoded.indices.to_numpy()
+        order = np.lexsort((query, term))
+        self.owner = query[order]  # queries, term by term
+        self.start = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+
+    def found(self, bags: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Token counts of all rows, and (row, term, times) of the asked terms in them."""
+        lengths = np.diff(bags.offsets.to_numpy())
+        at = pc.index_in(pc.ascii_lower(bags.flatten()), value_set=self.terms).fill_null(-1).to_numpy()
+        row = np.repeat(np.arange(len(bags)), lengths)
+        cell, times = np.unique(row[at >= 0] * len(self.terms) + at[at >= 0], return_counts=True)
+        return lengths, cell // len(self.terms), cell % len(self.terms), times
+
+
+def _counts(asked: Asked):
+    """A task's own sums: rows (0), tokens (1), and documents for each asked term (2 ...)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(2 + len(asked.terms), np.int64)
+        for batch in batches:
+            lengths, _, term, _ = asked.found(batch.column(1))
+            sums[:2] += len(lengths), lengths.sum()
+            sums[2:] += np.bincount(term, minlength=len(asked.terms))
+        slot = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(sums[slot])], names=["slot", "n"])
+
+    return run
+
+
+def _best_scores(asked: Asked, sums: np.ndarray, k: int):
+    """BM25 of a task's chunks against all queries of the block, its k best for each query."""
+    size, tokens_in_all, df = sums[0], sums[1], sums[2:]
+    idf = np.log(1 + (size - df + 0.5) / (df + 0.5))
+    average = max(1.0, tokens_in_all / max(1, size))
+    fan = np.diff(asked.start)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(asked.query_ids, k)
+        width = len(asked.query_ids)
+        for batch in batches:
+            lengths, row, term, times = asked.found(batch.column(1))
+            ids = batch.column(0).to_numpy()
+            norm = 1 - B + B * lengths[row] / average
+            weight = idf[term] * (times * (K1 + 1)) / (times + K1 * norm)
+            for start in range(0, len(ids), best.portion):
+                stop = min(start + best.portion, len(ids))
+                scores, hits = np.zeros((stop - start) * width), np.zeros((stop - start) * width, bool)
+                lo, hi = np.searchsorted(row, [start, stop])
+                for at in range(lo, hi, POSTINGS):
+                    here = slice(at, min(at + POSTINGS, hi))
+                    times_asked = fan[term[here]]
+                    ahead = np.cumsum(times_asked) - times_asked
+                    place = np.arange(times_asked.sum()) + np.repeat(asked.start[term[here]] - ahead, times_asked)
+                    cell = np.repeat((row[here] - start) * width, times_asked) + asked.owner[place]
+                    scores += np.bincount(cell, np.repeat(weight[here], times_asked), len(scores))
+                    hits[cell] = True
+                shown = np.where(hits, np.round(scores, DIGITS), np.nan)
+                best.meet(ids[start:stop], shown.reshape(stop - start, width))
+        yield best.rows()
+
+    return run
+
+
+def _scored_block(corpus: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    spark = corpus.sparkSession
+    block = pairs.select(F.col("query_id").cast("bigint"), "term").toArrow()
+    if not block.num_rows:
+        return spark.createDataFrame([], SCHEMA)
+    asked = Asked(block)
+    sums = np.zeros(2 + len(asked.terms), np.int64)
+    for slot, n in corpus.mapInArrow(_counts(asked), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n")).collect():
+        sums[slot] = n
+    return corpus.mapInArrow(_best_scores(asked, sums, k), SCHEMA)
+
+
+def matching_top_k(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The *k* best matching chunks of every query: query_id, chunk_id, lexical_score.
+
+    All terms of a chunk are in one row, so it is scored where it is read: the asked terms
+    go to the tasks in blocks of about PAIRS_PER_PASS (query, term) pairs, each task counts
+    them, and with the summed counts a second pass scores its chunks and hands on its own
+    k best. Neither tokens nor pairs of query and chunk are shuffled, whatever the terms.
+    """
+    frame = prepared(chunks)
+    corpus = frame.select(F.col("chunk_id").cast("bigint"), _tokens(frame).alias("tokens"))
+    pairs = query_terms(queries)
+    if fits_within(pairs, PAIRS_PER_PASS):
+        local = _scored_block(corpus, pairs, k)
+    else:
+        blocks = pairs.count() // PAIRS_PER_PASS + 1
+        slot = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        path = shared_path(corpus.sparkSession, "lexical")
+        for block in range(blocks):
+            _scored_block(corpus, pairs.where(slot == block), k).write.mode("append").parquet(path)
+        local = corpus.sparkSession.read.schema(SCHEMA).parquet(path)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("chunk_id"))
+    ranked = local.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k)
+    return ranked.select("query_id", "chunk_id", F.col("score").alias("lexical_score"))
 
 
 def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int, order: str = "chunk_id") -> DataFrame:
@@ -145,12 +223,7 @@ def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int, order: str = "chun
     and the k best of the matching ones already decide which of them are free.
     """
     best = Window.partitionBy("query_id").orderBy(F.desc("lexical_score"), F.asc("chunk_id"))
-    top = (
-        scored_pairs(chunks, queries)
-        .withColumn("rn", F.row_number().over(best))
-        .where(F.col("rn") <= k)
-        .select("query_id", "chunk_id", "lexical_score")
-    )
+    top = matching_top_k(chunks, queries, k)
     first = chunks.select(F.col(order).alias("chunk_id")).orderBy("chunk_id").limit(k)
     padding_ids = first.agg(F.collect_list("chunk_id").alias("ids")).scalar()
     padding = queries.select("query_id", F.explode(padding_ids).alias("chunk_id"), F.lit(0.0).alias("lexical_score"))

@@ -121,21 +121,20 @@ def with_variants(df):
     return df.withColumn("primary_rank", F.col("lexical_rank")).withColumn("variant_ranks", F.map_from_entries(ranks))
 
 
-def token_overlap_scores(pool, chunks, asked):
+def token_overlap_scores(pool, asked):
     """Offline stand-in for a cross-encoder: question-term overlap, as a probability.
 
-    The overlap is a by-product of lexical scoring, so no text is tokenized again.
+    Only the bounded pool is tokenized: its rows carry the searchable columns.
     """
-    size = asked.select("query_id", F.size(F.array_distinct(tokens(F.col("question")))).alias("n_terms"))
-    matched = lexical.scored_pairs(chunks, asked).select("query_id", "chunk_id", "matched")
-    joined = pool.join(matched, ["query_id", "chunk_id"], "left").join(size, "query_id")
-    share = F.coalesce("matched", F.lit(0)) / F.col("n_terms")
+    terms = asked.select("query_id", F.array_distinct(tokens(F.col("question"))).alias("_terms"))
+    found = F.array_intersect("_terms", lexical.searchable_tokens(pool))
+    share = F.size(found) / F.size("_terms")
     logit = F.lit(8.0) * share - F.lit(4.0)
-    return joined.withColumn("rerank_score", F.round(1 / (1 + F.exp(-logit)), 6)).drop("matched", "n_terms")
+    return pool.join(terms, "query_id").withColumn("rerank_score", F.round(1 / (1 + F.exp(-logit)), 6)).drop("_terms")
 
 
 def reranked(t):
-    return token_overlap_scores(candidates(t), t.chunks(), questions(t))
+    return token_overlap_scores(candidates(t), questions(t))
 
 
 # ---- scans ----------------------------------------------------------------------
@@ -329,10 +328,9 @@ SELECT term, count(*) AS hits, sum(tf) AS tf, max(df) AS df FROM post JOIN dfs U
 WHERE term IN (SELECT term FROM qt) GROUP BY 1""")
 def j1_postings_join(t):
     hits = lexical.postings(lexical.prepared(t.chunks()), lexical.query_terms(questions(t)))
-    joined = hits.join(lexical.document_frequency(hits), "term")
-    return joined.groupBy("term").agg(
-        F.count(F.lit(1)).alias("hits"), F.sum("tf").alias("tf"), F.max("df").alias("df")
-    )
+    # folded to one row per term before the join: a frequent term is never one hot key
+    folded = hits.groupBy("term").agg(F.count(F.lit(1)).alias("hits"), F.sum("tf").alias("tf"))
+    return folded.join(lexical.document_frequency(hits), "term")
 
 
 @query("a11_bm25_top_k", ctes(*LEX_CTES) + "SELECT query_id, chunk_id, lexical_score, lexical_rank FROM lex")
