@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidquarry.functions.text import token_bag, token_count, tokens
 from evidquarry.operators.best import SCHEMA, Best
-from evidquarry.operators.ranks import cumulative_counts, value_at
+from evidquarry.operators.ranks import at_index, cumulative_counts
 from evidquarry.session import balanced, fits_within, shared_path
 
 # Saturation, length normalisation, score precision.
@@ -79,8 +79,10 @@ def _tokens(corpus: DataFrame) -> Column:
     return F.concat(*parts)
 
 
-def searchable_tokens(corpus: DataFrame) -> Column:
-    return F.transform(_tokens(corpus), F.lower)
+def searchable_terms(corpus: DataFrame) -> Column:
+    """The terms of a chunk, each field tokenized once whatever its weight."""
+    bags = [F.coalesce(token_bag(value), F.array().cast("array<string>")) for value, _ in _searchable_fields(corpus)]
+    return F.transform(F.array_distinct(F.concat(*bags)), F.lower)
 
 
 def postings(corpus: DataFrame, terms: DataFrame | None = None) -> DataFrame:
@@ -243,7 +245,7 @@ def max_normalised(ranked: DataFrame) -> DataFrame:
 def rare_threshold(frequencies: DataFrame) -> DataFrame:
     """Document frequency at the bottom decile of the whole vocabulary."""
     at = F.greatest(F.ceil(F.col("total") / 10) - 1, F.lit(0))
-    return value_at(cumulative_counts(frequencies, "df", []), "df", [], at, "threshold")
+    return cumulative_counts(frequencies, "df", []).agg(at_index("df", at).alias("threshold"))
 
 
 def rare_query_terms(chunks: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:

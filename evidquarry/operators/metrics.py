@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from evidquarry.operators.ranks import cumulative_counts
+from evidquarry.operators.ranks import cumulative_counts, median, nearest_rank, prefix_sums
 
 DIGITS = 6
 # Split labels, gates and tolerances of the metric definitions.
@@ -322,32 +322,13 @@ def calibrated_threshold(rows: DataFrame, score: str = "max_rerank_score") -> Da
         rows.where(~F.col("answerable")).select(F.col(score).alias("v"), F.lit(1).alias("neg"))
     )
     negatives = tagged.groupBy("v").agg(F.sum("neg").alias("neg"), F.max(1 - F.col("neg")).alias("cand"))
-    expanded = negatives.where(F.col("neg") > 0)
-    counts = cumulative_weights(negatives, "v", "neg")
-    total = expanded.agg(F.coalesce(F.sum("neg"), F.lit(0)).alias("n")).scalar()
-    rate = F.when(total == 0, F.lit(0.0)).otherwise((total - F.col("below")) / total)
+    counts = prefix_sums(negatives.withColumnRenamed("neg", "n"), "v", [])
+    rate = F.when(F.col("total") == 0, F.lit(0.0)).otherwise((F.col("total") - F.col("below")) / F.col("total"))
     return counts.where((F.col("cand") == 1) & (rate <= MAX_FALSE_POSITIVE_RATE)).agg(
         F.coalesce(F.min("v"), F.lit(1.0)).alias("threshold")
     )
 
 
-def cumulative_weights(df: DataFrame, value: str, weight: str, ranges: int = 1024) -> DataFrame:
-    """Sum of weights of all smaller values, over distinct values, range by range."""
-    span = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("s")).scalar()
-    placed = df.withColumn("_s", span)
-    width = (F.col("_s.hi") - F.col("_s.lo")) / ranges
-    slot = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_s.lo")) / width), F.lit(ranges - 1))).otherwise(F.lit(0))
-    placed = placed.withColumn("_slot", slot.cast("int")).drop("_s")
-    sizes = placed.groupBy("_slot").agg(F.sum(weight).alias("_w"))
-    # at most *ranges* rows reach this single-partition window
-    ahead = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_slot", F.coalesce(F.sum("_w").over(ahead), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_slot").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("_in", F.coalesce(F.sum(weight).over(inside), F.lit(0))).join(offsets, "_slot").withColumn(
-        "below", F.col("_before") + F.col("_in")
-    ).drop("_slot", "_before", "_in")
-
-
 def separation(rows: DataFrame, expected: str, score: str) -> DataFrame:
     """Smallest positive and largest negative score."""
     return rows.agg(
@@ -358,18 +339,11 @@ def separation(rows: DataFrame, expected: str, score: str) -> DataFrame:
 
 def latency_summary(df: DataFrame, value: str, group: list[str]) -> DataFrame:
     """Nearest-rank p50/p95, the true median and the share of near-zero gaps."""
-    from evidquarry.operators.ranks import median, nearest_rank
-
-    counts = cumulative_counts(df, value, group)
-    burst = df.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.bround(F.avg((F.col(value) < 5).cast("int")), 3).alias("burst_share"),
+    near_zero = F.sum(F.when(F.col(value) < 5, F.col("n")).otherwise(F.lit(0)))
+    return cumulative_counts(df, value, group).groupBy(*group).agg(
+        F.sum("n").alias("n"),
+        F.bround(near_zero / F.sum("n"), 3).alias("burst_share"),
+        nearest_rank(value, 0.5).alias("p50"),
+        nearest_rank(value, 0.95).alias("p95"),
+        median(value).alias("median"),
     )
-    out = burst
-    for part in (
-        nearest_rank(counts, value, group, 0.5, "p50"),
-        nearest_rank(counts, value, group, 0.95, "p95"),
-        median(counts, value, group, "median"),
-    ):
-        out = out.join(part, group)
-    return out

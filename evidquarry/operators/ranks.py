@@ -9,25 +9,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-RANGES, STEP = 1024, 32
+RANGES, STEP = 256, 16
 
 
 def cumulative_counts(df: DataFrame, value: str, group: list[str], ranges: int = RANGES) -> DataFrame:
     """Distinct values with ``below`` (rows with a smaller value), ``n`` and ``total``."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
+    return prefix_sums(counted, value, group, ranges)
+
+
+def prefix_sums(counted: DataFrame, value: str, group: list[str], ranges: int = RANGES) -> DataFrame:
+    """Rows of distinct values with weight ``n``; adds ``below`` (weight of the smaller ones) and ``total``."""
     # Range ends are approximate quantiles of the distinct values: outliers cannot put all
     # values into one range, and any ends give exact results.
     cuts = F.percentile_approx(value, [i / ranges for i in range(1, ranges)])
     span = counted.groupBy(*group).agg(cuts.alias("_cuts"), F.sum("n").alias("total"))
+    # one cut in STEP is looked at first, then those up to the next; taken once, not per row
+    coarse = F.filter("_cuts", lambda _c, i: i % STEP == STEP - 1)
+    span = span.withColumn("_coarse", coarse)
     if group:
         placed = counted.join(span, group)
     else:
-        one = span.agg(F.first(F.struct("_cuts", "total")).alias("s")).scalar()
+        one = span.agg(F.first(F.struct("_cuts", "_coarse", "total")).alias("s")).scalar()
         placed = counted.withColumn("_s", one).select(*counted.columns, "_s.*")
-    coarse = F.filter("_cuts", lambda _c, i: i % STEP == STEP - 1)  # one in STEP, then the cuts up to the next
-    whole = F.size(F.filter(coarse, lambda c: c < F.col(value))) * STEP
+    whole = F.size(F.filter("_coarse", lambda c: c < F.col(value))) * STEP
     part = F.size(F.filter(F.slice("_cuts", whole + 1, STEP), lambda c: c < F.col(value)))
-    placed = placed.withColumn("_slot", whole + part).drop("_cuts")
+    placed = placed.withColumn("_slot", whole + part).drop("_cuts", "_coarse")
     sizes = placed.groupBy(*group, "_slot").agg(F.sum("n").alias("_size"))
     ahead = Window.partitionBy(*group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(ahead), F.lit(0))).drop("_size")
@@ -35,28 +42,21 @@ def cumulative_counts(df: DataFrame, value: str, group: list[str], ranges: int =
     return (
         placed.withColumn("_within", F.coalesce(F.sum("n").over(inside), F.lit(0)))
         .join(offsets, [*group, "_slot"])
-        .select(*group, value, "n", "total", (F.col("_before") + F.col("_within")).alias("below"))
+        .select(*counted.columns, "total", (F.col("_before") + F.col("_within")).alias("below"))
     )
 
 
-def value_at(counts: DataFrame, value: str, group: list[str], index: Column, name: str) -> DataFrame:
-    """The value at a zero-based index of each group's sorted rows."""
-    hit = (F.col("below") <= index) & (index < F.col("below") + F.col("n"))
-    out = counts.where(hit)
-    return out.groupBy(*group).agg(F.min(value).alias(name)) if group else out.agg(F.min(value).alias(name))
+def at_index(value: str, index: Column) -> Column:
+    """Aggregate over the counts of a group: the value at a zero-based index of its sorted rows."""
+    return F.max(F.when((F.col("below") <= index) & (index < F.col("below") + F.col("n")), F.col(value)))
 
 
-def nearest_rank(counts: DataFrame, value: str, group: list[str], fraction: float, name: str) -> DataFrame:
+def nearest_rank(value: str, fraction: float) -> Column:
     """Percentile by index ``round((n - 1) * p)``, halves to even."""
-    return value_at(counts, value, group, F.bround((F.col("total") - 1) * F.lit(fraction), 0).cast("bigint"), name)
+    return at_index(value, F.bround((F.col("total") - 1) * F.lit(fraction), 0).cast("bigint"))
 
 
-def median(counts: DataFrame, value: str, group: list[str], name: str) -> DataFrame:
+def median(value: str) -> Column:
     """Mean of the two middle values."""
-    low = F.floor((F.col("total") - 1) / 2)
-    high = F.ceil((F.col("total") - 1) / 2)
-
-    def hit(index: Column) -> Column:
-        return F.when((F.col("below") <= index) & (index < F.col("below") + F.col("n")), F.col(value))
-
-    return counts.groupBy(*group).agg(((F.max(hit(low)) + F.max(hit(high))) / 2).alias(name))
+    low, high = F.floor((F.col("total") - 1) / 2), F.ceil((F.col("total") - 1) / 2)
+    return (at_index(value, low) + at_index(value, high)) / 2

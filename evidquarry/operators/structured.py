@@ -293,9 +293,14 @@ def sections(chunks: DataFrame) -> DataFrame:
     holding a large share of all chunks is never gathered whole.
     """
     keys = ["cloud_id", "issue_key", "section_kind", "event_id"]
-    body = F.trim(F.regexp_replace("page_content", r"^\s+|\s+$", ""))
+    blanks = F.lit(" \t\n\x0b\f\r")
+    heads = chunks.groupBy(*keys).agg(
+        F.min_by(F.col("event_date"), F.struct("chunk_ordinal", "ord", "event_date")).alias("event_date"),
+        F.min_by(F.col("event_date"), F.struct("ord", "event_date")).alias("sort_date"),
+        F.count(F.lit(1)).alias("chunks"),
+    )
     distinct_parts = (
-        chunks.select(*keys, body.alias("body"), F.struct("chunk_ordinal", "ord").alias("at"))
+        chunks.select(*keys, F.btrim("page_content", blanks).alias("body"), F.struct("chunk_ordinal", "ord").alias("at"))
         .where(F.col("body") != "")
         .groupBy(*keys, "body")
         .agg(F.min("at").alias("at"))
@@ -306,17 +311,12 @@ def sections(chunks: DataFrame) -> DataFrame:
     bodies = leading.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("rn", "body"))).alias("parts")
     )
-    heads = chunks.groupBy(*keys).agg(
-        F.min_by(F.col("event_date"), F.struct("chunk_ordinal", "ord", "event_date")).alias("event_date"),
-        F.min_by(F.col("event_date"), F.struct("ord", "event_date")).alias("sort_date"),
-        F.count(F.lit(1)).alias("chunks"),
-    )
     text = F.array_join(F.transform("parts", lambda p: p["body"]), "\n")
-    header = F.concat(F.lit("^(?i)"), F.col("section_kind"), F.lit(" [^\n]*\n?"))
     joined = heads.join(bodies, keys, "left").withColumn("text", F.coalesce(text, F.lit("")))
+    header = F.concat(F.upper("section_kind"), F.lit(" "))
+    below_header = F.when(F.instr("text", "\n") > 0, F.expr("substring(text, instr(text, '\n') + 1)")).otherwise(F.lit(""))
     stripped = F.when(
-        F.rlike("text", F.concat(F.lit("^(?i)"), F.col("section_kind"), F.lit(" "))),
-        F.regexp_replace(F.regexp_replace("text", header, F.lit("")), F.lit(r"^\s+|\s+$"), F.lit("")),
+        F.upper(F.left("text", F.length("section_kind") + 1)) == header, F.btrim(below_header, blanks)
     ).otherwise(F.col("text"))
     rendered = F.when(F.col("section_kind") == "CHANGELOG", render_changelog(stripped)).otherwise(stripped)
     return joined.select(

@@ -124,13 +124,19 @@ def with_variants(df):
 def token_overlap_scores(pool, asked):
     """Offline stand-in for a cross-encoder: question-term overlap, as a probability.
 
-    Only the bounded pool is tokenized: its rows carry the searchable columns.
+    Only the bounded pool is tokenized: its rows carry the searchable columns. They are
+    spread over all cores first, and an aggregate keeps the score from being computed anew
+    wherever later filters and windows look at it.
     """
     terms = asked.select("query_id", F.array_distinct(tokens(F.col("question"))).alias("_terms"))
-    found = F.array_intersect("_terms", lexical.searchable_tokens(pool))
-    share = F.size(found) / F.size("_terms")
-    logit = F.lit(8.0) * share - F.lit(4.0)
-    return pool.join(terms, "query_id").withColumn("rerank_score", F.round(1 / (1 + F.exp(-logit)), 6)).drop("_terms")
+    lanes = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = F.size(F.array_intersect("_terms", lexical.searchable_terms(pool))) / F.size("_terms")
+    row = F.struct(*[c for c in pool.columns if c not in ("query_id", "chunk_id")])
+    scored = pool.join(terms, "query_id").repartition(lanes, "query_id", "chunk_id").groupBy("query_id", "chunk_id").agg(
+        F.first(row).alias("_row"), F.max(share).alias("_share")
+    )
+    logit = F.lit(8.0) * F.col("_share") - F.lit(4.0)
+    return scored.select("query_id", "chunk_id", "_row.*", F.round(1 / (1 + F.exp(-logit)), 6).alias("rerank_score"))
 
 
 def reranked(t):

@@ -132,7 +132,7 @@ def test_calibration(spark):
 def test_nearest_rank_matches_sorting(spark):
     values = [(i % 3, float((i * 37) % 101)) for i in range(500)]
     frame = spark.createDataFrame(values, "g int, v double")
-    got = {r["g"]: r["p"] for r in nearest_rank(cumulative_counts(frame, "v", ["g"], ranges=7), "v", ["g"], 0.95, "p").collect()}
+    got = {r["g"]: r["p"] for r in cumulative_counts(frame, "v", ["g"], ranges=7).groupBy("g").agg(nearest_rank("v", 0.95).alias("p")).collect()}
     for group in range(3):
         ordered = sorted(v for g, v in values if g == group)
         assert got[group] == ordered[round((len(ordered) - 1) * 0.95)]
