@@ -145,11 +145,35 @@ def exact_identifier_lookup(chunks: DataFrame, identifiers: DataFrame, fields: S
     return scored.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
 
 
-def siblings(chunks: DataFrame, hits: DataFrame) -> DataFrame:
-    """Chunks sharing a source or a parent with a hit: two semi joins, then distinct."""
-    by_source = chunks.join(hits.select("source_id").distinct(), "source_id", "left_semi")
-    by_parent = chunks.join(hits.select("parent_id").distinct(), "parent_id", "left_semi")
-    return by_source.unionByName(by_parent.select(by_source.columns)).dropDuplicates(["chunk_id"])
+def siblings(chunks: DataFrame, hits: DataFrame, k: int, cap: int = 1000) -> DataFrame:
+    """Chunks sharing a source or a parent with a hit of the same query, min(cap, k * k) each.
+
+    The answer is ordered by source, ordinal and id. So of one source or parent only as many
+    leading chunks as the limit can be in it: both sides are cut to those by a rank limit
+    before the joins, and a source holding most chunks adds no more rows than any other.
+    """
+    limit = min(cap, k * k)
+    place = ["source_id", "chunk_ordinal", "chunk_id"]
+
+    def leading(key: str) -> DataFrame:
+        first = F.row_number().over(Window.partitionBy(key).orderBy(*place))
+        kept = chunks.select("parent_id", *place).withColumn("rn", first).where(F.col("rn") <= limit).drop("rn")
+        wanted = hits.select("query_id", key).where(F.col(key).isNotNull()).distinct()
+        return kept.join(wanted, key).select("query_id", *place)
+
+    found = leading("source_id").unionByName(leading("parent_id")).distinct()
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*place))
+    return found.withColumn("rn", rank).where(F.col("rn") <= limit)
+
+
+def complete_snapshots(rows: DataFrame, key: str, cap: int) -> DataFrame:
+    """Rows of each snapshot, or a refusal: beyond *cap* rows it is truncated and has no count."""
+    n = F.count(F.lit(1))
+    return rows.groupBy(key).agg(
+        F.when(n <= cap, n).alias("n"),
+        (n <= cap).alias("complete"),
+        F.when(n > cap, "SNAPSHOT_TRUNCATED").otherwise("").alias("reason"),
+    )
 
 
 def population(chunks: DataFrame, entity: str, labels: Sequence[str]) -> DataFrame:

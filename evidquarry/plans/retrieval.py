@@ -187,11 +187,10 @@ def s3_bounded_scan(t):
 
 
 @query("s5_complete_snapshot", ctes("chunks") + f"""
-SELECT source_type, count(*) AS n, true AS complete FROM chunks
-WHERE source_type = 'ISSUE' AND {_AUTH_SQL} GROUP BY 1""")
+SELECT source_type, CASE WHEN count(*) <= 100 THEN count(*) END AS n, count(*) <= 100 AS complete,
+  CASE WHEN count(*) > 100 THEN 'SNAPSHOT_TRUNCATED' ELSE '' END AS reason FROM chunks WHERE {_AUTH_SQL} GROUP BY 1""")
 def s5_complete_snapshot(t):
-    kept = t.chunks().where((F.col("source_type") == "ISSUE") & scans.authorized(PROJECT, CALLER_POLICIES))
-    return kept.groupBy("source_type").agg(F.count(F.lit(1)).alias("n")).withColumn("complete", F.lit(True))
+    return scans.complete_snapshots(t.chunks().where(scans.authorized(PROJECT, CALLER_POLICIES)), "source_type", 100)
 
 
 _DECODE = f"""CASE WHEN length(page_content) = 0 THEN 'empty_text_field'
@@ -252,12 +251,13 @@ def s7_structure_lookup(t):
     )
 
 
-@query("s10_siblings", ctes(*FUSE_CTES, ("hits", "SELECT * FROM cand WHERE ord <= 3")) + """
-SELECT chunk_id, source_id, chunk_ordinal FROM chunks WHERE source_id IN (SELECT source_id FROM hits)
-  OR parent_id IN (SELECT parent_id FROM hits)""")
+@query("s10_siblings", ctes(*FUSE_CTES, ("hits", "SELECT * FROM cand WHERE ord <= 3"), ("m", """
+SELECT DISTINCT h.query_id, c.chunk_id, c.source_id, c.chunk_ordinal FROM hits h JOIN chunks c
+  ON c.source_id = h.source_id OR c.parent_id = h.parent_id""")) + """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY source_id, chunk_ordinal, chunk_id) AS rn FROM m)
+WHERE rn <= 9""")
 def s10_siblings(t):
-    hits = candidates(t).where(F.col("ord") <= 3)
-    return scans.siblings(t.chunks(), hits).select("chunk_id", "source_id", "chunk_ordinal")
+    return scans.siblings(t.chunks(), candidates(t).where(F.col("ord") <= 3), 3)
 
 
 @query("s11_population", ctes("chunks") + """

@@ -1,5 +1,6 @@
 """Operator semantics on small fixtures, and brute-force checks of sequential ones."""
 
+import math
 from bisect import bisect_left
 
 import pandas as pd
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidquarry.functions import anchors, citations, language, markdown as MD, text as X
-from evidquarry.operators import audits, dense, fusion, lexical, metrics, ranking, routing, scans, structured
+from evidquarry.operators import audits, best, dense, fusion, lexical, metrics, ranking, routing, scans, structured
 from evidquarry.operators.neighbors import expand_neighbors
 from evidquarry.operators.ranks import cumulative_counts, nearest_rank
 from evidquarry.sources import files
@@ -262,3 +263,50 @@ def test_order_statistics_hold_with_outliers_and_ties(spark):
     assert found == expected | {("b", 1.0): (0, 1, 1)}
     alone = cumulative_counts(frame.where("g = 'a'").select("v"), "v", []).collect()
     assert {(r.v, r.below, r.n) for r in alone} == {(v, below, n) for (_g, v), (below, n, _t) in expected.items()}
+
+
+@pytest.mark.parametrize("pairs, cells, postings", [(500_000, 4_000_000, 20_000), (3, 4, 2)])
+def test_in_scan_bm25_equals_brute_force(spark, monkeypatch, pairs, cells, postings):
+    monkeypatch.setattr(lexical, "PAIRS_PER_PASS", pairs)
+    monkeypatch.setattr(lexical, "POSTINGS", postings)
+    monkeypatch.setattr(best, "CELLS", cells)
+    texts = ["the cat", "the the dog", "", None, "dog cat the", "the cat", "bird"] + ["the"] * 5
+    asked = {1: "the dog", 2: "Cat cat", 3: "", 4: "unseen", 5: "bird the cat dog"}
+    frame = chunks(spark, list(enumerate(texts)))
+    queries = spark.createDataFrame(list(asked.items()), "query_id bigint, question string")
+    bags = [(t or "").split() for t in texts]
+    average = max(1.0, sum(map(len, bags)) / len(bags))
+    want = set()
+    for name, question in asked.items():
+        terms = set(question.lower().split())
+        scored = []
+        for i, bag in enumerate(bags):
+            if terms & set(bag):
+                score = 0.0
+                for term in terms & set(bag):
+                    df, tf = sum(term in other for other in bags), bag.count(term)
+                    score += math.log(1 + (len(bags) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(bag) / average))
+                scored.append((-round(score, 6), i))
+        want |= {(name, i, -s) for s, i in sorted(scored)[:3]}
+    got = {tuple(r) for r in lexical.matching_top_k(frame, queries, 3).collect()}
+    assert got == want
+    assert lexical.matching_top_k(frame.limit(0), queries, 3).count() == 0
+    assert lexical.matching_top_k(frame, queries.limit(0), 3).count() == 0
+
+
+def test_siblings_keep_order_and_limit(spark):
+    rows = [(i, f"s{i % 4 if i % 3 else 0}", f"p{i % 5}", i % 7) for i in range(60)]
+    frame = spark.createDataFrame(rows, "chunk_id bigint, source_id string, parent_id string, chunk_ordinal int")
+    hits = [(1, "s0", "p1"), (1, "s2", "p1"), (2, "s9", "p3"), (3, None, "p9")]
+    got = scans.siblings(frame, spark.createDataFrame(hits, "query_id bigint, source_id string, parent_id string"), 3).collect()
+    want = set()
+    for name in (1, 2, 3):
+        mine = {(s, o, i) for i, s, p, o in rows if any(q == name and (s == hs or p == hp) for q, hs, hp in hits)}
+        want |= {(name, *row, n) for n, row in enumerate(sorted(mine)[:9], 1)}
+    assert {(r["query_id"], r["source_id"], r["chunk_ordinal"], r["chunk_id"], r["rn"]) for r in got} == want
+
+
+def test_a_truncated_snapshot_is_refused(spark):
+    frame = spark.createDataFrame([("a",)] * 3 + [("b",)] * 4, "kind string")
+    got = {tuple(r) for r in scans.complete_snapshots(frame, "kind", 3).collect()}
+    assert got == {("a", 3, True, ""), ("b", None, False, "SNAPSHOT_TRUNCATED")}
