@@ -58,13 +58,22 @@ def r3_follow_up_merge(t):
     return t.read("orders").select("o_orderkey", F.array_join(entries, ";").alias("merged"))
 
 
-@query("r4_section_route", f"""
-SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'COMMENT' WHEN 1 THEN 'CURRENT' WHEN 2 THEN 'CHANGELOG' ELSE '' END AS section FROM orders""")
+# how a question names each section kind of the table, in two languages
+_ASKED = """'{show} ' || CASE section_kind WHEN 'COMMENT' THEN '{comment} ' || substr(event_id, 3)
+  WHEN 'CHANGELOG' THEN '{changelog} ' || substr(event_id, 3) WHEN 'ATTACHMENT' THEN '{attachment}' ELSE '{description}' END"""
+_EN = _ASKED.format(show="Show the", comment="comment", changelog="changelog, event", attachment="attachment", description="description")
+_ES = _ASKED.format(show="Muestra el", comment="Comentario", changelog="historial, evento histórico", attachment="archivo adjunto", description="comportamiento")
+
+
+@query("r4_section_route", ctes("sections") + """
+SELECT ord, section_kind AS section, upper(issue_key) AS issue_key, CASE WHEN section_kind IN ('COMMENT', 'CHANGELOG') THEN substr(event_id, 3) ELSE '' END AS event
+FROM sections""")
 def r4_section_route(t):
-    asked = F.when(F.col("o_orderkey") % 4 == 0, "show comment 3 of ABC-9").when(
-        F.col("o_orderkey") % 4 == 1, "what is the status of ABC-9"
-    ).when(F.col("o_orderkey") % 4 == 2, "when did the status of ABC-9 change").otherwise("compare ABC-9 and ABC-10 comment")
-    return t.read("orders").select("o_orderkey", F.coalesce(RT.section_route(asked), F.lit("")).alias("section"))
+    asked = t.sections().selectExpr("ord", f"CASE WHEN chunk_ordinal % 2 = 0 THEN {_EN} || ' of ' || lower(issue_key) ELSE {_ES} || ' de ' || issue_key END AS q")
+    return asked.select(
+        "ord", RT.section_route(F.col("q")).alias("section"), RT.issue_keys(F.col("q"))[0].alias("issue_key"),
+        F.coalesce(RT.section_event(F.col("q")), F.lit("")).alias("event"),
+    )
 
 
 @query("r5_source_intent", f"""
@@ -74,8 +83,12 @@ def r5_source_intent(t):
     return questions(t).select("o_orderkey", intent.alias("intent"), F.array_join(RT.intent_scope(intent), "|").alias("scope"))
 
 
+_INVENTORY_SQL = " OR ".join(f"regexp_matches(q, '(?i){pattern}')" for pattern in RT.INVENTORY)
+
+
 @query("r6_inventory_intent", f"""
-SELECT o_orderkey, {_case(['false', 'true', 'false', 'false', 'false', 'false', 'false', 'false'])} = 'true' AS inventory, false AS procedural FROM orders""")
+SELECT o_orderkey, {_INVENTORY_SQL} AS inventory, regexp_matches(q, '(?i){RT.PROCEDURAL}') AS procedural
+FROM (SELECT o_orderkey, {QUESTION} AS q FROM orders)""")
 def r6_inventory_intent(t):
     return questions(t).select(
         "o_orderkey", RT.is_inventory(F.col("q")).alias("inventory"), RT.has(F.col("q"), RT.PROCEDURAL).alias("procedural")

@@ -310,3 +310,46 @@ def test_a_truncated_snapshot_is_refused(spark):
     frame = spark.createDataFrame([("a",)] * 3 + [("b",)] * 4, "kind string")
     got = {tuple(r) for r in scans.complete_snapshots(frame, "kind", 3).collect()}
     assert got == {("a", 3, True, ""), ("b", None, False, "SNAPSHOT_TRUNCATED")}
+
+
+@pytest.mark.parametrize(
+    "question, section, event",
+    [
+        ("Show comment 3 of ABC-9", "COMMENT", "3"),
+        ("registro de trabajo 12 de abc-9", "WORKLOG", "12"),
+        ("evento histórico 4 del historial de ABC-9", "CHANGELOG", "4"),
+        ("attachment 2 of ABC-9", "ATTACHMENT", None),
+        ("criterios de aceptación de ABC-9", "ACCEPTANCE", None),
+        ("which is the parent of ABC-9?", "RELATIONSHIP", None),
+        ("custom field of ABC-9", "CUSTOM_FIELD", None),
+        ("enlace remoto de ABC-9", "REMOTE_LINK", None),
+        ("definition in ABC-9", "GLOSSARY", None),
+        ("requirements of ABC-9", "DESCRIPTION", None),
+        ("status of ABC-9", "CURRENT", None),
+        ("why was the status of ABC-9 changed", "CHANGELOG", None),
+        ("comment 1 of ABC-9 and ABC-10", None, None),
+        ("comment 1", None, None),
+    ],
+)
+def test_section_routes(spark, question, section, event):
+    row = spark.range(1).select(routing.section_route(F.lit(question)).alias("s"), routing.section_event(F.lit(question)).alias("e")).first()
+    assert (row["s"], row["e"]) == (section, event)
+
+
+@pytest.mark.parametrize(
+    "question, expected",
+    [
+        ("dame las opciones disponibles", True),
+        ("List the supported drivers", True),
+        ("every one of the screens", True),
+        ("What are the payment methods?", True),
+        ("Which flags remain?", True),
+        ("which closing reports can fail", True),
+        ("screens are supported", True),
+        ("the registry", True),
+        ("Explain the closing shift", False),
+        ("list all callers of SHIFT_CLOSE_EVENT", False),
+    ],
+)
+def test_inventory_questions(spark, question, expected):
+    assert one(spark, routing.is_inventory(F.lit(question))) is expected
