@@ -73,7 +73,7 @@ SELECT query_id, chunk_id FROM m WHERE ok""")
 def f15_title_affinity(t):
     """Titles whose words occur in the question in order; the longest title wins."""
     asked = questions(t).select("query_id", F.array_join(X.normalized_words(F.col("question")), " ").alias("asked"))
-    pool = candidates(t).join(asked, "query_id").withColumn("words", X.normalized_words(F.col("title"))).where(F.size("words") <= 2)
+    pool = candidates(t).join(asked, "query_id").withColumn("words", X.normalized_words(F.col("title")))
     pattern = F.concat(F.lit(r"\b"), F.array_join("words", r"\b.*?\b"), F.lit(r"\b"))
     hit = pool.where((F.size("words") >= 2) & F.rlike("asked", pattern))
     longest = F.max(F.size("words")).over(Window.partitionBy("query_id"))
@@ -195,7 +195,7 @@ def c14_identifier_in_answer(t):
 SELECT p_partkey, 'v2.' || p_size || '|' || lower(p_type) || '|libraries|library|boxes|box|events|event|sending|send|running|run' AS labels FROM part WHERE lower(p_type) NOT LIKE '%s' AND lower(p_type) NOT LIKE '%ing'""")
 def c15_population_labels(t):
     asked = F.concat(F.lit("List all v2."), F.col("p_size").cast("string"), F.lit(" "), "p_type", F.lit(" libraries and boxes for sending events or running"))
-    return t.read("part").where("lower(p_type) NOT LIKE '%s' AND lower(p_type) NOT LIKE '%ing'").select(
+    return t.read("part").select(
         "p_partkey", F.array_join(AN.population_labels(asked), "|").alias("labels")
     )
 

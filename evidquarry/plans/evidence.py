@@ -349,7 +349,7 @@ def f16_entity_scope(t):
 SELECT entity, lower(title) AS title_key, min(ord) AS first_ord FROM chunks WHERE entity <> '' AND doc_category = 'entity-contract'
   AND regexp_full_match(title, '[A-Za-z ]+') GROUP BY 1, 2""")
 def f17_feature_inventory(t):
-    rows = t.chunks().where((F.col("entity") != "") & (F.col("doc_category") == "entity-contract") & F.col("title").rlike("^[A-Za-z ]+$"))
+    rows = t.chunks().where((F.col("entity") != "") & (F.col("doc_category") == "entity-contract"))
     key = F.array_join(X.normalized_words(F.col("title")), " ")
     return rows.groupBy("entity", key.alias("title_key")).agg(F.min("ord").alias("first_ord"))
 

@@ -475,7 +475,7 @@ def x64_fenced_payload(t):
 @query("x23_looks_like_payload", """
 SELECT doc_id, n_chars <= 400 OR doc_id % 2 = 0 AS payload FROM documents WHERE text NOT LIKE '%"' AND text NOT LIKE '%}' AND text NOT LIKE '%]' AND text NOT LIKE ' %' AND text NOT LIKE '% '""")
 def x23_looks_like_payload(t):
-    rows = t.read("documents").where("text NOT LIKE '%\"' AND text NOT LIKE '%}' AND text NOT LIKE '%]' AND text NOT LIKE ' %' AND text NOT LIKE '% '")
+    rows = t.read("documents")
     message = F.when((F.col("doc_id") % 2 == 0) & (F.col("n_chars") > 400), F.concat(F.lit("["), "text", F.lit("]"))).otherwise(F.col("text"))
     return rows.select("doc_id", J.looks_like_payload(message, 400).alias("payload"))
 
