@@ -7,8 +7,12 @@ Bootstrapping. Each base span is a labelled mention; each other run of digits wi
 (seven digits or more) and each other word with an ``@`` is an unlabelled one. A mention's
 context gives lexical patterns: the two words before it, and the word before with the word
 after. Spark builds the bipartite graph of patterns and instances (distinct values) and
-scores it in rounds: a pattern's confidence for a kind is the summed score of its instances
-over their number, given at least ``SUPPORT`` instances of that kind; an unlabelled instance
+scores it in rounds: a pattern's confidence for a kind is positive / (positive + negative)
+(Snowball's), given at least ``SUPPORT`` positive. Positive is the summed score of its instances;
+negative are those labelled with another kind and those whose shape does not suit the kind. An
+instance that suits it and is not found yet says little: what its score lacks of one counts
+``UNSEEN`` of a negative, so a pattern with a third of its instances known can still find the
+others, and one with a tenth cannot (as many random numbers pass a card's check). An unlabelled instance of suiting shape
 scores one minus the product of one minus its patterns' confidences (Snowball's rule), so
 instances found in one round support patterns in the next. After ``ROUNDS`` rounds, unlabelled
 mentions with a pattern of confidence ``CONFIDENT`` or more whose shape suits the kind are added to the
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 from evidquarry.llm.base import cut, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, SUPPORT, CONFIDENT = 3, 5, 0.8
+ROUNDS, SUPPORT, CONFIDENT, UNSEEN = 3, 5, 0.8, 1 / 8
 # The base patterns; the e-mail one is applied around each "@".
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -167,25 +171,32 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scored_instances(mentions: DataFrame) -> DataFrame:
     """Rows (value, kind, score) of unlabelled instances after the rounds of scoring.
 
-    *mentions* has kind (null: unlabelled), value and patterns.
+    *mentions* has kind (null: unlabelled), value, fits (kinds its shape suits) and patterns.
     """
+    suits = lambda k: F.array_contains("fits", k)
     edges = cut(
-        mentions.select("value", "kind", F.explode("patterns").alias("pattern"))
-        .groupBy("pattern", "value").agg(F.min("kind").alias("kind")))
+        mentions.select("value", "kind", "fits", F.explode("patterns").alias("pattern"))
+        .groupBy("pattern", "value").agg(F.min("kind").alias("kind"), F.max("fits").alias("fits"))
+        .withColumn("fits", F.when(F.col("kind").isNull(), F.col("fits")).otherwise(F.array("kind"))))
     labelled = edges.where("kind is not null").select("pattern", "value", "kind", F.lit(1.0).alias("score"))
-    open_edges = edges.where("kind is null").select("pattern", "value")
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("instances"))
+    open_edges = edges.where("kind is null").select("pattern", "value", "fits")
+    sizes = edges.groupBy("pattern").agg(
+        F.count("*").alias("instances"), F.array(*(F.count(F.when(suits(k), 1)) for k in range(len(KINDS)))).alias("suiting"))
     found = None
     for _ in range(ROUNDS):
         known = labelled if found is None else labelled.union(
             open_edges.join(found, "value").select("pattern", "value", "kind", "score"))
         sums = known.groupBy("pattern", "kind").agg(F.sum("score").alias("weight"))
+        suiting = F.element_at("suiting", F.col("kind") + 1)
+        against = F.col("instances") - suiting + UNSEEN * F.greatest(suiting - F.col("weight"), F.lit(0.0))
         patterns = (
             sums.where(F.col("weight") >= SUPPORT).join(sizes, "pattern")
-            .select("pattern", "kind", (F.col("weight") / F.col("instances")).alias("confidence"))
+            .select("pattern", "kind", (F.col("weight") / (F.col("weight") + against)).alias("confidence"))
             .where(F.col("confidence") >= CONFIDENT))
         miss = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))))
-        found = cut(open_edges.join(patterns, "pattern").groupBy("value", "kind").agg((1 - F.exp(miss)).alias("score")))
+        found = cut(
+            open_edges.join(patterns, "pattern").where(suits(F.col("kind")))
+            .groupBy("value", "kind").agg((1 - F.exp(miss)).alias("score")))
     return found
 
 
