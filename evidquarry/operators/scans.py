@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidquarry.functions.text import casefold, looks_repeated
+from evidquarry.session import fits_within, shared_path
 
 # Order in which source families fill a bounded scan.
 FAMILY_PRIORITY = {"PAGE": 0, "ATTACHMENT": 1, "ISSUE": 2, "CODE": 3}
 RESERVED_KIND = "__vocabulary__"
+TERMS_PER_PASS = 100_000  # identifiers sent to the tasks at once
 
 
 def require_policy(project: str, policies: Sequence[str]) -> None:
@@ -123,26 +127,73 @@ def anchor_score(identifier: Column) -> Column:
     ).cast("double")
 
 
+def _held(terms: list[str]):
+    """Terms that occur anywhere in a text, looked up by the first letters all terms have."""
+    size = min(3, min(map(len, terms)))
+    known, lengths = set(terms), defaultdict(set)
+    for term in terms:
+        lengths[term[:size]].add(len(term))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                text = text or ""
+                held = {text[at : at + n] for at in range(len(text) - size + 1) for n in lengths.get(text[at : at + size], ())} & known
+                rows += [row] * len(held)
+                found += held
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], names=["chunk_id", "term"])
+
+    return run
+
+
+def _body_matches(base: DataFrame, terms: DataFrame) -> DataFrame:
+    """Rows (chunk_id, term) of all *terms* that are substrings of a chunk's body, ignoring case."""
+    schema = f"chunk_id {base.schema['chunk_id'].dataType.simpleString()}, term string"
+    bodies = base.select("chunk_id", F.lower("page_content"))
+
+    def scanned(block: DataFrame) -> DataFrame:
+        asked = block.toArrow().column(0).to_pylist()
+        return bodies.mapInArrow(_held(asked), schema) if asked else base.sparkSession.createDataFrame([], schema)
+
+    if fits_within(terms, TERMS_PER_PASS):
+        return scanned(terms)
+    blocks = terms.count() // TERMS_PER_PASS + 1
+    path = shared_path(base.sparkSession, "identifiers")
+    for block in range(blocks):
+        scanned(terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block)).write.mode("append").parquet(path)
+    return base.sparkSession.read.schema(schema).parquet(path)
+
+
 def exact_identifier_lookup(chunks: DataFrame, identifiers: DataFrame, fields: Sequence[str], k: int = 12) -> DataFrame:
-    """Best *k* chunks per request holding an identifier in a field or in the body.
+    """Best *k* chunks per request holding an identifier in a field or anywhere in the body.
 
-    Field matches are an equi join on the exploded field values. Body matches use the
-    identifier as a whole lexical token, again an equi join, then verify containment.
+    Field matches are an equi join on the exploded field values. Body matches are substrings
+    in any case: the identifiers go to the tasks in blocks of about TERMS_PER_PASS and are
+    looked up where the chunks are read. Chunks of a named issue (``issue_key``) come first,
+    then current ones (``chunk_kind``), where the chunks have these columns, then by anchor score.
     """
-    from evidquarry.functions.text import tokens
-
     ids = identifiers.select("query_id", "identifier").distinct()
-    base = chunks.select("chunk_id", "page_content", "title", "structure_path", *fields)
+    known = [name for name in ("issue_key", "chunk_kind") if name in chunks.columns and name not in fields]
+    base = chunks.select("chunk_id", "page_content", "title", "structure_path", *fields, *known)
     keyed = base.select("chunk_id", F.explode(F.array_distinct(F.array(*fields))).alias("identifier"))
     by_field = keyed.join(ids, "identifier").select("query_id", "identifier", "chunk_id")
-    words = base.select("chunk_id", F.explode(F.array_distinct(tokens(F.col("page_content")))).alias("term"))
-    by_body = words.join(ids.withColumn("term", F.lower("identifier")), "term").select(
+    terms = ids.withColumn("term", F.lower("identifier")).where("term <> ''")
+    by_body = _body_matches(base, terms.select("term").distinct()).join(terms, "term").select(
         "query_id", "identifier", "chunk_id"
     )
     found = by_field.unionByName(by_body).distinct().join(base, "chunk_id")
-    scored = found.groupBy("query_id", "chunk_id").agg(F.max(anchor_score(F.col("identifier"))).alias("anchor_score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("anchor_score"), F.asc("chunk_id"))
-    return scored.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
+    issue = current = F.lit(False)
+    if "issue_key" in base.columns:
+        asked = ids.groupBy("query_id").agg(F.collect_set(F.upper("identifier")).alias("asked"))
+        found = found.join(asked, "query_id")
+        issue = F.coalesce(F.array_contains("asked", F.upper("issue_key")), issue)
+    if "chunk_kind" in base.columns:
+        current = F.coalesce(F.col("chunk_kind") == "CURRENT", current)
+    scored = found.groupBy("query_id", "chunk_id").agg(
+        F.max(anchor_score(F.col("identifier"))).alias("anchor_score"), F.max(issue).alias("_issue"), F.max(current).alias("_current"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("_issue"), F.desc("_current"), F.desc("anchor_score"), F.asc("chunk_id"))
+    return scored.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).drop("_issue", "_current")
 
 
 def siblings(chunks: DataFrame, hits: DataFrame, k: int, cap: int = 1000) -> DataFrame:
