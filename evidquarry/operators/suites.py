@@ -86,19 +86,19 @@ def issue_suite(section_chunks: DataFrame, slots: int = 2) -> DataFrame:
 def generation_sample(cases: DataFrame, size: int, per_group: int = 4) -> DataFrame:
     """All must-refuse cases, a few per language and section, then round-robin filler.
 
-    *cases*: case_id, ord, answerable, query_language, section. Fillers cannot exceed
-    *size*, so strata are rank-limited before the final ordering.
+    *cases*: case_id, ord, answerable, query_language, section. The first two lanes are
+    reserved and always whole, so the sample has more than *size* rows where they do not fit;
+    the filler takes what they leave. Fillers cannot exceed *size*, so strata are rank-limited
+    before the final ordering.
     """
     nth = F.row_number().over(Window.partitionBy("query_language", "section").orderBy("ord"))
-    keep = F.when(~F.col("answerable"), 0).when(F.col("rn") <= per_group, 1)
-    positives = cases.where("answerable").withColumn("rn", nth)
-    negatives = cases.where(~F.col("answerable")).withColumn("rn", F.lit(0))
-    tagged = positives.where(F.col("rn") <= size + per_group).unionByName(negatives).withColumn("reserved", keep)
-    return (
-        tagged.orderBy(F.col("reserved").asc_nulls_last(), "rn", "query_language", "section", "ord")
-        .limit(size)
-        .select("case_id", F.coalesce("reserved", F.lit(2)).alias("lane"))
-    )
+    positives = cases.where("answerable").withColumn("rn", nth).where(F.col("rn") <= size + per_group)
+    negatives = cases.where(~F.col("answerable")).select("case_id", F.lit(0).alias("lane"))
+    few = positives.where(F.col("rn") <= per_group).select("case_id", F.lit(1).alias("lane"))
+    reserved = negatives.unionByName(few)
+    room = max(0, size - reserved.limit(size).count())
+    filler = positives.where(F.col("rn") > per_group).orderBy("rn", "query_language", "section", "ord").limit(room)
+    return reserved.unionByName(filler.select("case_id", F.lit(2).alias("lane")))
 
 
 def row_fingerprints(rows: DataFrame, columns: list[str]) -> DataFrame:
