@@ -4,7 +4,8 @@ Every stage reads what the one before has kept and written. All but the last ret
 columns of ``documents``; stages that filter keep clean documents.
 
 1. language_id: texts without letters, and texts in which no language holds
-   ``MIN_SHARE`` of the words, go; a missing ``lang`` is filled in.
+   ``MIN_SHARE`` of the words, go; a missing ``lang`` is filled in. All labelled rows with an
+   id may be learned from; where there are none, texts with letters stay as they are.
 2. near_dedup: one document of each group of near copies stays.
 3. decontamination: documents that contain a benchmark item go.
 4. pii: personal data in the text is replaced by the name of its kind.
@@ -30,10 +31,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = language_id.learned(docs, ~language_id.held_out())
+    model = language_id.learned(docs, F.lit(True))
+    if not model:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     texts = docs.select(*COLUMNS).withColumn("_text", F.col("text"))
     seen = language_id.identified(texts, model, "_text", COLUMNS)
-    kept = seen.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SHARE)) if model else seen.limit(0)
+    kept = seen.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SHARE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
