@@ -6,7 +6,7 @@ non-overlapping for each kind; matches that fail their check are dropped without
 Bootstrapping. Each base span is a labelled mention; each other run of digits with separators
 (seven digits or more) and each other word with an ``@`` is an unlabelled one. A mention's
 context gives lexical patterns: the two words before it, and the word before with the word
-after. Spark builds the bipartite graph of patterns and instances (distinct values) and
+after (of a word over 160 code points the 160 nearest count, and none beyond it). Spark builds the bipartite graph of patterns and instances (distinct values) and
 scores it in rounds: a pattern's confidence for a kind is positive / (positive + negative)
 (Snowball's), given at least ``SUPPORT`` positive. Positive is the summed score of its instances;
 negative are those labelled with another kind and those whose shape does not suit the kind. An
@@ -49,7 +49,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _RUN = re.compile(r"[+(]{0,2}[0-9](?:[\x20().-]{0,2}[0-9])*")
 _DIGIT = re.compile("[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]+")
-CONTEXT = 160  # code points around a mention within which its context words are looked for
+CONTEXT = 160  # a context word is known by this many code points nearest the mention
+_WORD = re.compile(rf"\s*(\S{{1,{CONTEXT}}})")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -80,11 +81,17 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    """At most 255, however many zeros lead."""
+    digits = digits.lstrip("0")
+    return len(digits) < 4 and int(digits or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all base spans in order."""
     spans = [(s, 0, e) for s, e in emails(text)]
     if _DIGIT.search(text):
-        spans += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.groups())]
+        spans += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(_octet(p) for p in m.groups())]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12:
                 digits = _NOT_DIGIT.sub("", m.group())
@@ -132,11 +139,32 @@ def _fits(kind: int, value: str) -> bool:
     return 12 <= len(digits) <= 19 if kind == 2 else 7 <= len(digits) <= 15
 
 
+def _words_before(text: str, at: int) -> list[str]:
+    """The two words before a place; a longer word than CONTEXT is cut and hides what is before it."""
+    words: list[str] = []
+    while len(words) < 2:
+        while at and text[at - 1].isspace():
+            at -= 1
+        end, floor = at, max(0, at - CONTEXT)
+        while at > floor and not text[at - 1].isspace():
+            at -= 1
+        if at < end:
+            words.insert(0, text[at:end])
+        if not at or not text[at - 1].isspace():
+            break
+    return words
+
+
+def _word_after(text: str, at: int) -> list[str]:
+    found = _WORD.match(text, at)
+    return [found.group(1)] if found else []
+
+
 def _patterns(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns of a mention, with digits folded; none where no words stand there."""
     fold = lambda w: _DIGIT.sub("0", w.lower())
-    before = [fold(w) for w in text[max(0, start - CONTEXT) : start].split()[-2:]]
-    after = [fold(w) for w in text[end : end + CONTEXT].split()[:1]]
+    before = [fold(w) for w in _words_before(text, start)]
+    after = [fold(w) for w in _word_after(text, end)]
     out = []
     if len(before) == 2:
         out.append("L " + " ".join(before))

@@ -6,6 +6,7 @@ product of two segments is at most w*a*b + s*t, so the sum over segments bounds
 from above (and the distance |q|^2 + |x|^2 - 2*score from below). Coarse segments are tried
 first, survivors meet finer ones, and exact integer scores are computed for what is left.
 The bar is each query's k-th best score so far in the task; ties stay in until ids decide.
+A step meets at most ``SLICE`` queries with ``ROWS`` rows, so its memory has a fixed bound.
 
 Queries go to the tasks in blocks of at most ``BLOCK_COMPONENTS`` components (16 MB). Each
 block is one scan of the vectors, its task results are appended to a table in the shared
@@ -31,7 +32,9 @@ from evidquarry.llm.base import fresh_path, table
 
 BLOCK_COMPONENTS = 2_000_000
 SEGMENTS = (4, 16)
-ROWS = 1024
+ROWS = 1024  # candidate rows a step
+SLICE = 1024  # queries a step; a step holds at most ROWS * SLICE pairs (about 50 MB)
+WARM = 32
 EXACT = 2.0**52  # beyond this a double no longer adds integers exactly
 
 
@@ -48,37 +51,37 @@ def segment_statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
 
 
 class Best:
-    """The best k (score, id) of each query of one length, kept while candidates stream by."""
+    """The best k (score, id) of a slice of queries of one length, kept while candidates stream by."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.vectors, self.k = ids, vectors, k
         self.real = vectors.astype(np.float64)
-        self.levels = [(s, segment_statistics(self.real, s)) for s in SEGMENTS if s < vectors.shape[1]]
+        self.largest = np.abs(self.real).max(initial=0)
+        self.levels = [segment_statistics(self.real, s) for s in SEGMENTS if s < vectors.shape[1]]
         self.bar = np.full(len(ids), -np.inf)
         self.rows = np.empty((3, 0), np.int64)  # query position, score, id
 
-    def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        real = vectors.astype(np.float64)
-        shape = (len(self.ids), len(ids))
-        query, other = (a.ravel() for a in np.indices(shape))
-        for segments, own in self.levels:
-            theirs = segment_statistics(real, segments)
+    def meet(self, rows: Portion) -> None:
+        shape = (len(self.ids), len(rows.ids))
+        query, other = np.nonzero(np.ones(shape, bool))
+        for own, theirs in zip(self.levels, rows.levels, strict=True):
             bound = self._products(own, theirs, query, other, shape)
             left = bound * (1 + 1e-9 * np.sign(bound)) + 1e-3 >= self.bar[query]
             query, other = query[left], other[left]
-        keep = self.ids[query] != ids[other]
+        keep = self.ids[query] != rows.ids[other]
         query, other = query[keep], other[keep]
-        largest = np.abs(self.real).max(initial=0) * np.abs(real).max(initial=0) * max(1, real.shape[1])
-        if largest < EXACT:
-            score = self._products(self.real, real, query, other, shape).astype(np.int64)
+        if self.largest * rows.largest * max(1, rows.real.shape[1]) < EXACT:
+            score = self._products(self.real, rows.real, query, other, shape).astype(np.int64)
         else:
-            score = np.array([(self.vectors[q] * vectors[o]).sum() for q, o in zip(query, other, strict=True)], np.int64)
+            score = np.array([(self.vectors[q] * rows.vectors[o]).sum() for q, o in zip(query, other, strict=True)], np.int64)
         keep = score >= self.bar[query]
-        rows = np.concatenate([self.rows, np.stack([query[keep], score[keep], ids[other[keep]]])], axis=1)
-        rows = rows[:, np.lexsort((rows[2], -rows[1], rows[0]))]
-        place = np.arange(rows.shape[1]) - np.searchsorted(rows[0], rows[0])
-        self.rows = rows[:, place < self.k]
-        full = self.rows[:, place[place < self.k] == self.k - 1]
+        if not keep.any():
+            return
+        found = np.concatenate([self.rows, np.stack([query[keep], score[keep], rows.ids[other[keep]]])], axis=1)
+        found = found[:, np.lexsort((found[2], -found[1], found[0]))]
+        place = np.arange(found.shape[1]) - np.searchsorted(found[0], found[0])
+        self.rows = found[:, place < self.k]
+        full = found[:, place == self.k - 1]
         self.bar[full[0]] = full[1]
 
     @staticmethod
@@ -89,6 +92,24 @@ class Best:
         return np.concatenate(parts) if parts else np.empty(0)
 
 
+class Portion:
+    """Candidate rows of one length with their statistics, met by every slice of the queries."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.vectors = ids, vectors
+        self.real = vectors.astype(np.float64)
+        self.largest = np.abs(self.real).max(initial=0)
+        self.levels = [segment_statistics(self.real, s) for s in SEGMENTS if s < vectors.shape[1]]
+
+
+def portions(ids: np.ndarray, vectors: np.ndarray, first: int) -> Iterator[Portion]:
+    """Portions of at most ROWS rows; a small first one gives the bars a start."""
+    at, size = 0, min(first, ROWS)
+    while at < len(ids):
+        yield Portion(ids[at : at + size], vectors[at : at + size])
+        at, size = at + size, min(ROWS, 4 * size)
+
+
 def _whole_vectors(rows: DataFrame, id_col: str, vector_col: str, factor: float) -> DataFrame:
     scaled = F.transform(vector_col, lambda x: F.floor(F.lit(factor) * x.cast("double")))
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
@@ -116,7 +137,8 @@ def exact_top_k(
         sent = spark.sparkContext.broadcast(packed)
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            best = {n: Best(*own, k) for n, own in sent.value.items()}
+            best = {n: [Best(ids[i : i + SLICE], own[i : i + SLICE], k) for i in range(0, len(ids), SLICE)] for n, (ids, own) in sent.value.items()}
+            met: set[int] = set()
             for batch in batches:
                 lists = batch.column(1)
                 lengths = np.diff(lists.offsets.to_numpy())
@@ -126,9 +148,11 @@ def exact_top_k(
                     here = batch.filter(pa.array(lengths == n))
                     ids = here.column(0).to_numpy()
                     vectors = here.column(1).flatten().to_numpy().reshape(len(ids), n)
-                    for at in range(0, len(ids), ROWS):
-                        best[n].meet(ids[at : at + ROWS], vectors[at : at + ROWS])
-            for own in best.values():
+                    for portion in portions(ids, vectors, ROWS if n in met else WARM):
+                        for own in best[n]:
+                            own.meet(portion)
+                    met.add(n)
+            for own in (own for slices in best.values() for own in slices):
                 query, score, other = own.rows
                 yield pa.RecordBatch.from_arrays([pa.array(own.ids[query]), pa.array(other), pa.array(score)], names=["query_id", "id", "score"])
 

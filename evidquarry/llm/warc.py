@@ -2,8 +2,10 @@
 
 Writing. Every page gives three records: a ``request``, a ``metadata`` record (page id and
 payload length) and a ``response`` with the payload; the first two name the third in
-``WARC-Concurrent-To``. Of pages with equal payloads the one with the largest id keeps the
-payload; the others become ``revisit`` records that refer to it. Records are built from
+``WARC-Concurrent-To``. Of pages with equal payloads one with the largest id (and then the last
+url) keeps the payload; the others become ``revisit`` records that refer to it. Rows that repeat
+id, url and payload are numbered, and the number is part of their record ids, so each is a
+capture of its own; only such rows are counted and spread again. Records are built from
 columns and written by Spark's text writer, whose line separator is the blank lines that end
 a record, so the archives (gzip) can live in any store Spark reaches. A file holds as many
 records as make about ``FILE_BYTES`` on average.
@@ -14,9 +16,9 @@ identifiers in one grouping: a record's key is the identifier it is concurrent t
 Each capture comes out as one nested row (request, response, metadata).
 
 Defined results: a null payload is empty; a null url is written as empty, control characters
-in a url are percent-encoded; pages that repeat id, url and payload are one capture and give
-one row; a page without an id is kept under a null id; empty tables give no rows; other
-columns are ignored.
+in a url are percent-encoded; every row is one capture and gives one row, repeated rows too;
+a page without an id is kept under a null id and counts as smaller than every id; empty tables
+give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidquarry.llm.base import fresh_path, table
+from evidquarry.llm.base import fresh_path, stored, table
 
 FILE_BYTES = 16 << 20
 END = "\r\n\r\n"
+SPREAD = 1000  # repeats of one row written in a stretch
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
@@ -59,6 +62,22 @@ def _record(kind: str | Column, urn: Column, url: Column, content_type: str, blo
         *fields, F.lit(f"\r\nContent-Type: {content_type}\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(END), block)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The rows with their number among equal ones (page, url, sha, bytes), from 1.
+
+    Only keys that repeat travel, as a written table of known size: one row of each is
+    multiplied again in stretches of SPREAD.
+    """
+    keys = ["page", "url", "sha", "bytes"]
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"k.{k}")) for k in keys]
+    repeated = stored(rows.groupBy(*keys).agg(F.count("*").alias("times")).where("times > 1"), "repeats")
+    once = rows.alias("r").join(repeated.alias("k"), same, "left_anti").withColumn("number", F.lit(1).cast("long"))
+    first = rows.alias("r").join(repeated.alias("k"), same).select("r.*", "k.times").dropDuplicates(keys)
+    stretches = first.withColumn("from", F.explode(F.expr(f"sequence(1L, times, {SPREAD}L)"))).repartition("sha", "page", "url", "from")
+    again = stretches.withColumn("number", F.explode(F.expr(f"sequence(from, least(times, from + {SPREAD - 1}L))"))).drop("times", "from")
+    return once.unionByName(again)
+
+
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
     """Write request, response or revisit, and metadata records of all pages under *path*."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
@@ -66,29 +85,28 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.col(id_col).alias("page"),
         F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), "[\\x00-\\x20\\x7F]", "%20").alias("url"),
         payload.alias("payload"), F.sha1(payload.cast("binary")).alias("sha"), F.octet_length(payload).alias("bytes"))
-    leads = (
-        rows.groupBy("sha", "bytes").agg(F.max("page").alias("lead"), F.max_by("url", F.struct("page", "url")).alias("lead_url"), F.count("*").alias("n"))
-        .where("n > 1").drop("n")
-    )
+    order = F.struct("page", "url")
+    leads = stored(rows.groupBy("sha", "bytes").agg(F.max(order).alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n"), "leads")
     average = rows.agg(F.avg("bytes")).first()[0] or 0
-    joined = rows.join(leads, ["sha", "bytes"], "left")
-    page, url, sha = F.col("page"), F.col("url"), F.col("sha")
-    same = (F.col("lead").isNotNull()) & ~(page.eqNullSafe(F.col("lead")))
-    urn = _urn(F.lit("response"), page, url, sha)
-    lead_urn = _urn(F.lit("response"), F.col("lead"), F.col("lead_url"), sha)
+    joined = _numbered(rows).join(leads, ["sha", "bytes"], "left")
+    page, url, sha, number = F.col("page"), F.col("url"), F.col("sha"), F.col("number")
+    is_lead = page.eqNullSafe(F.col("lead.page")) & (url == F.col("lead.url")) & (number == 1)
+    same = F.col("lead").isNotNull() & ~is_lead
+    urn = _urn(F.lit("response"), page, url, sha, number)
+    lead_urn = _urn(F.lit("response"), F.col("lead.page"), F.col("lead.url"), sha, F.lit(1))
     digest = F.concat(F.lit("\r\nWARC-Payload-Digest: sha1:"), base32(sha))
     concurrent = F.concat(F.lit("\r\nWARC-Concurrent-To: "), urn)
     head = F.concat(F.lit(_HTTP), F.col("bytes").cast("string"), F.lit(END))
-    refers = F.concat(F.lit("\r\nWARC-Refers-To: "), lead_urn, F.lit("\r\nWARC-Refers-To-Target-URI: "), F.col("lead_url"), F.lit(f"\r\nWARC-Profile: {PROFILE}"))
+    refers = F.concat(F.lit("\r\nWARC-Refers-To: "), lead_urn, F.lit("\r\nWARC-Refers-To-Target-URI: "), F.col("lead.url"), F.lit(f"\r\nWARC-Profile: {PROFILE}"))
     capture = _record(
         F.when(same, "revisit").otherwise("response"), urn, url, "application/http; msgtype=response",
         F.when(same, head).otherwise(F.concat(head, F.col("payload"))), digest, F.when(same, refers).otherwise(""))
-    request = _record("request", _urn(F.lit("request"), page, url, sha), url, "application/http; msgtype=request",
+    request = _record("request", _urn(F.lit("request"), page, url, sha, number), url, "application/http; msgtype=request",
                       F.concat(F.lit("GET "), url, F.lit(" HTTP/1.1" + END)), concurrent)
     about = F.concat(
         F.lit("page-id: "), F.coalesce(page.cast("string"), F.lit("")), F.lit("\r\npayload-length: "), F.col("bytes").cast("string"),
-        F.lit("\r\nrefers-to-page: "), F.when(same, F.col("lead").cast("string")).otherwise(""), F.lit("\r\n"))
-    metadata = _record("metadata", _urn(F.lit("metadata"), page, url, sha), url, "application/warc-fields", about, concurrent)
+        F.lit("\r\nrefers-to-page: "), F.when(same, F.coalesce(F.col("lead.page").cast("string"), F.lit(""))).otherwise(""), F.lit("\r\n"))
+    metadata = _record("metadata", _urn(F.lit("metadata"), page, url, sha, number), url, "application/warc-fields", about, concurrent)
     (
         joined.select(F.explode(F.array(request, capture, metadata)).alias("value"))
         .write.option("lineSep", END).option("compression", "gzip")
@@ -166,11 +184,12 @@ def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op8_warc_transactions": op8_warc_transactions}
 ORACLES = {
     "op8_warc_transactions": """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-h AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS x, max(page_id) OVER (PARTITION BY html) AS lead FROM p),
-b AS (SELECT page_id, payload_bytes, lead, array_to_string(list_transform(range(32), lambda i:
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, coalesce(url, '') AS url FROM pages),
+h AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS x, max(page_id) OVER (PARTITION BY html) AS lead,
+  row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST, url DESC) = 1 AS first FROM p),
+b AS (SELECT page_id, payload_bytes, lead, first, array_to_string(list_transform(range(32), lambda i:
   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((strpos('0123456789abcdef', x[(5*i)//4 + 1]) - 1) * 16
     + (CASE WHEN (5*i)//4 + 2 <= 40 THEN strpos('0123456789abcdef', x[(5*i)//4 + 2]) - 1 ELSE 0 END)) // (1 << (3 - (5*i) % 4))) % 32, 1)), '') AS payload_digest FROM h)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> lead THEN lead END AS refers_to FROM b""",
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN NOT first THEN lead END AS refers_to FROM b""",
 }

@@ -167,6 +167,25 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     assert topk_search.exact_top_k(frame.limit(0), frame, 5).count() == 0
 
 
+def test_a_full_block_of_queries_meets_rows_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    queries = rng.integers(-256, 257, (20_000, 64))
+    rows = rng.integers(-256, 257, (600, 64))
+    tracemalloc.start()
+    best = [topk_search.Best(np.arange(i, i + topk_search.SLICE), queries[i : i + topk_search.SLICE], 5) for i in range(0, 20_000, topk_search.SLICE)]
+    for portion in topk_search.portions(np.arange(100_000, 100_600), rows, topk_search.WARM):
+        for own in best[:4]:
+            own.meet(portion)
+    assert tracemalloc.get_traced_memory()[1] < 250 << 20
+    tracemalloc.stop()
+    exact = queries[:1024] @ rows.T
+    for q in (0, 77, 1023):
+        order = sorted((-exact[q, r], 100_000 + r) for r in range(600))[:5]
+        assert [(-s, i) for at, s, i in best[0].rows.T.tolist() if at == q] == order
+
+
 def plain_pii(text):
     text, out = text or "", []
     out += [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
@@ -186,6 +205,19 @@ def test_base_patterns_match_the_plain_ones():
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
         assert pii.base_spans(text) == plain_pii(text), text
     assert pii.base_spans("a" * 200_000 + "@" + "1" * 200_000) == []
+    zeros = "0" * 5000
+    assert pii.base_spans(f"v {zeros}.1.2.3 x") == [(2, 1, 5008)] and pii.base_spans(f"{zeros}256.1.2.3") == []
+    assert pii.base_spans("7" * 9000 + " " + zeros) == []
+
+
+def test_context_words_may_be_long_or_missing():
+    text = "call " + "x" * 400 + " +1 555 123 4567 " + "y" * 400
+    at = text.index("+")
+    assert pii._patterns(text, at, at + 15) == ["M " + "x" * 160 + " _ " + "y" * 160]
+    text = "call " + "x" * 100 + " " + "z" * 120 + "  +1 555 123 4567"
+    at = text.index("+")
+    assert pii._patterns(text, at, len(text)) == ["L " + "x" * 100 + " " + "z" * 120]
+    assert pii._patterns("+1 555 123 4567", 0, 15) == []
 
 
 def test_bootstrapping_finds_unseen_identifiers_by_context(spark):
@@ -311,26 +343,33 @@ def test_language_held_out_accuracy_and_odd_texts(spark):
     assert share < 0.99
 
 
-def test_warc_round_trip(spark, tmp_path):
+def test_warc_round_trip(spark, tmp_path, monkeypatch):
     html = ["", "<p>é</p>", "same", "WARC/1.1\r\nWARC-Type: x\r\n\r\nbody\r\n\r\n", "line\r\n\r\n\r\n\r\nWARC/1.1\r\n", "x" * 300_000, "same", "", "same"]
-    rows = [(i, f"http://h/{i}?a b\n", h, "u") for i, h in enumerate(html)] + [(50, None, None, None), (None, "http://n", "lonely", "u"), (2, "http://h/2?a b\n", "same", "u")]
+    rows = [(i, f"http://h/{i}?a b\n", h, "u") for i, h in enumerate(html)] + [(50, None, None, None), (None, "http://n", "lonely", "u")]
+    rows += [(2, "http://h/2?a b\n", "same", "u")] * 3 + [(60, "http://v", "twice", "u"), (60, "http://w", "twice", "u")] + [(61, "http://z", "thrice", "u")] * 3
+    monkeypatch.setattr(warc, "SPREAD", 2)
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string")
     warc.write_archives(pages, str(tmp_path / "warc"))
     got = warc.read_transactions(spark, str(tmp_path / "warc")).collect()
-    assert len(got) == len(rows) - 1  # the repeated page is one capture
-    lead = {}
-    for i, _, h, _ in rows:
-        lead[h or ""] = max(lead.get(h or "", -1), -1 if i is None else i)
+    assert len(got) == len(rows) and len({r.capture for r in got}) == len(rows)
+    page_of = lambda r: int(r.metadata.page_id) if r.metadata.page_id else None
+    assert sorted(map(str, (page_of(r) for r in got))) == sorted(str(i) for i, *_ in rows)
+    by_text = {}
+    for i, url, h, _ in rows:
+        by_text.setdefault(h or "", []).append((-1 if i is None else i, url or ""))
     for r in got:
-        page = int(r.metadata.page_id) if r.metadata.page_id else None
+        page = page_of(r)
         text = next(h or "" for i, _, h, _ in rows if i == page)
         assert r.response.digest == __import__("base64").b32encode(hashlib.sha1(text.encode()).digest()).decode()
         assert r.metadata.payload_length == len(text.encode()) and r.request.message.startswith("GET ")
-        if page is None or page == lead[text]:
-            assert r.response.type == "response" and r.response.payload == text and r.metadata.refers_to_page == ""
+        lead = max(by_text[text])[0]
+        if r.response.type == "response":
+            assert r.response.payload == text and r.metadata.refers_to_page == "" and (page is None or page == lead)
         else:
-            assert r.response.type == "revisit" and r.metadata.refers_to_page == str(lead[text])
-            assert r.response.refers_to == next(x.response.record_id for x in got if x.metadata.page_id == str(lead[text]))
+            assert r.response.type == "revisit" and r.metadata.refers_to_page == str(lead)
+            leads = [x for x in got if x.response.record_id == r.response.refers_to]
+            assert len(leads) == 1 and leads[0].response.type == "response" and page_of(leads[0]) == lead
+    assert sum(r.response.type == "response" for r in got) == len(by_text)
     warc.write_archives(pages.limit(0), str(tmp_path / "none"))
     assert warc.read_transactions(spark, str(tmp_path / "none")).count() == 0
 
@@ -379,6 +418,7 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     texts = {i: r.text for i, r in language.items()}
     want = brute_components(texts, 80)
     assert set(dedup) == {i for i, (_, label) in want.items() if label == i}
+    assert frame.where("doc_id is null").count() == 0  # its text has a copy with an id
     items = [plain_shingles(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     held = lambda own: any(s and 100 * len(s & own) >= 80 * len(s) for s in items)
     assert set(clean) == {i for i in dedup if not held(plain_shingles(texts[i]))} and 900004 not in clean
@@ -391,6 +431,18 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == frame.count()
 
 
+def test_repeated_ids_lose_no_text_and_repeated_rows_one_stays(spark, tmp_path):
+    text, other = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen"
+    rows = [(1, text), (2, text), (2, other), (3, other + " sixteen"), (4, "lone text"), (4, "lone text"), (None, "unseen words"), (None, "unseen words"), (5, None), (5, None), (6, "")]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(3).write.parquet(str(tmp_path / "docs"))
+    kept = corpus_pipeline._near_dedup(spark, spark.read.parquet(str(tmp_path / "docs")), "").collect()
+    got = sorted(((r.doc_id, r.text) for r in kept), key=str)
+    assert got == sorted([(1, text), (2, other), (3, other + " sixteen"), (4, "lone text"), (None, "unseen words"), (5, None), (5, None), (6, "")], key=str)
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        empty = stage(spark, spark.createDataFrame([], DOCS), "/root/testdata/sf0.001")
+        assert empty.count() == 0 and empty.columns == list(corpus_pipeline.COLUMNS), name
+
+
 def test_shingles_of_a_text_longer_than_a_piece(monkeypatch):
     from evidquarry.llm import shingles
 
