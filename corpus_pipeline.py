@@ -11,8 +11,8 @@ columns of ``documents``; stages that filter keep clean documents.
 4. pii: personal data in the text is replaced by the name of its kind.
 5. bpe: the texts are encoded; ids, their digest and that of the decoded text are returned.
 
-Rows without a doc_id are nobody's copy and take part in every other stage; rows that repeat
-a doc_id are one document to near_dedup, so they stay or go together.
+Every row is a document of its own, without or with a repeated doc_id too; of a group of near
+copies the row with the smallest doc_id stays (of equal ones the first, rows without an id last).
 """
 
 from __future__ import annotations
@@ -41,8 +41,14 @@ def _language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    keyed = docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())  # one scan of written files: the same in every job
+    found = near_dedup.near_duplicates(keyed, "_row")
+    copies = stored(found.where("not kept").select("_row", "component_id"), "copies")
+    members = copies.unionByName(copies.select(F.col("component_id").alias("_row"), "component_id").distinct())
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    stay = members.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min_by("_row", order).alias("_row"))
+    gone = members.join(stay, "_row", "left_anti").select("_row")
+    return keyed.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
