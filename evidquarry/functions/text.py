@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 # The token alphabet and the identifier part boundaries.
@@ -9,9 +11,23 @@ TOKEN_PATTERN = "[A-Za-z0-9][A-Za-z0-9_./:#-]*"
 PART_BOUNDARY = "[_./:#-]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 HAS_BOUNDARY = "[_./:#-][A-Za-z0-9]|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"
 
-# Latin letters whose decomposition is a base letter plus marks.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-UNACCENTED = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _latin_letters() -> tuple[str, str]:
+    """Latin letters that decompose into one base letter and marks, and these base letters.
+
+    Combining marks follow without a counterpart, so translating drops them.
+    """
+    marked, bases = [], []
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        parts = [c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)]
+        if len(parts) == 1 and parts[0] != chr(code):
+            marked.append(chr(code))
+            bases.append(parts[0])
+    return "".join(marked) + "".join(map(chr, range(0x300, 0x370))), "".join(bases)
+
+
+ACCENTED, UNACCENTED = _latin_letters()
 
 
 def _lit(value: str) -> Column:
@@ -68,7 +84,7 @@ def tokens(value: Column) -> Column:
 
 
 def fold_accents(value: Column) -> Column:
-    """Case-fold and strip diacritics over the Latin letters in use."""
+    """Case-fold and strip diacritics from Latin letters, composed or not."""
     folded = F.lower(F.translate(value, ACCENTED, UNACCENTED))
     return F.replace(folded, F.lit("ß"), F.lit("ss"))
 

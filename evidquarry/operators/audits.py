@@ -2,47 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from evidquarry.functions.text import casefold
 from evidquarry.operators.metrics import DIGITS, REGRESSION_LIMIT
-
-SHORT_PHRASES = 1000
-
-
-def anchor_word(needle: Column) -> Column:
-    """Longest interior word of a phrase (never its possibly cut first or last word)."""
-    words = F.split(casefold(needle), " ")
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    return F.try_element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(1))["w"]
-
+from evidquarry.operators.phrases import found_in
 
 def contained_in(needles: DataFrame, haystack: DataFrame, key: str, text: str) -> DataFrame:
-    """Phrase-in-text theta join: equi join on one whole interior word, then verify.
+    """Rows (needle_id, *key*): which text holds which phrase, ignoring case.
 
-    A text that contains the phrase contains every interior word between blanks, so no
-    match is lost and no pair is formed that does not share the anchor word. *needles*
-    has needle_id and needle. A phrase without an interior word (one or two words) is looked
-    for in every text; there may be at most SHORT_PHRASES of those.
+    *needles* has needle_id and needle; phrases of any length, empty ones are in every text.
     """
-    anchored = needles.withColumn("_w", anchor_word(F.col("needle")))
-    words = haystack.select(
-        key, F.explode(F.array_distinct(F.split(casefold(F.col(text)), " "))).alias("_w")
-    )
-    pairs = words.join(anchored.where(F.col("_w").isNotNull()), "_w").select(key, "needle_id", "needle")
-    found = (
-        pairs.join(haystack.select(key, text), key)
-        .where(casefold(F.col(text)).contains(casefold(F.col("needle"))))
-        .select("needle_id", key)
-    )
-    short = anchored.where(F.col("_w").isNull() & F.col("needle").isNotNull()).select("needle_id", "needle").limit(SHORT_PHRASES + 1).collect()
-    if len(short) > SHORT_PHRASES:
-        raise ValueError(f"more than {SHORT_PHRASES} phrases of one or two words")
-    if not short:
-        return found
-    listed = F.array(*[F.struct(F.lit(r["needle_id"]).alias("needle_id"), casefold(F.lit(r["needle"])).alias("needle")) for r in short])
-    held = F.filter(listed, lambda n: casefold(F.col(text)).contains(n.needle))
-    return found.unionByName(haystack.select(key, F.explode(held).alias("n")).select("n.needle_id", key))
+    folded = needles.select("needle_id", casefold(F.col("needle")).alias("needle"))
+    return found_in(haystack, key, casefold(F.col(text)), folded).select("needle_id", key)
 
 
 def resolution(cases: DataFrame, matches: DataFrame, floor: float) -> DataFrame:

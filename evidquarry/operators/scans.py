@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidquarry.functions.text import casefold, looks_repeated
-from evidquarry.session import fits_within, shared_path
+from evidquarry.operators.phrases import found_in
 
 # Order in which source families fill a bounded scan.
 FAMILY_PRIORITY = {"PAGE": 0, "ATTACHMENT": 1, "ISSUE": 2, "CODE": 3}
 RESERVED_KIND = "__vocabulary__"
-TERMS_PER_PASS = 100_000  # identifiers sent to the tasks at once
 
 
 def require_policy(project: str, policies: Sequence[str]) -> None:
@@ -109,80 +106,51 @@ def bounded_scan(chunks: DataFrame, cap: int, families: Sequence[str] = ()) -> D
     return taken.withColumn("truncated", size.scalar() >= cap)
 
 
-def anchor_score(identifier: Column) -> Column:
-    """Occurrences in the body plus fixed bonuses for structural evidence."""
-    body, title = F.col("page_content"), F.col("title")
-    upper = F.upper(body)
-    shout = F.upper(identifier)
+def with_body_flags(chunks: DataFrame) -> DataFrame:
+    """What a body says about itself, as two flags, so that the body need not travel."""
+    return chunks.withColumns({"has_class": F.col("page_content").contains("data class "), "has_wire_name": F.lower("page_content").contains("wire name")})
+
+
+def structural_score(identifier: Column, times: Column) -> Column:
+    """Occurrences in the body (*times*) plus fixed bonuses for structural evidence."""
     in_path = F.rlike(
         F.upper("structure_path"),
-        F.concat(F.lit(r"(?<![A-Z0-9_-])\Q"), shout, F.lit(r"\E(?![A-Z0-9_-])")),
+        F.concat(F.lit(r"(?<![A-Z0-9_-])\Q"), F.upper(identifier), F.lit(r"\E(?![A-Z0-9_-])")),
     )
     return (
-        looks_repeated(upper, shout)
+        times
         + F.when(in_path, 120).otherwise(0)
-        + F.when(body.contains("data class ") & upper.contains(shout), 80).otherwise(0)
-        + F.when(F.lower(body).contains("wire name"), 60).otherwise(0)
-        + F.when(title.contains("EventType"), 50).otherwise(0)
+        + F.when(F.coalesce("has_class", F.lit(False)) & (times > 0), 80).otherwise(0)
+        + F.when(F.coalesce("has_wire_name", F.lit(False)), 60).otherwise(0)
+        + F.when(F.col("title").contains("EventType"), 50).otherwise(0)
     ).cast("double")
 
 
-def _held(terms: list[str]):
-    """Terms that occur anywhere in a text, looked up by the first letters all terms have."""
-    size = min(3, min(map(len, terms)))
-    known, lengths = set(terms), defaultdict(set)
-    for term in terms:
-        lengths[term[:size]].add(len(term))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, found = [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                text = text or ""
-                held = {text[at : at + n] for at in range(len(text) - size + 1) for n in lengths.get(text[at : at + size], ())} & known
-                rows += [row] * len(held)
-                found += held
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], names=["chunk_id", "term"])
-
-    return run
-
-
-def _body_matches(base: DataFrame, terms: DataFrame) -> DataFrame:
-    """Rows (chunk_id, term) of all *terms* that are substrings of a chunk's body, ignoring case."""
-    schema = f"chunk_id {base.schema['chunk_id'].dataType.simpleString()}, term string"
-    bodies = base.select("chunk_id", F.lower("page_content"))
-
-    def scanned(block: DataFrame) -> DataFrame:
-        asked = block.toArrow().column(0).to_pylist()
-        return bodies.mapInArrow(_held(asked), schema) if asked else base.sparkSession.createDataFrame([], schema)
-
-    if fits_within(terms, TERMS_PER_PASS):
-        return scanned(terms)
-    blocks = terms.count() // TERMS_PER_PASS + 1
-    path = shared_path(base.sparkSession, "identifiers")
-    for block in range(blocks):
-        scanned(terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block)).write.mode("append").parquet(path)
-    return base.sparkSession.read.schema(schema).parquet(path)
+def anchor_score(identifier: Column) -> Column:
+    """The same for rows that carry their body."""
+    return structural_score(identifier, looks_repeated(F.lower("page_content"), F.lower(identifier)))
 
 
 def exact_identifier_lookup(chunks: DataFrame, identifiers: DataFrame, fields: Sequence[str], k: int = 12) -> DataFrame:
     """Best *k* chunks per request holding an identifier in a field or anywhere in the body.
 
     Field matches are an equi join on the exploded field values. Body matches are substrings
-    in any case: the identifiers go to the tasks in blocks of about TERMS_PER_PASS and are
-    looked up where the chunks are read. Chunks of a named issue (``issue_key``) come first,
+    in any case, found and counted where the chunks are read; bodies do not travel. Chunks of a named issue (``issue_key``) come first,
     then current ones (``chunk_kind``), where the chunks have these columns, then by anchor score.
     """
     ids = identifiers.select("query_id", "identifier").distinct()
     known = [name for name in ("issue_key", "chunk_kind") if name in chunks.columns and name not in fields]
-    base = chunks.select("chunk_id", "page_content", "title", "structure_path", *fields, *known)
-    keyed = base.select("chunk_id", F.explode(F.array_distinct(F.array(*fields))).alias("identifier"))
-    by_field = keyed.join(ids, "identifier").select("query_id", "identifier", "chunk_id")
-    terms = ids.withColumn("term", F.lower("identifier")).where("term <> ''")
-    by_body = _body_matches(base, terms.select("term").distinct()).join(terms, "term").select(
-        "query_id", "identifier", "chunk_id"
+    plain = chunks.select("chunk_id", "page_content", "title", "structure_path", *fields, *known)
+    keyed = plain.select("chunk_id", F.explode(F.array_distinct(F.array(*fields))).alias("identifier"))
+    by_field = keyed.join(ids, "identifier").select("query_id", "identifier", "chunk_id", F.lit(0).cast("long").alias("times"))
+    terms = ids.withColumn("needle_id", F.lower("identifier")).where("needle_id <> ''")
+    asked_for = terms.select("needle_id", F.col("needle_id").alias("needle"))
+    by_body = found_in(plain, "chunk_id", F.lower("page_content"), asked_for).join(terms, "needle_id").select(
+        "query_id", "identifier", "chunk_id", "times"
     )
-    found = by_field.unionByName(by_body).distinct().join(base, "chunk_id")
+    pairs = by_field.unionByName(by_body).groupBy("query_id", "identifier", "chunk_id").agg(F.max("times").alias("times"))
+    base = with_body_flags(plain).select("chunk_id", "title", "structure_path", "has_class", "has_wire_name", *known)
+    found = pairs.join(base, "chunk_id")
     issue = current = F.lit(False)
     if "issue_key" in base.columns:
         asked = ids.groupBy("query_id").agg(F.collect_set(F.upper("identifier")).alias("asked"))
@@ -191,7 +159,7 @@ def exact_identifier_lookup(chunks: DataFrame, identifiers: DataFrame, fields: S
     if "chunk_kind" in base.columns:
         current = F.coalesce(F.col("chunk_kind") == "CURRENT", current)
     scored = found.groupBy("query_id", "chunk_id").agg(
-        F.max(anchor_score(F.col("identifier"))).alias("anchor_score"), F.max(issue).alias("_issue"), F.max(current).alias("_current"))
+        F.max(structural_score(F.col("identifier"), F.col("times"))).alias("anchor_score"), F.max(issue).alias("_issue"), F.max(current).alias("_current"))
     order = Window.partitionBy("query_id").orderBy(F.desc("_issue"), F.desc("_current"), F.desc("anchor_score"), F.asc("chunk_id"))
     return scored.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).drop("_issue", "_current")
 

@@ -68,8 +68,9 @@ def f11_anchor_retention(t):
 @query("f15_title_affinity", ctes(*FUSE_CTES, ("w", f"""
 SELECT cand.*, regexp_extract_all(replace(strip_accents(lower(title)), 'ß', 'ss'), '[a-z0-9]+') AS tw,
  ' ' || array_to_string(regexp_extract_all(replace(strip_accents(lower(question)), 'ß', 'ss'), '[a-z0-9]+'), ' ') || ' ' AS qw FROM cand JOIN q USING (query_id)"""), ("m", """
-SELECT *, len(tw) >= 2 AND instr(qw, ' ' || tw[1] || ' ') > 0 AND instr(substr(qw, instr(qw, ' ' || tw[1] || ' ') + length(tw[1]) + 1), ' ' || tw[2] || ' ') > 0 AS ok FROM w WHERE len(tw) <= 2""")) + """
-SELECT query_id, chunk_id FROM m WHERE ok""")
+SELECT *, len(tw) AS n, max(len(tw)) OVER (PARTITION BY query_id) AS longest FROM w WHERE len(tw) >= 2 AND list_reduce(list_prepend(qw, tw),
+  lambda rest, x: CASE WHEN instr(rest, ' ' || x || ' ') > 0 THEN substr(rest, instr(rest, ' ' || x || ' ') + length(x) + 1) END) IS NOT NULL""")) + """
+SELECT query_id, chunk_id FROM m WHERE n = longest""")
 def f15_title_affinity(t):
     """Titles whose words occur in the question in order; the longest title wins."""
     asked = questions(t).select("query_id", F.array_join(X.normalized_words(F.col("question")), " ").alias("asked"))
@@ -192,7 +193,13 @@ def c14_identifier_in_answer(t):
 
 
 @query("c15_population_labels", """
-SELECT p_partkey, 'v2.' || p_size || '|' || lower(p_type) || '|libraries|library|boxes|box|events|event|sending|send|running|run' AS labels FROM part WHERE lower(p_type) NOT LIKE '%s' AND lower(p_type) NOT LIKE '%ing'""")
+SELECT p_partkey, array_to_string(list_filter(list_transform(all_labels, lambda x, i: CASE WHEN list_position(all_labels, x) = i THEN x END), lambda x: x IS NOT NULL), '|') AS labels
+FROM (SELECT p_partkey, ['v2.' || p_size] || CASE WHEN gerund THEN [] ELSE [w] || single END || ['libraries', 'library', 'boxes', 'box', 'events', 'event']
+  || CASE WHEN gerund THEN [w, regexp_replace(left(w, length(w) - 3), '(.)(bb|dd|gg|ll|mm|nn|pp|rr|ss|tt)$', '\\1' || left(right(left(w, length(w) - 3), 1), 1))] ELSE [] END
+  || ['sending', 'send', 'running', 'run'] AS all_labels
+FROM (SELECT *, length(w) > 5 AND w LIKE '%ing' AS gerund, CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN [left(w, length(w) - 3) || 'y']
+  WHEN length(w) > 4 AND w LIKE '%es' THEN [left(w, length(w) - 2)] WHEN length(w) > 3 AND w LIKE '%s' THEN [left(w, length(w) - 1)] ELSE [] END AS single
+  FROM (SELECT *, lower(p_type) AS w FROM part)))""")
 def c15_population_labels(t):
     asked = F.concat(F.lit("List all v2."), F.col("p_size").cast("string"), F.lit(" "), "p_type", F.lit(" libraries and boxes for sending events or running"))
     return t.read("part").select(

@@ -159,7 +159,9 @@ def c35_issue_suite(t):
 SELECT chunk_id AS case_id, ord, language AS query_language, source_id AS section, row_number() OVER (PARTITION BY language, source_id ORDER BY ord) AS rn FROM chunks WHERE chunk_id % 10 <> 0"""), ("u", """
 SELECT case_id, ord, query_language, section, rn, CASE WHEN rn <= 4 THEN 1 END AS reserved FROM p WHERE rn <= 504
 UNION ALL SELECT chunk_id, ord, language, source_id, 0, 0 FROM chunks WHERE chunk_id % 10 = 0""")) + """
-SELECT case_id, coalesce(reserved, 2) AS lane FROM u ORDER BY reserved NULLS LAST, rn, query_language, section, ord LIMIT 500""")
+SELECT case_id, reserved AS lane FROM u WHERE reserved IS NOT NULL UNION ALL
+SELECT case_id, 2 FROM (SELECT *, row_number() OVER (ORDER BY rn, query_language, section, ord) AS k FROM u WHERE reserved IS NULL)
+WHERE k <= 500 - (SELECT count(*) FROM u WHERE reserved IS NOT NULL)""")
 def c36_generation_sample(t):
     cases = t.chunks().select(
         F.col("chunk_id").alias("case_id"), "ord", (F.col("chunk_id") % 10 != 0).alias("answerable"),

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Window, functions as F
 
-from evidquarry.operators import audits, metrics as M, ranking as R, ranks
+from evidquarry.operators import audits, metrics as M, predicates, ranking as R, ranks
 from evidquarry.plans.registry import ctes, query
 from evidquarry.plans.retrieval import DENSE_CTES, dense_top
 
@@ -300,12 +300,27 @@ def j8_case_predicate_join(t):
     return _matches(t)
 
 
-@query("f10_gold_predicates", ctes(*_PRE) + """
-SELECT case_id, count(*) AS gold, min(doc_id) AS first_gold FROM mt WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') GROUP BY 1""")
+# a case's chunk holds its whole text in English, or has its reference, or its title in any punctuation
+_JSON_TREE = """'{"any_of": [{"all_of": [' || to_json(named_struct('field', 'page_content', 'contains', text)) || ', {"field": "language", "equals": "EN"}]}, '
+  || to_json(named_struct('field', 'reference', 'equals', 'SRC' || (item_id % 20) || '#' || (item_id * 3))) || ', '
+  || to_json(named_struct('field', 'title', 'contains', '[' || split_part(text, ' ', 1) || '] -- ' || split_part(text, ' ', 2))) || ']}'"""
+_FOLDED = "replace(lower({0}), 'ß', 'ss')"
+_LOOSE = "regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^a-z0-9]+', '', 'g')"
+
+
+@query("f10_gold_predicates", ctes("chunks", ("hit", f"""
+SELECT item_id AS case_id, chunk_id, language FROM benchmark b JOIN chunks c ON
+  (b.text <> '' AND (contains({_FOLDED.format('page_content')}, {_FOLDED.format('b.text')})
+     OR ({_LOOSE.format('b.text')} <> '' AND contains({_LOOSE.format('page_content')}, {_LOOSE.format('b.text')}))) AND lower(language) = 'en')
+  OR lower(reference) = 'src' || (item_id % 20) || '#' || (item_id * 3)
+  OR contains({_LOOSE.format('title')}, {_LOOSE.format("split_part(b.text, ' ', 1) || split_part(b.text, ' ', 2)")})""")) + """
+SELECT case_id, count(*) AS gold, min(chunk_id) AS first_gold FROM hit GROUP BY 1""")
 def f10_gold_predicates(t):
-    english = t.read("documents").where(F.col("lang") == "en").select("doc_id")
-    kept = _matches(t).join(english, "doc_id", "left_semi")
-    return kept.groupBy("case_id").agg(F.count(F.lit(1)).alias("gold"), F.min("doc_id").alias("first_gold"))
+    """Gold chunks by trees of all_of, any_of, equals and contains."""
+    trees = t.read("benchmark").selectExpr("item_id", f"{_JSON_TREE} AS tree")
+    nodes = predicates.predicate_nodes(trees, "item_id", "tree")
+    found = predicates.matching(t.chunks(), nodes, "chunk_id", ("page_content", "language", "reference", "title"))
+    return found.groupBy("case_id").agg(F.count(F.lit(1)).alias("gold"), F.min("chunk_id").alias("first_gold"))
 
 
 @query("f18_active_cases", ctes(*_PRE) + "SELECT answerable, retired, count(*) AS n FROM ca WHERE answerable AND NOT retired GROUP BY 1, 2")

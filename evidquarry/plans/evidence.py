@@ -346,8 +346,8 @@ def f16_entity_scope(t):
 
 
 @query("f17_feature_inventory", ctes("chunks") + """
-SELECT entity, lower(title) AS title_key, min(ord) AS first_ord FROM chunks WHERE entity <> '' AND doc_category = 'entity-contract'
-  AND regexp_full_match(title, '[A-Za-z ]+') GROUP BY 1, 2""")
+SELECT entity, array_to_string(regexp_extract_all(replace(strip_accents(lower(title)), 'ß', 'ss'), '[a-z0-9]+'), ' ') AS title_key,
+  min(ord) AS first_ord FROM chunks WHERE entity <> '' AND doc_category = 'entity-contract' GROUP BY 1, 2""")
 def f17_feature_inventory(t):
     rows = t.chunks().where((F.col("entity") != "") & (F.col("doc_category") == "entity-contract"))
     key = F.array_join(X.normalized_words(F.col("title")), " ")

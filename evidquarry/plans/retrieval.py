@@ -213,11 +213,10 @@ def s12_row_decoder(t):
 
 @query("s6_exact_identifier_lookup", ctes("chunks", ("want", """
 SELECT item_id AS query_id, 'src' || (item_id % 20) || '#' || (item_id * 3) AS identifier FROM benchmark
-UNION SELECT item_id, 'E' || (item_id % 97) FROM benchmark"""), ("words", f"""
-SELECT chunk_id, unnest(list_distinct({sql_tokens('page_content')})) AS term FROM chunks"""), ("found", """
+UNION SELECT item_id, 'E' || (item_id % 97) FROM benchmark"""), ("found", """
 SELECT query_id, identifier, chunk_id FROM want JOIN chunks ON identifier IN (reference, entity_key)
-UNION SELECT query_id, identifier, chunk_id FROM want JOIN words ON term = lower(identifier)"""), ("scored", """
-SELECT query_id, chunk_id, max(CAST((length(page_content) - length(replace(upper(page_content), upper(identifier), '')))
+UNION SELECT query_id, identifier, chunk_id FROM want JOIN chunks ON contains(lower(page_content), lower(identifier))"""), ("scored", """
+SELECT query_id, chunk_id, max(CAST((length(page_content) - length(replace(lower(page_content), lower(identifier), '')))
   / length(identifier) AS DOUBLE) + CASE WHEN upper(locator || ' ' || entity_key) LIKE '%' || upper(identifier)
   AND regexp_matches(upper(locator || ' ' || entity_key), '(^|[^A-Z0-9_-])' || upper(identifier) || '($|[^A-Z0-9_-])')
   THEN 120 ELSE 0 END) AS anchor_score FROM found JOIN chunks USING (chunk_id) GROUP BY ALL""")) + """
@@ -240,10 +239,10 @@ SELECT * FROM (SELECT query_id, chunk_id, anchor_score, row_number() OVER (PARTI
   ORDER BY anchor_score DESC, chunk_id) AS rn FROM hit) WHERE rn <= 12""")
 def s7_structure_lookup(t):
     want = t.read("benchmark").selectExpr("item_id AS query_id", "'L' || (item_id % 40) AS identifier")
-    chunks = t.chunks().withColumn("structure_path", F.concat_ws(" / ", "title", "locator"))
+    chunks = scans.with_body_flags(t.chunks().withColumn("structure_path", F.concat_ws(" / ", "title", "locator")))
     # path ids are whole words, so exploding the path makes the lookup an equi join
     paths = chunks.select("chunk_id", F.explode(F.array_distinct(F.split(F.upper("structure_path"), r"[^A-Z0-9_-]+"))).alias("identifier"))
-    hit = paths.join(want, "identifier").join(chunks.select("chunk_id", "page_content", "title", "structure_path"), "chunk_id")
+    hit = paths.join(want, "identifier").join(chunks.select("chunk_id", "page_content", "title", "structure_path", "has_class", "has_wire_name"), "chunk_id")
     scored = hit.withColumn("anchor_score", scans.anchor_score(F.col("identifier")))
     order = Window.partitionBy("query_id").orderBy(F.desc("anchor_score"), F.asc("chunk_id"))
     return scored.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= 12).select(

@@ -473,7 +473,9 @@ def x64_fenced_payload(t):
 
 
 @query("x23_looks_like_payload", """
-SELECT doc_id, n_chars <= 400 OR doc_id % 2 = 0 AS payload FROM documents WHERE text NOT LIKE '%"' AND text NOT LIKE '%}' AND text NOT LIKE '%]' AND text NOT LIKE ' %' AND text NOT LIKE '% '""")
+SELECT doc_id, length(m) <= 400 OR (m LIKE '{%' AND m LIKE '%}') OR (m LIKE '[%' AND m LIKE '%]')
+  OR (m LIKE '"%"' AND (contains(m, '{') OR contains(m, '['))) AS payload
+FROM (SELECT doc_id, trim(CASE WHEN doc_id % 2 = 0 AND n_chars > 400 THEN '[' || text || ']' ELSE text END) AS m FROM documents)""")
 def x23_looks_like_payload(t):
     rows = t.read("documents")
     message = F.when((F.col("doc_id") % 2 == 0) & (F.col("n_chars") > 400), F.concat(F.lit("["), "text", F.lit("]"))).otherwise(F.col("text"))
