@@ -9,8 +9,9 @@ Method
    with the asked similarity overlap in at least ``need`` tokens of either, so the first
    n - need + LEAST tokens of both share at least ``LEAST``. Nodes that share so many of these
    with no other node are linked to nothing and go no further.
-3. Partition: the other nodes are put into groups of similar ones by the smallest of a second
-   hash of their tokens; a crowded group is cut into parts of at most ``PART`` nodes. A part is
+3. Partition: the other nodes are put into groups of similar ones by the leading token they share
+   with most others, which the copies of one text have in common whatever else was changed;
+   a crowded group is cut into parts of at most ``PART`` nodes. A part is
    joined exactly in one task, together with ``PIVOTS`` nodes of the whole group that tie its
    parts together.
 4. Matrix: for every part the union of its nodes' leading tokens is stored, as rows (token,
@@ -51,7 +52,7 @@ LEAST = 4
 GROUP, PART, PART_TOKENS, PIVOTS = 64, 256, 400_000, 16
 QUERIES_A_TASK = 512
 TEXT = 4 << 20
-_SECOND, _PRINT = np.uint64(0x94D049BB133111EB), np.uint64(0x5851F42D4C957F2D)
+_PRINT = np.uint64(0x5851F42D4C957F2D)
 
 
 def fewest(per_cent: int) -> int:
@@ -101,14 +102,13 @@ def _sketched(sent, per_cent: int):
             for start, texts in text_portions(batch.column(2), TEXT):
                 sets = [shingle_set(t, WIDTH) for t in texts]
                 prints = [fingerprint(s) for s in sets]
-                low = [int(mixed(s ^ _SECOND).min().view(np.int64)) if len(s) else 0 for s in sets]
                 lead = [leading(s, crowding, per_cent).view(np.int64) if len(s) >= few else np.empty(0, np.int64) for s in sets]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in lead]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(start, len(texts)), batch.column(1).slice(start, len(texts)), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(low, pa.int64()),
+                    pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lead) if lead else np.empty(0, np.int64))),
-                ], names=["id", "node", "n", "fp_a", "fp_b", "low", "lead"])
+                ], names=["id", "node", "n", "fp_a", "fp_b", "lead"])
 
     return run
 
@@ -228,25 +228,26 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowding = np.log2(np.maximum(sums / max(1.0, sums.mean()), 1)).astype(np.uint8)
     sent = spark.sparkContext.broadcast(crowding)
     sketches = stored(
-        numbered.select("id", "node", "text").mapInArrow(_sketched(sent, per_cent), "id long, node long, n long, fp_a long, fp_b long, low long, lead array<long>"), "sketches")
-    rep = F.min(F.struct("node", "low", "lead")).alias("rep")
+        numbered.select("id", "node", "text").mapInArrow(_sketched(sent, per_cent), "id long, node long, n long, fp_a long, fp_b long, lead array<long>"), "sketches")
+    rep = F.min(F.struct("node", "lead")).alias("rep")
     classes = stored(
         sketches.where("n > 0").groupBy("n", "fp_a", "fp_b").agg(rep, F.min("id").alias("least"), F.count("*").alias("copies"))
-        .select("n", "fp_a", "fp_b", "least", "copies", "rep.node", "rep.low", "rep.lead"), "classes")
+        .select("n", "fp_a", "fp_b", "least", "copies", "rep.node", "rep.lead"), "classes")
 
     tokens = classes.select("node", F.explode("lead").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
+    shared = tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("holders")).where("lo < hi").select("token", "holders")
     near = stored(tokens.join(shared, "token"), "tokens")
-    live = near.groupBy("node").agg(F.count("*").alias("hits")).where(F.col("hits") >= least).select("node")
+    widest = F.max(F.struct("holders", "token"))["token"].alias("widest")
+    live = near.groupBy("node").agg(F.count("*").alias("hits"), widest).where(F.col("hits") >= least).select("node", "widest")
 
     known = stored(classes.drop("lead", "least", "copies").join(live, "node"), "live")
     groups = max(1, -(-known.count() // GROUP))
-    grouped = known.withColumn("grp", F.pmod("low", F.lit(groups)))
+    grouped = known.withColumn("grp", F.pmod(F.xxhash64("widest"), F.lit(groups)))
     sizes = grouped.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("n") / PART_TOKENS)).alias("parts"))
     most = sizes.agg(F.max("parts")).first()[0] or 1
     nodes = stored(
         grouped.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
-        .withColumn("part", F.col("grp") * most + F.col("own")).drop("low"), "parts")
+        .withColumn("part", F.col("grp") * most + F.col("own")).drop("widest"), "parts")
 
     rank = F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("node", F.lit(1)), "node"))
     pivots = nodes.where("parts > 1").withColumn("rank", rank).where(F.col("rank") <= PIVOTS)
@@ -261,7 +262,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tied = components(bridges.unionByName(own)).select(F.col("id").alias("leader"), "component")
     ties = stored(leaders.join(tied, "leader", "left").select("node", "n", "fp_a", "fp_b", "part", F.coalesce("component", "leader").alias("tie")), "ties")
 
-    held = near.join(ties.select("node", "n", "part", "tie"), "node")
+    held = near.drop("holders").join(ties.select("node", "n", "part", "tie"), "node")
     apart = held.groupBy("token").agg(F.min("tie").alias("lo"), F.max("tie").alias("hi")).where("lo < hi").select("token")
     asking = stored(held.join(apart, "token"), "asking")
     matrix = asking.groupBy("token", "part").agg(
@@ -278,7 +279,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     last = components(links).select(F.col("id").alias("tie"), "component")
     ended = ties.join(last, "tie", "left").select("node", F.coalesce("component", "tie").alias("tie"))
     answers = (
-        classes.drop("low", "lead").join(ended, "node", "left").where("copies > 1 or tie is not null")
+        classes.drop("lead").join(ended, "node", "left").where("copies > 1 or tie is not null")
         .withColumn("tie", F.coalesce("tie", "node")))
     ends = answers.groupBy("tie").agg(F.min("least").alias("component_id"))
     named = answers.join(ends, "tie").select("n", "fp_a", "fp_b", "component_id", F.lit(True).alias("linked"))
