@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidquarry.functions import anchors, citations
+from evidquarry.functions.answers import contains_identifier
 from evidquarry.functions.markdown import LIST_MARK
 from evidquarry.functions.text import casefold, collapse_spaces, first_present
 from evidquarry.operators.ranking import salted_lookup, version_key
@@ -133,6 +134,60 @@ def output_gate(checks: DataFrame) -> DataFrame:
     return checks.withColumn("failure_reason", reason)
 
 
+# Fixed value: how an answer marks a claim it derived, with its rule.
+INFERENCE = r"(?i)^\s*(?:[-*]\s*)?Inference\s*\(([^)]+)\)\s*:"
+
+
+def claim_support(claims: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """The claims with the fact ids they cite, their type and rule, and whether each is supported.
+
+    *facts* has the first key, source and fact_id. A claim cites a handful of sources.
+    """
+    number = F.explode_outer(citations.mentioned(F.col("claim"))).alias("source")
+    cited = claims.select(*keys, number).join(facts.select(keys[0], "source", "fact_id"), [keys[0], "source"])
+    ids = cited.groupBy(*keys).agg(F.array_sort(F.collect_set("fact_id")).alias("fact_ids"))
+    rule = F.nullif(F.trim(F.regexp_extract("claim", INFERENCE, 1)), F.lit(""))
+    derived = F.col("claim").rlike(INFERENCE)
+    held = F.size("fact_ids") > 0
+    return claims.join(ids, keys, "left").withColumn("fact_ids", F.coalesce("fact_ids", F.array().cast("array<string>"))).select(
+        *claims.columns, "fact_ids", F.when(derived, "DERIVED").otherwise("DIRECT").alias("claim_type"), rule.alias("derivation_rule"),
+        held.alias("supported"), (~derived | (rule.isNotNull() & held)).alias("derivation_ok"))
+
+
+def gate_checks(
+    answers: DataFrame, support: DataFrame, facts: DataFrame, keys: list[str], required_policy: str,
+    policies: tuple[str, ...] = (), categories: tuple[str, ...] = (),
+) -> DataFrame:
+    """The seven booleans of the output gate, from claims, facts and what was requested.
+
+    *answers*: keys, answer, latest, all_items, expected (identifiers). *facts*: the first key,
+    source, access_policy_id and the fact columns. Empty *categories* allow every source.
+    An answer without facts or claims has nothing to fail on; conflicts are fields whose facts
+    of the highest authority and newest version differ.
+    """
+    group = keys[0]
+    allowed = F.coalesce("access_policy_id", F.lit("")).isin("", required_policy, *policies)
+    scoped = F.col("source_category").isin("DOCUMENT", *categories) if categories else F.lit(True)
+    dated = (F.coalesce("source_version", F.lit("")) != "") | (F.coalesce("observed_at", F.lit("")) != "")
+    of_facts = facts.groupBy(group).agg(
+        F.bool_and(allowed).alias("permissions_ok"), F.bool_and(scoped).alias("scope_ok"), F.bool_and(dated).alias("dated"))
+    fields = [group, "entity", "field_path"]
+    ranked = facts.where(F.col("field_path").isNotNull()).withColumn("_rank", F.struct(F.col("authority").alias("a"), version_key().alias("f")))
+    best = ranked.groupBy(*fields).agg(F.max("_rank").alias("_best"))
+    differing = (
+        ranked.join(best, fields).where(F.col("_rank") == F.col("_best")).groupBy(*fields)
+        .agg(F.count_distinct("value").alias("n")).where("n > 1").select(group).distinct().withColumn("conflict", F.lit(True)))
+    of_claims = support.groupBy(*keys).agg(F.bool_and("derivation_ok").alias("derivations_ok"), F.bool_and("supported").alias("claims_ok"))
+    joined = answers.join(of_facts, group, "left").join(differing, group, "left").join(of_claims, keys, "left")
+    named = F.forall("expected", lambda name: contains_identifier(F.col("answer"), name))
+    true = F.lit(True)
+    return joined.select(
+        *keys, F.coalesce("permissions_ok", true).alias("permissions_ok"), F.coalesce("scope_ok", true).alias("scope_ok"),
+        F.col("conflict").isNull().alias("conflicts_ok"), (~F.col("latest") | F.coalesce("dated", true)).alias("freshness_ok"),
+        (~F.col("all_items") | named).alias("coverage_ok"), F.coalesce("derivations_ok", true).alias("derivations_ok"),
+        F.coalesce("claims_ok", true).alias("claims_ok"))
+
+
 def greedy_budget(blocks: DataFrame, group: str, order: str, cost: str, frame_cost: int, budget: int) -> DataFrame:
     """Blocks that fit a token budget in order; the last one may be cut.
 

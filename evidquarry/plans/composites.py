@@ -43,18 +43,6 @@ def c6_overview_rerank(t):
     )
 
 
-@query("c38_score_checkpoint", ctes(*RERANK_CTES, ("done", "SELECT query_id, chunk_id FROM rr WHERE ord % 3 = 0")) + """
-SELECT query_id, count(*) AS pairs, count(*) FILTER (WHERE ord % 3 = 0) AS reused, count(*) FILTER (WHERE ord % 3 <> 0) AS scored FROM rr GROUP BY 1""")
-def c38_score_checkpoint(t):
-    """Pairs already in the score table are joined; only the rest is scored."""
-    pool = candidates(t).withColumn("pair", F.sha2(F.concat_ws(":", "query_id", "chunk_id"), 256))
-    table = pool.where(F.col("ord") % 3 == 0).select("pair", F.lit(0.5).alias("known"))
-    joined = pool.join(table, "pair", "left")
-    return joined.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("pairs"), F.count("known").alias("reused"), F.count(F.when(F.col("known").isNull(), 1)).alias("scored")
-    )
-
-
 @query("f11_anchor_retention", ctes(*FUSE_CTES) + """
 SELECT query_id, count(*) FILTER (WHERE contains(replace(lower(page_content || ' ' || title), 'ß', 'ss'), source_id || '.' OR contains(lower(title), 'the')) AS kept,
   count(*) AS n FROM cand GROUP BY 1""".replace("source_id || '.' OR contains(lower(title), 'the'))", "'the ')) "))
@@ -374,34 +362,6 @@ _SCORED = (
 )
 
 
-@query("c11_citation_realignment", ctes(*_SCORED) + """
-SELECT conv_id, turn, pos, arg_max(source, {'s': score, 'i': source}) AS aligned, max(score) AS score FROM px WHERE score >= 0.5 GROUP BY 1, 2, 3""")
-def c11_citation_realignment(t):
-    """Best passing evidence per claim; a conversation offers at most four sources."""
-    pairs = _claims(t).withColumn("plain", gates.bare_claim(F.col("claim"), F.col("kind"))).join(_evidence(t), "conv_id")
-    scored = pairs.withColumn("score", F.round(overlap_score(F.col("plain"), F.col("page_content")), 6)).where(F.col("score") >= gates.THRESHOLD)
-    return scored.groupBy("conv_id", "turn", "pos").agg(
-        F.max_by("source", F.struct("score", "source")).alias("aligned"), F.max("score").alias("score")
-    )
-
-
-@query("j16_claim_evidence_pairs", ctes(*_SCORED, ("single", "SELECT conv_id, turn, pos FROM px GROUP BY 1, 2, 3 HAVING max(score) >= 0.5"), ("pr", """
-SELECT a.conv_id, a.turn, a.pos, a.source AS s1, b.source AS s2 FROM px a JOIN px b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.pos = b.pos AND a.source < b.source
-WHERE (a.conv_id, a.turn, a.pos) NOT IN (SELECT (conv_id, turn, pos) FROM single)""")) + """
-SELECT conv_id, turn, count(DISTINCT pos) AS claims, count(*) AS pairs FROM pr GROUP BY 1, 2""")
-def j16_claim_evidence_pairs(t):
-    """Source pairs are formed only for claims that no single source supports."""
-    pairs = _claims(t).withColumn("plain", gates.bare_claim(F.col("claim"), F.col("kind"))).join(_evidence(t), "conv_id")
-    scored = pairs.select("conv_id", "turn", "pos", "source", F.round(overlap_score(F.col("plain"), F.col("page_content")), 6).alias("score"))
-    open_claims = scored.groupBy("conv_id", "turn", "pos").agg(
-        F.max("score").alias("best"), F.array_sort(F.collect_list("source")).alias("sources")
-    ).where(F.col("best") < gates.THRESHOLD)
-    n = F.size("sources")
-    return open_claims.where(n >= 2).groupBy("conv_id", "turn").agg(
-        F.count(F.lit(1)).alias("claims"), F.sum((n * (n - 1) / 2).cast("bigint")).alias("pairs")
-    )
-
-
 @query("c12_topicality", ctes(_ANS, ("qa", "SELECT an.conv_id, an.turn, answer, text AS question FROM an JOIN conversations c ON c.conv_id = an.conv_id AND c.turn = an.turn - 1 AND c.role = 'user'"), ("s", f"""
 SELECT conv_id, turn, round(len(list_intersect(list_distinct({sql_tokens('question')}), {sql_tokens("trim(regexp_replace(answer, '\\s*\\[SOURCE \\d+\\]', '', 'g'))")})) / greatest(1, len(list_distinct({sql_tokens('question')}))), 6) AS score FROM qa""")) + """
 SELECT conv_id, turn, score, score >= 0.10 AS on_topic FROM s""")
@@ -413,23 +373,6 @@ def c12_topicality(t):
     return joined.select("conv_id", "turn", score.alias("score"), (score >= gates.TOPICALITY).alias("on_topic"))
 
 
-@query("c45_verify_loop", ctes(*_SCORED, ("ok", "SELECT conv_id, turn, pos FROM px GROUP BY 1, 2, 3 HAVING max(score) >= 0.5")) + """
-SELECT conv_id, turn, count(*) AS claims, count(ok.pos) AS kept, CASE WHEN count(ok.pos) = count(*) THEN 'ACCEPTED' WHEN count(ok.pos) >= 1 THEN 'ACCEPTED_AFTER_PRUNING' ELSE 'REFUSED' END AS outcome
-FROM cm LEFT JOIN ok USING (conv_id, turn, pos) GROUP BY 1, 2""")
-def c45_verify_loop(t):
-    """Verify, prune what is unsupported, and verify again: two bounded passes."""
-    claims = _claims(t).withColumn("plain", gates.bare_claim(F.col("claim"), F.col("kind")))
-    scored = claims.join(_evidence(t), "conv_id").groupBy("conv_id", "turn", "pos").agg(
-        F.max(F.round(overlap_score(F.col("plain"), F.col("page_content")), 6)).alias("score")
-    )
-    kept = scored.where(F.col("score") >= gates.THRESHOLD).select("conv_id", "turn", "pos", F.lit(1).alias("ok"))
-    verdicts = claims.join(kept, ["conv_id", "turn", "pos"], "left").groupBy("conv_id", "turn").agg(
-        F.count(F.lit(1)).alias("claims"), F.count("ok").alias("kept")
-    )
-    outcome = F.when(F.col("kept") == F.col("claims"), "ACCEPTED").when(F.col("kept") >= 1, "ACCEPTED_AFTER_PRUNING").otherwise("REFUSED")
-    return verdicts.withColumn("outcome", outcome)
-
-
 @query("c44_answer_precedence", """
 SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 THEN 'IDENTIFIER' WHEN turn % 5 = 1 THEN 'SINGLE_RECORD' WHEN length(text) % 3 = 0 THEN 'POPULATION' WHEN length(text) % 2 = 0 THEN 'STRUCTURED_FACTS' ELSE 'MODEL' END AS route
 FROM conversations WHERE role = 'assistant'""")
@@ -441,18 +384,6 @@ def c44_answer_precedence(t):
     return t.read("conversations").where("role = 'assistant'").select("conv_id", "turn", route.alias("route"))
 
 
-@query("c46_gate_after_pruning", ctes(_ANS, *_SENTENCES, ("n", "SELECT conv_id, turn, count(*) AS claims, count(*) FILTER (WHERE contains(s, '[SOURCE ')) AS cited FROM cl GROUP BY 1, 2")) + """
-SELECT conv_id, turn, CASE WHEN claims = cited THEN '' ELSE 'UNSUPPORTED_CLAIM' END AS first_pass, CASE WHEN cited = 0 THEN 'UNSUPPORTED_CLAIM' ELSE '' END AS second_pass FROM n""")
-def c46_gate_after_pruning(t):
-    claims = _claims(t).withColumn("cited", F.col("claim").rlike(C.MARKER).cast("int"))
-    counted = claims.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("claims"), F.sum("cited").alias("cited"))
-    failed = F.lit("UNSUPPORTED_CLAIM")
-    return counted.select(
-        "conv_id", "turn", F.when(F.col("claims") == F.col("cited"), "").otherwise(failed).alias("first_pass"),
-        F.when(F.col("cited") == 0, failed).otherwise("").alias("second_pass"),
-    )
-
-
 @query("c43_evidence_assembly", ctes(*FUSE_CTES, ("asm", "SELECT query_id, chunk_id, min(pr) AS pr FROM (SELECT query_id, chunk_id, 0 AS pr FROM cand WHERE ord <= 8 UNION ALL "
     "SELECT c.query_id, k.chunk_id, 1 FROM cand c JOIN chunks k ON c.parent_id = k.parent_id WHERE c.ord <= 2 AND k.doc_category IN ('registry-table', 'entity-contract') UNION ALL "
     "SELECT query_id, chunk_id, 2 FROM cand WHERE chunk_id % 9 = 0) GROUP BY 1, 2")) + """

@@ -107,26 +107,6 @@ def c10_claim_verification(t):
     return gates.verified(_claims(t), evidence, 4, overlap_score, ["conv_id", "turn", "pos"])
 
 
-_GATE = {
-    "permissions_ok": "conv_id % 11 <> 0",
-    "scope_ok": "conv_id % 7 <> 1",
-    "conflicts_ok": "conv_id % 5 <> 2",
-    "freshness_ok": "turn % 4 <> 3",
-    "coverage_ok": "length(text) % 3 <> 0",
-    "derivations_ok": "length(text) % 5 <> 0",
-    "claims_ok": "length(text) % 2 = 0",
-}
-
-
-@query("r9_output_gate", ctes(("gt", "SELECT conv_id, turn, " + ", ".join(f"{e} AS {c}" for c, e in _GATE.items()) + " FROM conversations WHERE role = 'assistant'")) + """
-SELECT conv_id, turn, CASE WHEN NOT permissions_ok THEN 'PERMISSIONS_NOT_SATISFIED' WHEN NOT scope_ok THEN 'SOURCE_SCOPE_VIOLATION'
-  WHEN NOT conflicts_ok THEN 'UNRESOLVED_SOURCE_CONFLICT' WHEN NOT freshness_ok THEN 'FRESHNESS_NOT_VERIFIABLE' WHEN NOT coverage_ok THEN 'REQUESTED_COVERAGE_INCOMPLETE'
-  WHEN NOT derivations_ok THEN 'INVALID_DERIVATION' WHEN NOT claims_ok THEN 'UNSUPPORTED_CLAIM' END AS failure_reason FROM gt""")
-def r9_output_gate(t):
-    checks = t.read("conversations").where("role = 'assistant'").selectExpr("conv_id", "turn", *[f"{e} AS {c}" for c, e in _GATE.items()])
-    return gates.output_gate(checks).select("conv_id", "turn", "failure_reason")
-
-
 @query("a37_case_evaluators", ctes(_ANS, ("x", """
 SELECT *, list_distinct(list_transform(regexp_extract_all(answer, '\\[SOURCE (\\d+)\\]', 1), lambda n: CAST(n AS BIGINT))) AS m FROM an""")) + """
 SELECT count(*) AS cases, sum(CAST(len(m) > 0 AND list_max(m) <= 4 AS INT)) AS citation_validity,
@@ -171,25 +151,6 @@ def w10_bounded_history(t):
     return gates.bounded_history(t.read("conversations"), 400).select("conv_id", "turn", "role", "kept")
 
 
-@query("r11_conversation_anchors", ctes(("up", "SELECT conv_id, turn, role, 'Code ' || upper(split_part(text, ' ', 1)) || ' and SEC-' || turn || ' ' || text AS said FROM conversations"), ("tk", """
-SELECT *, list_distinct(regexp_extract_all(regexp_replace(said, '[^A-Za-z0-9_\\-]', ' ', 'g'), '\\b[A-Z][A-Z0-9]+(?:[_-][A-Z0-9]+)*\\b')) AS toks FROM up"""), ("la", """
-SELECT conv_id, arg_max(toks, turn) AS answer FROM tk WHERE role = 'assistant' GROUP BY 1"""), ("lu", "SELECT conv_id, arg_max(toks, turn) AS asked FROM tk WHERE role = 'user' GROUP BY 1")) + """
-SELECT conv_id, len(list_filter(answer, lambda x: regexp_full_match(x, '[A-Z][A-Z0-9]*-\\d+'))) > 0 AS has_section FROM la JOIN lu USING (conv_id)""")
-def r11_conversation_anchors(t):
-    said = F.concat(F.lit("Code "), F.upper(F.split_part("text", F.lit(" "), F.lit(1))), F.lit(" and SEC-"), F.col("turn").cast("string"), F.lit(" "), "text")
-    turns = t.read("conversations").select("conv_id", "turn", "role", said.alias("said"))
-    last = turns.groupBy("conv_id").agg(
-        F.max_by(F.when(F.col("role") == "assistant", F.col("said")), F.when(F.col("role") == "assistant", F.col("turn"))).alias("answer"),
-        F.max_by(F.when(F.col("role") == "user", F.col("said")), F.when(F.col("role") == "user", F.col("turn"))).alias("question"),
-    ).where(F.col("answer").isNotNull() & F.col("question").isNotNull())
-    pattern = F.lit(r"\b[A-Z][A-Z0-9]{1,}(?:[_-][A-Z0-9]+)*\b")
-    given = F.array_distinct(F.regexp_extract_all("answer", pattern, 0))
-    asked = F.array_distinct(F.regexp_extract_all("question", pattern, 0))
-    sections = F.filter(given, lambda x: x.rlike(r"^[A-Z][A-Z0-9]*-\d+$"))
-    anchors = F.slice(F.array_distinct(F.concat(F.array_intersect(given, asked), sections)), 1, 6)
-    return last.select("conv_id", F.exists(anchors, lambda x: x.rlike(r"-\d+$")).alias("has_section"))
-
-
 _DELTA_END = """cur + CASE WHEN length(answer) - cur <= 32 THEN length(answer) - cur
   ELSE 32 + coalesce(nullif(length(regexp_extract(substr(answer, cur + 33), '^[^ \\n]*[ \\n]')), 0), 0) END"""
 
