@@ -4,8 +4,10 @@ Method
 ------
 1. Every text becomes its set of distinct four-word shingles (tokens, as 64-bit hashes); texts
    with equal sets (128-bit fingerprint) are one node.
-2. Tokens get one order for all sets: by how crowded their counter is in a table of ``SLOTS``
-   document counts summed over the whole corpus (in powers of two), then by hash. Two sets
+2. Tokens get one order for all sets: by how far their counter, in a table of ``SLOTS`` document
+   counts summed over the whole corpus, stands out from chance (in powers of two of ``CHANCE``
+   standard deviations), then by hash. So tokens of widely shared passages come last; what
+   goes unnoticed grows only with the root of the corpus. Two sets
    with the asked similarity overlap in at least ``need`` tokens of either, so the first
    n - need + LEAST tokens of both share at least ``LEAST``. Nodes that share so many of these
    with no other node are linked to nothing and go no further.
@@ -47,7 +49,7 @@ from evidquarry.llm.base import components, groups_of, joined_labels, stored, ta
 from evidquarry.llm.shingles import mixed, shingle_set
 
 WIDTH = 4
-SLOTS = 1 << 18
+SLOTS, CHANCE = 1 << 19, 4.0
 LEAST = 4
 GROUP, PART, PART_TOKENS, PIVOTS = 64, 256, 400_000, 16
 QUERIES_A_TASK = 512
@@ -87,6 +89,13 @@ def _slots(own: np.ndarray) -> np.ndarray:
     return (own >> np.uint64(64 - int(math.log2(SLOTS)))).astype(np.int64)
 
 
+def crowded(sums: np.ndarray) -> np.ndarray:
+    """0 for counters within chance of the mean, then one more for each doubling of the excess."""
+    mean = max(1.0, sums.mean())
+    excess = (sums - mean) / (CHANCE * math.sqrt(mean))
+    return np.where(excess >= 1, 1 + np.log2(np.maximum(excess, 1)), 0).astype(np.uint8)
+
+
 def leading(own: np.ndarray, crowding: np.ndarray, per_cent: int) -> np.ndarray:
     """The first n - need + LEAST tokens of a sorted set in the order of all sets."""
     count = len(own) - -(-per_cent * len(own) // 100) + least_shared(per_cent)
@@ -225,8 +234,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = docs.select(F.col(text_col).alias("text")).mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n"))
     for slot, n in counts.collect():  # SLOTS rows at most, whatever the corpus
         sums[slot] = n
-    crowding = np.log2(np.maximum(sums / max(1.0, sums.mean()), 1)).astype(np.uint8)
-    sent = spark.sparkContext.broadcast(crowding)
+    sent = spark.sparkContext.broadcast(crowded(sums))
     sketches = stored(
         numbered.select("id", "node", "text").mapInArrow(_sketched(sent, per_cent), "id long, node long, n long, fp_a long, fp_b long, lead array<long>"), "sketches")
     rep = F.min(F.struct("node", "lead")).alias("rep")
