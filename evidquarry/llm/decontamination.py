@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidquarry.llm.base import stored, table
+from evidquarry.llm.base import fresh_path, stored, table
 from evidquarry.llm.shingles import shingle_set
 
 BLOCK_SHINGLES = 4_000_000
@@ -88,34 +88,41 @@ class Probe:
         return out
 
 
-def _probes(items: DataFrame, item_id: str, item_text: str, least_per_cent: int) -> Iterator[Broadcast]:
-    """The items in blocks, each sent to the tasks; the driver holds one block at a time."""
-    spark = items.sparkSession
+def _blocks(items: DataFrame, item_id: str, item_text: str) -> tuple[DataFrame, int]:
+    """The shingle sets of the items, and into how many blocks they have to be dealt."""
     sets = stored(
         items.select(F.col(item_id).cast("long"), F.col(item_text))
         .mapInArrow(_item_sets, "item long, n long, hashes array<long>").where("n > 0"),
         "items",
     )
     total = sets.agg(F.sum("n")).first()[0] or 0
-    blocks = -(-total // BLOCK_SHINGLES)
-    for block in range(blocks):
-        rows = sets.where(F.pmod(F.xxhash64("item", "hashes"), F.lit(blocks)) == block).collect()
-        if rows:
-            yield spark.sparkContext.broadcast(Probe(
-                [r.item for r in rows], [np.array(r.hashes, np.int64).view(np.uint64) for r in rows], 100 - least_per_cent))
+    return sets, -(-total // BLOCK_SHINGLES)
+
+
+def _probe(sets: DataFrame, blocks: int, block: int, least_per_cent: int) -> Broadcast | None:
+    """One block of items, sent to the tasks."""
+    rows = sets.where(F.pmod(F.xxhash64("item", "hashes"), F.lit(blocks)) == block).collect()
+    if not rows:
+        return None
+    return sets.sparkSession.sparkContext.broadcast(Probe(
+        [r.item for r in rows], [np.array(r.hashes, np.int64).view(np.uint64) for r in rows], 100 - least_per_cent))
 
 
 def contained_items(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text",
     item_id: str = "item_id", item_text: str = "text", least_per_cent: int = 80,
 ) -> DataFrame:
-    """One row (doc, item, n_item, n_shared, containment) per item found in a document."""
+    """One row (doc, item, n_item, n_shared, containment) per item found in a document.
+
+    More than one block of items: each block's rows are written and its items let go before
+    the next one is fetched.
+    """
+    spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(doc_text).alias("text"))
     schema = "doc long, item long, n_item long, n_shared long"
-    result = docs.sparkSession.createDataFrame([], schema)
-    for probe in _probes(items, item_id, item_text, least_per_cent):
 
-        def scan(batches: Iterator[pa.RecordBatch], probe=probe) -> Iterator[pa.RecordBatch]:
+    def found(probe: Broadcast) -> DataFrame:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = probe.value
             for batch in batches:
                 out: list[tuple] = []
@@ -125,7 +132,20 @@ def contained_items(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["doc", "item", "n_item", "n_shared"])
 
-        result = result.union(texts.mapInArrow(scan, schema))
+        return texts.mapInArrow(scan, schema)
+
+    sets, blocks = _blocks(items, item_id, item_text)
+    probe = _probe(sets, blocks, 0, least_per_cent) if blocks == 1 else None
+    if probe:
+        result = found(probe)
+    else:
+        path = fresh_path(spark, "contained")
+        spark.createDataFrame([], schema).write.parquet(path)
+        for block in range(blocks):
+            if probe := _probe(sets, blocks, block, least_per_cent):
+                found(probe).write.mode("append").parquet(path)
+                probe.destroy()
+        result = spark.read.schema(schema).parquet(path)
     return result.select(
         F.col("doc").alias(doc_id), F.col("item").alias(item_id), "n_item", "n_shared",
         (F.col("n_shared") / F.col("n_item")).alias("containment"))
@@ -134,16 +154,28 @@ def contained_items(
 def without_items(
     docs: DataFrame, items: DataFrame, doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", least_per_cent: int = 80,
 ) -> DataFrame:
-    """The rows of *docs* that contain no item; a filter in the scan, whatever the ids."""
-    rows = docs
-    for probe in _probes(items, item_id, item_text, least_per_cent):
+    """The rows of *docs* that contain no item; a filter in the scan, whatever the ids.
 
-        def clean(batches: Iterator[pa.RecordBatch], probe=probe) -> Iterator[pa.RecordBatch]:
+    More than one block of items: what a block leaves is written before the next one is fetched.
+    """
+
+    def cleaned(rows: DataFrame, probe: Broadcast) -> DataFrame:
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index(doc_text))
                 yield batch.filter(pa.array([not probe.value.found(shingle_set(t.as_py()), least_per_cent) for t in texts], pa.bool_()))
 
-        rows = rows.mapInArrow(clean, docs.schema)
+        return rows.mapInArrow(clean, docs.schema)
+
+    sets, blocks = _blocks(items, item_id, item_text)
+    rows = docs
+    for block in range(blocks):
+        probe = _probe(sets, blocks, block, least_per_cent)
+        if probe and blocks == 1:
+            return cleaned(rows, probe)
+        if probe:
+            rows = stored(cleaned(rows, probe), "clean")
+            probe.destroy()
     return rows
 
 

@@ -9,6 +9,7 @@ import random
 import re
 import struct
 import unicodedata
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -249,9 +250,29 @@ def test_virtual_slots(spark):
         own = sorted(r.slot for r in got if r.shard == s)
         assert own == list(range(len(own)))
     assert {r.size for r in got if r.doc_id is None} == {8, 10}
+    plain = sorted(((i is None, i or 0), len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    assert sorted(((r.doc_id is None, r.doc_id or 0), r.size, r.text_crc32) for r in got) == plain
     assert sharding.sharded(docs.limit(0), 24).count() == 0
 
 
+def test_a_stored_map_is_edited_for_more_records_and_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "REPEATS", 20)
+    rows = [(i, "x" * (i % 97)) for i in range(3000)] + [(7, "long " * 40_000)] + [(8, "same row")] * 2000 + [(9, None)] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = str(tmp_path / "map")
+    first = sharding.sharded(docs, 6, map_path=path, next_shards=7).collect()
+    assert len(first) == len(rows) and {r.map_version for r in first} == {1} and sharding.latest_version(spark, path) == 2
+    moved = [r for r in first if r.next_shard != r.shard]
+    assert moved and len(moved) < len(rows) / 3 and {r.next_shard for r in first} == set(range(7))
+    sums = [sum(r.size for r in first if r.shard == s and r.size < 1000) for s in range(6)]
+    assert max(sums) < 200_000 and len({r.virtual_slot for r in first if r.doc_id == 8}) > 1000
+    again = sharding.sharded(docs, 7, map_path=path).collect()
+    assert {r.map_version for r in again} == {2} and {(r.doc_id, r.shard) for r in again if r.doc_id not in (8, 9)} == {(r.doc_id, r.next_shard) for r in first if r.doc_id not in (8, 9)}
+    for s in range(7):
+        own = sorted(r.slot for r in again if r.shard == s)
+        assert own == list(range(len(own)))
+
+
 def test_slot_maps_are_versioned_and_edited_sparingly(spark, tmp_path):
     loads = {s: 1000 + s % 7 for s in range(2000)}
     first = sharding.balanced_map(loads, 10, 2000)
