@@ -11,6 +11,7 @@ from evidquarry.plans.registry import ctes, query
 from evidquarry.plans.retrieval import (
     FUSE_CTES, LEX_CTES, DENSE_CTES, RERANK_CTES, candidates, dense_top, lexical_top, questions, reranked, sql_tokens,
 )
+from evidquarry.plans.routing import _INTENT_SQL, _INVENTORY_SQL, _TOPICS, topic_questions
 from evidquarry.plans.text import _ANS, _SENTENCES, answer_claims, answers, parts_md
 
 # ---- retrieval composites -------------------------------------------------------
@@ -327,15 +328,16 @@ def c28_missing_requirements(t):
     return t.read("part").select("p_partkey", F.array_join(missing, "|").alias("missing"))
 
 
-@query("r10_request_resolution", """
-SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'COMPARISON' WHEN 1 THEN 'STRUCTURED' WHEN 2 THEN 'LIST' ELSE 'NARRATIVE' END AS shape, o_orderkey % 4 = 3 AS latest FROM orders""")
+_LATEST = r"\b(?:latest|current|newest|most recent|actual|reciente)\b"
+_SHAPE_SQL = """CASE WHEN regexp_matches(q, '\\b(?:compare|comparison|versus|vs\\.?|differ|comparar|comparacion)\\b') THEN 'COMPARISON'
+  WHEN regexp_matches(q, '\\b(?:schema|fields?|parameters?|columns?|table|tabla)\\b') THEN 'STRUCTURED' WHEN regexp_matches(q, '\\b(?:list|enumerate|lista|listar)\\b') THEN 'LIST' ELSE 'NARRATIVE' END"""
+
+
+@query("r10_request_resolution", ctes("chunks", _TOPICS) + f"""
+SELECT chunk_id, {_SHAPE_SQL} AS shape, regexp_matches(q, '{_LATEST}') AS latest, {_INVENTORY_SQL} AS all_items FROM dq""")
 def r10_request_resolution(t):
-    k = F.col("o_orderkey") % 4
-    asked = F.when(k == 0, "compare both fields").when(k == 1, "which fields exist").when(k == 2, "enumerate it").otherwise("the latest notes")
-    return t.read("orders").select(
-        "o_orderkey", AN.request_shape(asked).alias("shape"),
-        RT.has(asked, r"\b(?:latest|current|newest|most recent|actual|reciente)\b").alias("latest"),
-    )
+    return topic_questions(t).select(
+        "chunk_id", AN.request_shape(F.col("q")).alias("shape"), RT.has(F.col("q"), _LATEST).alias("latest"), RT.is_inventory(F.col("q")).alias("all_items"))
 
 
 @query("r14_inventory_subject", "SELECT p_partkey, lower(p_name) || ' parts' AS subject FROM part")
@@ -416,16 +418,15 @@ def p7_prompt_frames(t):
     )
 
 
-@query("r13_retrieval_plan", """
-SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'STRUCTURED_INVENTORY' WHEN 1 THEN 'IMPLEMENTATION' WHEN 2 THEN 'DELIVERY' ELSE 'CODE_ASSISTED' END AS route,
-  CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 1 END AS variants FROM orders""")
+@query("r13_retrieval_plan", ctes("chunks", _TOPICS, ("it", f"SELECT *, {_INTENT_SQL} AS intent, {_INVENTORY_SQL} AS inv FROM dq")) + """
+SELECT chunk_id, CASE WHEN inv AND intent = 'CODE_ASSISTED' THEN 'STRUCTURED_INVENTORY' ELSE intent END AS route,
+  CASE WHEN regexp_matches(q, '(?i)\\b(?:review|inspect|verify|consult|look\\s+up|look|priority|priorities|prioritized?|prioridad|prioridades|prioritarios?)\\b') OR regexp_replace(trim(q), '\\s+', ' ', 'g') <> trim(q) THEN 2 ELSE 1 END AS variants FROM it""")
 def r13_retrieval_plan(t):
     """First matching route, and at most three distinct query variants."""
-    k = F.col("o_orderkey") % 4
-    asked = F.when(k == 0, "give me every payment event").when(k == 1, "look at the class files").when(k == 2, "open bugs of AB-1").otherwise("where does it print")
+    asked = F.col("q")
     intent = RT.source_intent(asked)
     route = F.when(RT.is_inventory(asked) & (intent == "CODE_ASSISTED"), "STRUCTURED_INVENTORY").otherwise(intent)
     variants = F.slice(
         F.array_distinct(F.filter(F.array(asked, RT.terminology_variant(asked)), lambda v: v != "")), 1, 3
     )
-    return t.read("orders").select("o_orderkey", route.alias("route"), F.size(variants).alias("variants"))
+    return topic_questions(t).select("chunk_id", route.alias("route"), F.size(variants).alias("variants"))
