@@ -100,14 +100,22 @@ def matched_issues(issues: DataFrame, filters: Mapping[str, Sequence[str]] | Non
     return last_per_identity(current)
 
 
-def count_issues(issues: DataFrame, filters=None, complete: bool = True) -> DataFrame:
-    """COUNT with its snapshot time; an incomplete snapshot is never given as exact."""
-    snapshot = current_state(issues).agg(F.max("issue_updated").alias("v"))
-    return matched_issues(issues, filters).agg(F.count(F.lit(1)).alias("total")).select(
-        "total",
-        F.nullif(snapshot.scalar(), F.lit("")).alias("snapshot_at"),
-        F.lit(complete).alias("complete"),
-    )
+SNAPSHOT_ROWS = 1_000_000  # a larger snapshot is not given as complete
+
+
+def snapshot_state(issues: DataFrame, cap: int = SNAPSHOT_ROWS) -> DataFrame:
+    """One row: snapshot_at, complete, and why not. A snapshot of more than *cap* rows is truncated."""
+    fits = F.count(F.lit(1)) <= cap
+    return current_state(issues).agg(
+        F.nullif(F.max("issue_updated"), F.lit("")).alias("snapshot_at"), fits.alias("complete"),
+        F.when(fits, "").otherwise("SNAPSHOT_TRUNCATED").alias("degradation"))
+
+
+def count_issues(issues: DataFrame, filters=None, cap: int = SNAPSHOT_ROWS) -> DataFrame:
+    """COUNT with its snapshot; of a truncated snapshot there is no total."""
+    found = matched_issues(issues, filters).agg(F.count(F.lit(1)).alias("total"))
+    state = snapshot_state(issues, cap).withColumn("total", found.scalar())
+    return state.select(F.when(F.col("complete"), F.col("total")).alias("total"), "snapshot_at", "complete", "degradation")
 
 
 def natural_order(key: Column) -> list[Column]:
@@ -285,13 +293,30 @@ def render_changelog(text: Column) -> Column:
     ).otherwise(text)
 
 
+def section_identity(chunks: DataFrame) -> Column:
+    """What tells one section from another: the first of these that the chunk has."""
+    chain = ("event_id", "attachment_id", "locator", "source_id", "chunk_id")
+    return F.coalesce(first_present(*[F.col(c).cast("string") for c in chain if c in chunks.columns]), F.lit(""))
+
+
+def section_page(chunks: DataFrame, offset: int = 0, limit: int = 20) -> DataFrame:
+    """One page of sections by issue, date and event, with the total of all pages."""
+    found = sections(chunks)
+    total = found.agg(F.count(F.lit(1)).alias("n")).scalar()
+    order = ["key", "sort_date", "event_id", "kind"]
+    return found.orderBy(*order).offset(offset).limit(limit).withColumn("total", total)
+
+
 def sections(chunks: DataFrame) -> DataFrame:
     """Split section chunks regrouped into one record per event.
 
-    Equal bodies collapse in a first aggregation and only the leading parts that
-    can reach the 4000-character body survive a per-group rank limit, so a group
-    holding a large share of all chunks is never gathered whole.
+    Equal bodies collapse in a first aggregation. Of other kinds than change lists only the
+    leading parts that can reach the 4000-character body below its header line survive a
+    per-group rank limit (a part has a character and a line end at least, the header ends
+    with the first part), so a group holding a large share of all chunks is never gathered
+    whole. A change list is one JSON value and is gathered as such.
     """
+    chunks = chunks.withColumn("event_id", section_identity(chunks))
     keys = ["cloud_id", "issue_key", "section_kind", "event_id"]
     blanks = F.lit(" \t\n\x0b\f\r")
     heads = chunks.groupBy(*keys).agg(
@@ -305,11 +330,12 @@ def sections(chunks: DataFrame) -> DataFrame:
         .groupBy(*keys, "body")
         .agg(F.min("at").alias("at"))
     )
-    leading = distinct_parts.withColumn(
+    changes = F.col("section_kind") == "CHANGELOG"
+    leading = distinct_parts.where(~changes).withColumn(
         "rn", F.row_number().over(Window.partitionBy(*keys).orderBy("at", "body"))
-    ).where(F.col("rn") <= SECTION_PARTS)
-    bodies = leading.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("rn", "body"))).alias("parts")
+    ).where(F.col("rn") <= SECTION_PARTS).drop("rn")
+    bodies = leading.unionByName(distinct_parts.where(changes)).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("at", "body"))).alias("parts")
     )
     text = F.array_join(F.transform("parts", lambda p: p["body"]), "\n")
     joined = heads.join(bodies, keys, "left").withColumn("text", F.coalesce(text, F.lit("")))

@@ -31,7 +31,7 @@ _CATEGORY = (
 
 @query("a1_count", ctes("issues", _dedup(
     f"list_contains({_LABELS}, 'POS') AND priority IN ('1-URGENT', '2-HIGH') AND {_CATEGORY} IN ('new', 'done')"
-)) + "SELECT count(*) AS total, (SELECT max(issue_updated) FROM issues) AS snapshot_at, true AS complete FROM uniq")
+)) + "SELECT count(*) AS total, (SELECT max(issue_updated) FROM issues) AS snapshot_at, (SELECT count(*) FROM issues) <= 1000000 AS complete, '' AS degradation FROM uniq")
 def a1_count(t):
     return S.count_issues(
         t.issues(),
@@ -114,6 +114,13 @@ def a6_section(t):
     return S.sections(t.sections())
 
 
+@query("a6_section_page", ctes(*_SECTION_CTES, ("ordered", "SELECT *, row_number() OVER (ORDER BY issue_key, sort_date, event_id, section_kind) AS k, count(*) OVER () AS total FROM stripped")) + f"""
+SELECT issue_key AS key, section_kind AS kind, event_id, event_date, sort_date, chunks, substr({_CHANGE}, 1, 4000) AS text, total FROM ordered WHERE k > 40 AND k <= 60""")
+def a6_section_page(t):
+    """The third page of all sections, by issue, date and event."""
+    return S.section_page(t.sections(), offset=40, limit=20)
+
+
 @query("a6_section_count", ctes("sections") + """
 SELECT section_kind AS kind, count(DISTINCT (cloud_id, issue_key, event_id)) AS total,
   max(event_date) AS latest FROM sections GROUP BY 1""")

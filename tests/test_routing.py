@@ -55,3 +55,32 @@ def test_failures_and_quality_by_rules(spark):
                    "PROVIDER_TIMEOUT", "PROVIDER_CONNECTION_FAILED", "UNKNOWN_RETRIEVAL_FAILURE"]
     asked = spark.createDataFrame([("why",), ("please explain",), ("explain printing",), ("how does the printing flow start",)], "q string").coalesce(1)
     assert [r[0] for r in asked.select(RT.query_quality(F.col("q"))).collect()] == ["WEAK:TOO_SHORT", "WEAK:NO_TOPIC", "AMBIGUOUS:SINGLE_TOPIC", "GOOD:SUFFICIENT_TOPIC"]
+
+
+def test_sections_fall_back_on_other_identities_and_keep_long_change_lists(spark):
+    from evidquarry.operators import structured as S
+
+    schema = "cloud_id string, issue_key string, section_kind string, event_id string, attachment_id string, locator string, source_id string, event_date string, chunk_ordinal int, page_content string, ord long"
+    rows = [("c", "A-1", "COMMENT", "", None, "L1", "s", "2024", 0, "First half", 1), ("c", "A-1", "COMMENT", None, "", "L1", "s", "2024", 1, "Second half", 2),
+            ("c", "A-1", "ATTACHMENT", None, "f1", "L1", "s", "2023", 0, "a", 3), ("c", "A-1", "ATTACHMENT", None, "f2", "L1", "s", "2023", 0, "b", 4), ("c", "A-1", "COMMENT", None, None, None, "s2", "2025", 0, "c", 5)]
+    pieces = ["["] + [f'{{"field":"f{i}","fromString":"","toString":"{i}"}}' + ("," if i < 2999 else "") for i in range(3000)] + ["]"]
+    rows += [("c", "A-2", "CHANGELOG", "e", None, None, "s", "2024", i, piece, 100 + i) for i, piece in enumerate(pieces)]
+    rows += [("c", "A-3", "COMMENT", "e", None, None, "s", "2024", i, f"COMMENT {'h' * 9000}" if i == 0 else f"{i}", 5000 + i) for i in range(2500)]
+    chunks = spark.createDataFrame(rows, schema)
+    got = {(r.key, r.event_id): r.text for r in S.sections(chunks).collect()}
+    assert got[("A-1", "L1")] == "First half\nSecond half" and set(got) == {("A-1", "L1"), ("A-1", "f1"), ("A-1", "f2"), ("A-1", "s2"), ("A-2", "e"), ("A-3", "e")}
+    assert got[("A-2", "e")].startswith("f0: not set → 0\nf1: not set → 1\n") and len(got[("A-2", "e")]) == 4000
+    assert got[("A-3", "e")] == "\n".join(str(i) for i in range(1, 2500))[:4000]
+    page = S.section_page(chunks, 1, 2).collect()
+    assert [(r.key, r.event_id, r.total) for r in page] == [("A-1", "f2", 6), ("A-1", "L1", 6)]
+
+
+def test_a_truncated_snapshot_gives_no_total(spark):
+    from evidquarry.operators import structured as S
+    from evidquarry.sources.tables import Tables
+
+    issues = Tables(spark, "/root/testdata/sf0.001").issues()
+    exact = S.count_issues(issues).first()
+    assert exact.complete and exact.total > 0 and exact.degradation == ""
+    cut = S.count_issues(issues, cap=10).first()
+    assert (cut.complete, cut.total, cut.degradation) == (False, None, "SNAPSHOT_TRUNCATED")
