@@ -12,7 +12,8 @@ from evidquarry.plans.retrieval import (
     FUSE_CTES, LEX_CTES, DENSE_CTES, RERANK_CTES, candidates, dense_top, lexical_top, questions, reranked, sql_tokens,
 )
 from evidquarry.plans.routing import _INTENT_SQL, _INVENTORY_SQL, _TOPICS, topic_questions
-from evidquarry.plans.text import _ANS, _SENTENCES, answer_claims, answers, parts_md
+from evidquarry.plans.text import _ANS, _LINES, _PARTS, _SENTENCES, answer_claims, answers, parts_md
+from evidquarry.session import shared_path
 
 # ---- retrieval composites -------------------------------------------------------
 
@@ -44,14 +45,15 @@ def c6_overview_rerank(t):
     )
 
 
-@query("f11_anchor_retention", ctes(*FUSE_CTES) + """
-SELECT query_id, count(*) FILTER (WHERE contains(replace(lower(page_content || ' ' || title), 'ß', 'ss'), source_id || '.' OR contains(lower(title), 'the')) AS kept,
-  count(*) AS n FROM cand GROUP BY 1""".replace("source_id || '.' OR contains(lower(title), 'the'))", "'the ')) "))
+@query("f11_anchor_retention", ctes(*FUSE_CTES, ("an", """
+SELECT cand.*, contains(replace(lower(page_content || ' ' || title), 'ß', 'ss'), replace(lower(split_part(question, ' ', 1)), 'ß', 'ss')) AS holds FROM cand JOIN q USING (query_id)""")) + """
+SELECT query_id, chunk_id, holds, row_number() OVER (PARTITION BY query_id ORDER BY holds DESC, ord) AS rn FROM an""")
 def f11_anchor_retention(t):
-    explicit = F.array(F.lit("THE "), F.lit("nothing-like-this"))
+    """Candidates that hold the question's opening word stay in front; the others are demoted, not dropped."""
+    anchor = questions(t).select("query_id", X.casefold(F.split_part("question", F.lit(" "), F.lit(1))).alias("anchor"))
     text = X.casefold(F.concat_ws(" ", "page_content", "title"))
-    holds = F.exists(explicit, lambda v: text.contains(X.casefold(v)))
-    return candidates(t).groupBy("query_id").agg(F.count(F.when(holds, 1)).alias("kept"), F.count(F.lit(1)).alias("n"))
+    held = candidates(t).join(anchor, "query_id").withColumn("holds", text.contains(F.col("anchor")))
+    return R.rank_by(held, "rn", F.desc("holds"), F.asc("ord")).select("query_id", "chunk_id", "holds", "rn")
 
 
 @query("f15_title_affinity", ctes(*FUSE_CTES, ("w", f"""
@@ -92,18 +94,17 @@ def l5_executable_first(t):
     return R.rank_by(candidates(t), "rn", late.asc(), (-matches).asc(), F.asc("ord")).select("query_id", "chunk_id", "rn")
 
 
-@query("l6_structure_order", ctes(("pm", "SELECT p_partkey, p_brand, CASE WHEN p_partkey % 5 = 0 THEN -1 WHEN p_partkey % 5 = 1 THEN 2 WHEN p_partkey % 5 = 2 THEN 0 WHEN p_partkey % 5 = 3 THEN 1 ELSE 0 END AS s FROM part")) + """
-SELECT p_partkey, s AS score FROM pm""")
+@query("l6_structure_order", ctes(_PARTS, *_LINES, ("rw", "SELECT p_partkey, lower(string_agg(line, ' ' ORDER BY i) FILTER (WHERE kind = 'TABLE_ROW')) AS body FROM kd GROUP BY 1"), ("sc", """
+SELECT p_partkey, p_size, CASE WHEN contains(body, lower(p_type)) THEN 2 ELSE 0 END AS score, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS k FROM part JOIN rw USING (p_partkey)""")) + """
+SELECT p_size, p_partkey, score, row_number() OVER (PARTITION BY p_size ORDER BY score DESC, p_partkey) AS rn FROM sc WHERE k <= 12""")
 def l6_structure_order(t):
-    kind = F.col("p_partkey") % 5
-    body = (
-        F.when(kind == 0, "| a | b |\n|---|---|").when(kind == 1, F.concat(F.lit("| a | b |\n|---|---|\n| "), "p_brand", F.lit(" | x |")))
-        .when(kind == 2, "| a | b |\n|---|---|\n| other | x |")
-        .when(kind == 3, "# Head\none two three four five six seven eight nine").otherwise("short text")
-    )
-    rows = t.read("part").select("p_partkey", "p_brand", MD.classified_lines(body).alias("lines"))
-    score = AN.structure_score(F.col("lines"), F.col("p_brand"), F.lit(False))
-    return rows.select("p_partkey", score.alias("score"))
+    """Parts of one size (the first twelve) by how completely their tables carry the part's type, stable."""
+    nth = F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey"))
+    listed = t.read("part").select("p_partkey", "p_size", "p_type").withColumn("k", nth).where("k <= 12")
+    rows = listed.join(parts_md(t), "p_partkey").withColumn("lines", MD.classified_lines(F.col("md")))
+    scored = rows.withColumn("score", AN.structure_score(F.col("lines"), F.col("p_type"), F.lit(False)))
+    place = F.row_number().over(Window.partitionBy("p_size").orderBy(F.desc("score"), "p_partkey"))
+    return scored.select("p_size", "p_partkey", "score", place.alias("rn"))
 
 
 @query("l8_subject_ranking", ctes(*FUSE_CTES, ("lb", "SELECT unnest(['the', 'que', 'and']) AS label"), ("hit", """
@@ -155,10 +156,13 @@ def x10_swap_distance(t):
     return pairs.select("a", "b", AN.swap_distance(F.col("a"), F.col("b")).alias("distance"))
 
 
-@query("x14_safe_variants", "SELECT o_orderkey, o_orderkey % 2 = 0 AS safe FROM orders")
+@query("x14_safe_variants", ctes("chunks", _TOPICS) + """
+SELECT chunk_id, chunk_id % 2 = 0 OR entity_key = '' AS safe FROM dq JOIN chunks USING (chunk_id)""")
 def x14_safe_variants(t):
-    candidate = F.when(F.col("o_orderkey") % 2 == 0, "status of AB-12 now").otherwise("status of AB-13 now")
-    return t.read("orders").select("o_orderkey", AN.safe_variant(F.lit("what is the status of AB-12"), candidate).alias("safe"))
+    """Questions about documents with a plain word, or with the document's own key, added."""
+    added = F.when(F.col("chunk_id") % 2 == 0, "now").otherwise(F.col("entity_key"))
+    rows = topic_questions(t).join(t.chunks().select("chunk_id", "entity_key"), "chunk_id")
+    return rows.select("chunk_id", AN.safe_variant(F.col("q"), F.concat_ws(" ", "q", added)).alias("safe"))
 
 
 @query("x21_identifier_components", """
@@ -175,10 +179,16 @@ def x22_feature_names(t):
     return t.read("part").select("p_partkey", AN.feature_name(title, F.col("p_brand")).alias("feature"))
 
 
-@query("c14_identifier_in_answer", "SELECT p_partkey, p_partkey % 2 = 0 AS present FROM part")
+@query("c14_identifier_in_answer", """
+SELECT a.conv_id, a.turn, trim(w) <> '' AND regexp_matches(a.text, '(?i)(^|[^\\p{L}\\p{M}\\p{N}_])' || regexp_escape(trim(w)) || '($|[^\\p{L}\\p{M}\\p{N}_])') AS present
+FROM conversations a JOIN (SELECT conv_id, turn + 1 AS turn, split_part(text, ' ', 1) AS w FROM conversations WHERE role = 'user' AND text IS NOT NULL) q USING (conv_id, turn)
+WHERE a.role = 'assistant' AND a.text IS NOT NULL""")
 def c14_identifier_in_answer(t):
-    answer = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Uses ("), F.lower("p_brand"), F.lit(").")) ).otherwise(F.concat(F.lit("Uses x"), "p_brand", F.lit(".")))
-    return t.read("part").select("p_partkey", AN.contains_identifier(answer, F.col("p_brand")).alias("present"))
+    """Is the word a question opens with in its answer, as a whole word?"""
+    turns = t.read("conversations").where("text IS NOT NULL")
+    asked = turns.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.split_part("text", F.lit(" "), F.lit(1)).alias("w"))
+    said = turns.where("role = 'assistant'").join(asked, ["conv_id", "turn"])
+    return said.select("conv_id", "turn", AN.contains_identifier(F.col("text"), F.col("w")).alias("present"))
 
 
 @query("c15_population_labels", """
@@ -392,7 +402,9 @@ def c44_answer_precedence(t):
 SELECT query_id, pr AS precedence, count(*) AS n FROM asm GROUP BY 1, 2""")
 def c43_evidence_assembly(t):
     """Ranked evidence, then registry siblings of the best parents, then exact anchors."""
-    pool = candidates(t)
+    path = shared_path(t.spark, "pool")  # used three times, made once
+    candidates(t).select("query_id", "chunk_id", "parent_id", "ord").write.parquet(path)
+    pool = t.spark.read.parquet(path)
     ranked = pool.where(F.col("ord") <= 8).select("query_id", "chunk_id", F.lit(0).alias("p"))
     parents = pool.where(F.col("ord") <= 2).select("query_id", "parent_id").distinct()
     registry = t.chunks().where(F.col("doc_category").isin("registry-table", "entity-contract")).select("parent_id", "chunk_id")

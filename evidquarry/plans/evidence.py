@@ -290,12 +290,14 @@ def f14_overview_metric_lines(t):
     return parts.select("p_partkey", F.coalesce(F.nullif(kept, F.lit("")), F.col("md")).alias("overview"))
 
 
-@query("f13_low_information", ctes("chunks") + """
-SELECT doc_category, count(*) AS n FROM chunks WHERE NOT (trim(page_content) = '' OR chunk_id % 21 = 0 OR authority <= 0) GROUP BY 1""")
+@query("f13_low_information", ctes("chunks", ("w", f"SELECT doc_category, authority, {sql_tokens('page_content')} AS ws FROM chunks")) + """
+SELECT doc_category, count(*) AS n, count(*) FILTER (WHERE len(ws) < 20 OR len(list_distinct(ws)) < 0.5 * len(ws) OR authority <= 0) AS dropped FROM w GROUP BY 1""")
 def f13_low_information(t):
-    content = X.collapse_spaces(F.col("page_content"))
-    low = (content == "") | (F.col("chunk_id") % 21 == 0) | (F.col("authority") <= 0)
-    return t.chunks().where(~low).groupBy("doc_category").agg(F.count(F.lit(1)).alias("n"))
+    """Chunks of few or repeating words, or without authority, carry too little to be kept."""
+    words = X.tokens(F.col("page_content"))
+    rows = t.chunks().select("doc_category", "authority", words.alias("ws"))
+    low = (F.size("ws") < 20) | (F.size(F.array_distinct("ws")) < 0.5 * F.size("ws")) | (F.col("authority") <= 0)
+    return rows.groupBy("doc_category").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(low, 1)).alias("dropped"))
 
 
 @query("f16_entity_scope", ctes(*FUSE_CTES, ("w", "SELECT *, 'app' || query_id % 3 AS wanted FROM cand")) + """
