@@ -385,17 +385,6 @@ def c12_topicality(t):
     return joined.select("conv_id", "turn", score.alias("score"), (score >= gates.TOPICALITY).alias("on_topic"))
 
 
-@query("c44_answer_precedence", """
-SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 THEN 'IDENTIFIER' WHEN turn % 5 = 1 THEN 'SINGLE_RECORD' WHEN length(text) % 3 = 0 THEN 'POPULATION' WHEN length(text) % 2 = 0 THEN 'STRUCTURED_FACTS' ELSE 'MODEL' END AS route
-FROM conversations WHERE role = 'assistant'""")
-def c44_answer_precedence(t):
-    route = F.coalesce(
-        F.when(F.col("conv_id") % 7 == 0, "IDENTIFIER"), F.when(F.col("turn") % 5 == 1, "SINGLE_RECORD"),
-        F.when(F.length("text") % 3 == 0, "POPULATION"), F.when(F.length("text") % 2 == 0, "STRUCTURED_FACTS"), F.lit("MODEL"),
-    )
-    return t.read("conversations").where("role = 'assistant'").select("conv_id", "turn", route.alias("route"))
-
-
 @query("c43_evidence_assembly", ctes(*FUSE_CTES, ("asm", "SELECT query_id, chunk_id, min(pr) AS pr FROM (SELECT query_id, chunk_id, 0 AS pr FROM cand WHERE ord <= 8 UNION ALL "
     "SELECT c.query_id, k.chunk_id, 1 FROM cand c JOIN chunks k ON c.parent_id = k.parent_id WHERE c.ord <= 2 AND k.doc_category IN ('registry-table', 'entity-contract') UNION ALL "
     "SELECT query_id, chunk_id, 2 FROM cand WHERE chunk_id % 9 = 0) GROUP BY 1, 2")) + """

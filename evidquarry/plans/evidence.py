@@ -61,17 +61,6 @@ def p5_structured_fact_rows(t):
     return gates.structured_fact_rows(facts(t))
 
 
-@query("c13_claims_to_facts", ctes(_ANS, *_SENTENCES, ("mk", """
-SELECT conv_id, turn, i, j, s, unnest(list_distinct(list_transform(regexp_extract_all(s, '\\[SOURCE (\\d+)\\]', 1), lambda n: CAST(n AS BIGINT)))) AS source FROM cl""")) + """
-SELECT conv_id, turn, source, count(*) AS claims, source BETWEEN 1 AND 4 AS resolvable FROM mk GROUP BY ALL""")
-def c13_claims_to_facts(t):
-    claims = _claims(t)
-    marks = claims.select("conv_id", "turn", F.explode(C.mentioned(F.col("claim"))).alias("source"))
-    return marks.groupBy("conv_id", "turn", "source").agg(F.count(F.lit(1)).alias("claims")).withColumn(
-        "resolvable", F.col("source").between(1, 4)
-    )
-
-
 def _claims(t):
     lines = answers(t).select("conv_id", "turn", MD.classified_lines(F.col("answer")).alias("lines"))
     return lines.select("conv_id", "turn", F.posexplode(MD.material_claims(F.col("lines"))).alias("pos", "c")).select(
