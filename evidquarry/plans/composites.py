@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from evidquarry.functions import answers as AN, anchors, citations as C, markdown as MD, text as X
-from evidquarry.operators import fusion, gates, ranking as R, routing as RT
+from evidquarry.operators import fusion, gates, ranking as R, repair, routing as RT
 from evidquarry.plans.evidence import FACT_CTES, _claims, facts, overlap_score
 from evidquarry.plans.registry import ctes, query
 from evidquarry.plans.retrieval import (
@@ -264,18 +264,22 @@ def c20_table_claim_shape(t):
     return rows.select("p_partkey", MD.pruned(F.col("lines"), F.transform(bad, lambda c: MD.claim_key(c["text"]))).alias("shaped"))
 
 
-@query("c21_comparison_subjects", """
-SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'ALPHA_ONE|BETA_TWO' WHEN 1 THEN 'PAGE|CODE' ELSE '' END AS subjects FROM orders""")
+@query("c21_comparison_subjects", ctes("chunks", ("nm", """
+SELECT parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY chunk_id) AS k, upper(array_to_string(regexp_extract_all(replace(strip_accents(lower(title)), 'ß', 'ss'), '[a-z0-9]+'), '_')) AS name FROM chunks"""), ("pr", """
+SELECT parent_id, max(name) FILTER (WHERE k = 1) AS a, max(name) FILTER (WHERE k = 2) AS b FROM nm GROUP BY 1""")) + """
+SELECT parent_id, CASE WHEN regexp_full_match(a, '[A-Z][A-Z0-9]*_[A-Z0-9_]+') AND regexp_full_match(b, '[A-Z][A-Z0-9]*_[A-Z0-9_]+') AND a <> b THEN a || '|' || b ELSE '' END AS subjects FROM pr""")
 def c21_comparison_subjects(t):
-    asked = F.when(F.col("o_orderkey") % 3 == 0, "compare ALPHA_ONE with BETA_TWO").when(
-        F.col("o_orderkey") % 3 == 1, "does the documentation match the code"
-    ).otherwise("tell me about the code")
-    members = X.member_identifiers(asked)
-    families = RT.all_matches(asked, (
+    """What a comparison of a parent's first two titles is about: identifiers, else source families."""
+    names = t.chunks().select("parent_id", "chunk_id", F.upper(F.array_join(X.normalized_words(F.col("title")), "_")).alias("name"))
+    nth = F.row_number().over(Window.partitionBy("parent_id").orderBy("chunk_id"))
+    pairs = names.withColumn("k", nth).where("k <= 2").groupBy("parent_id").agg(
+        F.concat(F.lit("compare "), F.max(F.when(F.col("k") == 1, F.col("name"))), F.lit(" with "), F.coalesce(F.max(F.when(F.col("k") == 2, F.col("name"))), F.lit(""))).alias("asked"))
+    members = X.member_identifiers(F.col("asked"))
+    families = RT.all_matches(F.col("asked"), (
         ("PAGE", r"\b(?:page|pages|documentation|docs)\b"), ("CODE", r"\b(?:code|implementation|repository)\b"), ("ISSUE", r"\b(?:issue|issues|ticket|tickets)\b"),
     ))
     chosen = F.when(F.size(members) >= 2, members).when(F.size(families) >= 2, families).otherwise(F.array().cast("array<string>"))
-    return t.read("orders").select("o_orderkey", F.array_join(chosen, "|").alias("subjects"))
+    return pairs.select("parent_id", F.array_join(chosen, "|").alias("subjects"))
 
 
 @query("c22_answer_substance", """
@@ -325,17 +329,26 @@ def c26_delivery_answer(t):
     return joined.join(refused, "request", "left_anti").select("request", line.alias("line"))
 
 
-@query("c28_missing_requirements", """
-SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'count:lines' ELSE 'count:files|count:lines' END AS missing FROM part""")
+_REQUIRED = (
+    ("rq", f"""SELECT conv_id, turn + 1 AS turn, list_transform(list_sort(list_transform(list_filter(list_distinct({sql_tokens('text')}), lambda w: length(w) >= 4), lambda w: {{'n': -length(w), 'w': w}}))[1:4], lambda e: e.w) AS need
+     FROM conversations WHERE role = 'user' AND text IS NOT NULL"""),
+    ("an", "SELECT conv_id, turn, lower(text) AS said FROM conversations WHERE role = 'assistant' AND text IS NOT NULL"),
+)
+
+
+def _required(t):
+    """Answers with what they have to say: the longest terms of the question before them."""
+    turns = t.read("conversations").where("text IS NOT NULL")
+    needs = turns.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), repair.term_requirements(F.col("text")).alias("need"))
+    return turns.where("role = 'assistant'").join(needs, ["conv_id", "turn"])
+
+
+@query("c28_missing_requirements", ctes(*_REQUIRED) + """
+SELECT conv_id, turn, array_to_string(list_filter(need, lambda w: NOT contains(said, w)), ' ') AS missing FROM an JOIN rq USING (conv_id, turn)""")
 def c28_missing_requirements(t):
-    answer = F.when(F.col("p_partkey") % 3 == 0, "It has 12 source files and 1,200 nonblank lines.").when(
-        F.col("p_partkey") % 3 == 1, "It has 12 files."
-    ).otherwise("It is large.")
-    checks = (
-        ("count:files", r"\b\d[\d,.]*\s+(?:kotlin\s+)?(?:source\s+)?files?\b"), ("count:lines", r"\b\d[\d,.]*\s+(?:nonblank\s+)?(?:kotlin\s+)?lines?\b"),
-    )
-    missing = F.array_compact(F.array(*[F.when(~RT.has(answer, p), n) for n, p in checks]))
-    return t.read("part").select("p_partkey", F.array_join(missing, "|").alias("missing"))
+    """Required terms that an answer lacks, which is also the query that would repair it."""
+    said = F.lower("text")
+    return _required(t).select("conv_id", "turn", F.array_join(F.filter("need", lambda w: ~said.contains(w)), " ").alias("missing"))
 
 
 _LATEST = r"\b(?:latest|current|newest|most recent|actual|reciente)\b"

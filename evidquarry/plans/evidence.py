@@ -237,17 +237,20 @@ def c23_route_quote(t):
     )
 
 
-@query("c42_expected_terms", """
-SELECT o_orderkey, o_orderkey % 3 <> 0 AS present FROM orders""")
+@query("c42_expected_terms", f"""
+WITH q AS (SELECT conv_id, turn + 1 AS turn, list_distinct({sql_tokens('text')}) AS ts FROM conversations WHERE role = 'user' AND text IS NOT NULL),
+a AS (SELECT conv_id, turn, lower(text) AS said FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)
+SELECT conv_id, turn, len(ts) AS expected, len(list_filter(ts, lambda w: contains(said, w))) AS present FROM a JOIN q USING (conv_id, turn)""")
 def c42_expected_terms(t):
+    """How many of a question's terms its answer shows, numbers in any writing."""
     from evidquarry.functions.anchors import NUMBER, canonical_number
 
-    term = F.concat(F.lit("7"), (F.col("o_orderkey") % 90 + 10).cast("string"), F.lit("5"))
-    shown = F.concat(F.lit("7,"), (F.col("o_orderkey") % 90 + 10).cast("string"), F.lit("5"))
-    answer = F.concat(F.lit("It counts "), F.when(F.col("o_orderkey") % 3 == 0, "none").when(F.col("o_orderkey") % 3 == 1, shown).otherwise(term), F.lit(" units."))
-    numbers = F.transform(F.regexp_extract_all(answer, F.lit(NUMBER), 0), canonical_number)
-    present = F.lower(answer).contains(F.lower(term)) | F.array_contains(numbers, canonical_number(term))
-    return t.read("orders").select("o_orderkey", present.alias("present"))
+    turns = t.read("conversations").where("text IS NOT NULL")
+    asked = turns.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.array_distinct(X.tokens(F.col("text"))).alias("terms"))
+    said = turns.where("role = 'assistant'").join(asked, ["conv_id", "turn"]).withColumn("shown", F.lower("text")).withColumn(
+        "numbers", F.transform(F.regexp_extract_all("text", F.lit(NUMBER), 0), canonical_number))
+    found = F.filter("terms", lambda w: F.col("shown").contains(w) | F.array_contains("numbers", canonical_number(w)))
+    return said.select("conv_id", "turn", F.size("terms").alias("expected"), F.size(found).alias("present"))
 
 
 # Lines of an overview that only report measurements.
