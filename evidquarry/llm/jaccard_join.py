@@ -231,9 +231,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = least_shared(per_cent)
 
     sums = np.zeros(SLOTS, np.int64)
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n"))
-    for slot, n in counts.collect():  # SLOTS rows at most, whatever the corpus
-        sums[slot] = n
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    sums[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()  # SLOTS rows at most, whatever the corpus
     sent = spark.sparkContext.broadcast(crowded(sums))
     sketches = stored(
         numbered.select("id", "node", "text").mapInArrow(_sketched(sent, per_cent), "id long, node long, n long, fp_a long, fp_b long, lead array<long>"), "sketches")
