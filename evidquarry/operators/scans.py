@@ -106,12 +106,12 @@ def bounded_scan(chunks: DataFrame, cap: int, families: Sequence[str] = ()) -> D
     return taken.withColumn("truncated", size.scalar() >= cap)
 
 
-def with_body_flags(chunks: DataFrame) -> DataFrame:
-    """What a body says about itself, as two flags, so that the body need not travel."""
-    return chunks.withColumns({"has_class": F.col("page_content").contains("data class "), "has_wire_name": F.lower("page_content").contains("wire name")})
+def body_flags() -> tuple[Column, Column]:
+    """What a body says about itself: a data class, a wire name."""
+    return F.col("page_content").contains("data class "), F.lower("page_content").contains("wire name")
 
 
-def structural_score(identifier: Column, times: Column) -> Column:
+def structural_score(identifier: Column, times: Column, has_class: Column, has_wire_name: Column) -> Column:
     """Occurrences in the body (*times*) plus fixed bonuses for structural evidence."""
     in_path = F.rlike(
         F.upper("structure_path"),
@@ -120,15 +120,15 @@ def structural_score(identifier: Column, times: Column) -> Column:
     return (
         times
         + F.when(in_path, 120).otherwise(0)
-        + F.when(F.coalesce("has_class", F.lit(False)) & (times > 0), 80).otherwise(0)
-        + F.when(F.coalesce("has_wire_name", F.lit(False)), 60).otherwise(0)
+        + F.when(F.coalesce(has_class, F.lit(False)) & (times > 0), 80).otherwise(0)
+        + F.when(F.coalesce(has_wire_name, F.lit(False)), 60).otherwise(0)
         + F.when(F.col("title").contains("EventType"), 50).otherwise(0)
     ).cast("double")
 
 
 def anchor_score(identifier: Column) -> Column:
     """The same for rows that carry their body."""
-    return structural_score(identifier, looks_repeated(F.lower("page_content"), F.lower(identifier)))
+    return structural_score(identifier, looks_repeated(F.lower("page_content"), F.lower(identifier)), *body_flags())
 
 
 def exact_identifier_lookup(chunks: DataFrame, identifiers: DataFrame, fields: Sequence[str], k: int = 12) -> DataFrame:
@@ -149,7 +149,8 @@ def exact_identifier_lookup(chunks: DataFrame, identifiers: DataFrame, fields: S
         "query_id", "identifier", "chunk_id", "times"
     )
     pairs = by_field.unionByName(by_body).groupBy("query_id", "identifier", "chunk_id").agg(F.max("times").alias("times"))
-    base = with_body_flags(plain).select("chunk_id", "title", "structure_path", "has_class", "has_wire_name", *known)
+    has_class, has_wire_name = body_flags()  # so that bodies need not travel
+    base = plain.select("chunk_id", "title", "structure_path", has_class.alias("has_class"), has_wire_name.alias("has_wire_name"), *known)
     found = pairs.join(base, "chunk_id")
     issue = current = F.lit(False)
     if "issue_key" in base.columns:
@@ -159,7 +160,7 @@ def exact_identifier_lookup(chunks: DataFrame, identifiers: DataFrame, fields: S
     if "chunk_kind" in base.columns:
         current = F.coalesce(F.col("chunk_kind") == "CURRENT", current)
     scored = found.groupBy("query_id", "chunk_id").agg(
-        F.max(structural_score(F.col("identifier"), F.col("times"))).alias("anchor_score"), F.max(issue).alias("_issue"), F.max(current).alias("_current"))
+        F.max(structural_score(F.col("identifier"), F.col("times"), F.col("has_class"), F.col("has_wire_name"))).alias("anchor_score"), F.max(issue).alias("_issue"), F.max(current).alias("_current"))
     order = Window.partitionBy("query_id").orderBy(F.desc("_issue"), F.desc("_current"), F.desc("anchor_score"), F.asc("chunk_id"))
     return scored.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).drop("_issue", "_current")
 

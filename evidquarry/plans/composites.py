@@ -249,14 +249,16 @@ def c18_population_list(t):
     return joined.join(incomplete, "parent_id", "left_anti").select("parent_id", line.alias("line"))
 
 
+_SHAPED = """'| Field | Value | Note |' || chr(10) || '|---|---|---|' || chr(10) || '| brand | ' || CASE WHEN p_size % 7 = 0 THEN 'N/A' ELSE p_brand END || ' | [SOURCE 1] |'
+ || chr(10) || '| type | ' || p_type || CASE WHEN p_retailprice > 950 THEN ' | [SOURCE 3] |' ELSE ' | bare |' END || chr(10) || '| size | ' || CAST(p_size AS STRING) || ' | [SOURCE 2] |'"""
+
+
 @query("c20_table_claim_shape", """
-SELECT p_partkey, '| Field | Value | Note |' || chr(10) || '|---|---|---|' || chr(10) || '| size | ' || p_size || ' | [SOURCE 2] |' AS shaped FROM part""")
+SELECT p_partkey, '| Field | Value | Note |' || chr(10) || '|---|---|---|' || chr(10) || CASE WHEN p_size % 7 = 0 THEN '' ELSE '| brand | ' || p_brand || ' | [SOURCE 1] |' || chr(10) END
+  || CASE WHEN p_retailprice > 950 THEN '| type | ' || p_type || ' | [SOURCE 3] |' || chr(10) ELSE '' END || '| size | ' || p_size || ' | [SOURCE 2] |' AS shaped FROM part""")
 def c20_table_claim_shape(t):
-    table = F.concat(
-        F.lit("| Field | Value | Note |\n|---|---|---|\n| brand | N/A | [SOURCE 1] |\n| type | "), "p_type", F.lit(" | bare |\n| size | "),
-        F.col("p_size").cast("string"), F.lit(" | [SOURCE 2] |"),
-    )
-    rows = t.read("part").select("p_partkey", MD.classified_lines(table).alias("lines"))
+    """Rows of a part's table without a source, or without a value, are pruned."""
+    rows = t.read("part").selectExpr("p_partkey", f"{_SHAPED} AS md").select("p_partkey", MD.classified_lines(F.col("md")).alias("lines"))
     bad = F.filter(
         MD.material_claims(F.col("lines")),
         lambda c: ~c["text"].rlike(C.MARKER) | c["text"].rlike(r"(?i)(?<!\w)N\s*/?\s*A(?!\w)"),

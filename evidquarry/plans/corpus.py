@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from evidquarry.functions import text as X
 from evidquarry.operators import suites as SU
@@ -17,9 +17,9 @@ _BLOCK = "</?(br|div|h1|h2|h3|h4|h5|h6|li|p|pre|td|th|tr)(\\s[^>]*)?/?>"
 
 
 @query("s19_html_text_lines", f"""
-SELECT page_id, array_to_string(list_filter(list_transform(string_split(replace(replace(replace(replace(replace(replace(
+SELECT page_id, array_to_string(list_filter(list_transform(string_split(replace(replace(replace(replace(replace(replace(replace(replace(
   regexp_replace(regexp_replace(regexp_replace(replace(html, '"</p>"', '"' || chr(1) || '/p>"'), '<!--.*?-->|<![^>]*>', '', 'gs'), '{_BLOCK}', chr(10), 'gi'), '</?[A-Za-z][^>]*>', '', 'g'),
-  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), chr(1), '<'), chr(10)),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), chr(1), '<'), chr(10)),
   lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS lines FROM pages""")
 def s19_html_text_lines(t):
     return t.read("pages").select("page_id", F.array_join(text_lines(F.col("html")), "\n").alias("lines"))
@@ -96,12 +96,14 @@ def s23_question_index(t):
 
 
 @query("s8_canonical_question_lookup", """
-SELECT p_partkey, 'QUESTION-' || upper(p_type) AS group_id FROM part WHERE lower(p_name) = 'red widget' ORDER BY p_partkey LIMIT 24""")
+SELECT asked, p_partkey, 'QUESTION-' || upper(p_type) AS group_id FROM (SELECT lower(p_name) AS asked, p_partkey, p_type, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS k FROM part) WHERE k <= 24""")
 def s8_canonical_question_lookup(t):
-    asked = F.array_join(F.regexp_extract_all(F.lower(F.lit("WHERE is, red widget")), F.lit("[a-z0-9à-ÿ]+"), 0), " ")
-    rows = SU.question_index(t.read("part").selectExpr("p_partkey", f"{_INDEX} AS md"), "p_partkey", "md")
-    key = F.array_join(F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9à-ÿ]+"), 0), " ")
-    return rows.where(key == asked).orderBy("p_partkey").limit(24).select("p_partkey", "group_id")
+    """Every part name asked about in other words and case, looked up among the indexed questions, 24 each."""
+    fold = lambda c: F.array_join(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9à-ÿ]+"), 0), " ")
+    asked = t.read("part").select(F.lower("p_name").alias("asked")).distinct().withColumn("key", fold(F.concat(F.lit("WHERE is, "), F.upper("asked"))))
+    rows = SU.question_index(t.read("part").selectExpr("p_partkey", f"{_INDEX} AS md"), "p_partkey", "md").withColumn("key", fold(F.col("question")))
+    nth = F.row_number().over(Window.partitionBy("asked").orderBy("p_partkey"))
+    return rows.join(asked, "key").withColumn("k", nth).where("k <= 24").select("asked", "p_partkey", "group_id")
 
 
 @query("r12_route_directive", """
