@@ -47,7 +47,7 @@ def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     members = copies.unionByName(copies.select(F.col("component_id").alias("_row"), "component_id").distinct())
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
     stay = members.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min_by("_row", order).alias("_row"))
-    gone = members.join(stay, "_row", "left_anti").select("_row")
+    gone = stored(members.join(stay, "_row", "left_anti").select("_row"), "gone")  # its size is known before the texts move
     return keyed.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
