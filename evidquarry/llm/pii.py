@@ -251,7 +251,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def digest_columns(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     names = F.array(*map(F.lit, KINDS))
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s.kind + 1), s.start, s.end)), ",")
-    counts = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    count = lambda k: F.size(F.filter("base", lambda s: s.kind == k)).cast("long")  # noqa: E731  (a second parameter would be the place in the array)
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select(id_col, *counts, F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
 
 

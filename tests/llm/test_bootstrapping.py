@@ -22,3 +22,10 @@ def test_a_context_with_many_unseen_identifiers_finds_them(spark, unseen):
     assert any(got[200 + i].base for i in range(100))
     for i in range(100, len(texts)):
         assert got[i].spans == got[i].base
+
+
+def test_counts_are_of_their_own_kind(spark):
+    texts = ["mail a@b.cc", "hosts 1.2.3.4 and 5.6.7.8", "card 4111 1111 1111 1111", "call +1 234 567 8901", "none", None]
+    docs = spark.createDataFrame([(i, text) for i, text in enumerate(texts)], "doc_id long, text string")
+    got = sorted(pii.digest_columns(pii.personal_data(docs)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone").collect())
+    assert [tuple(r)[1:] for r in got] == [(1, 0, 0, 0), (0, 2, 0, 0), (0, 0, 1, 0), (0, 0, 0, 1), (0, 0, 0, 0), (0, 0, 0, 0)]
