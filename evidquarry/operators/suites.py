@@ -109,9 +109,12 @@ def row_fingerprints(rows: DataFrame, columns: list[str]) -> DataFrame:
 def set_digest(digests: DataFrame) -> DataFrame:
     """Order-free fingerprint of a row set: count, xor and sum of digest prefixes.
 
-    Constant memory per task, unlike hashing one sorted list of every row.
+    Constant memory per task, unlike hashing one sorted list of every row. The sum is taken
+    modulo 2^64 as a signed number: some 65,000 prefixes add up to more than a bigint holds.
     """
     value = F.conv(F.substring("digest", 1, 12), 16, 10).cast("bigint")
+    half, whole = (F.lit(str(2**n)).cast("decimal(20,0)") for n in (63, 64))
+    total = F.sum(value.cast("decimal(15,0)"))
     return digests.agg(
-        F.count(F.lit(1)).alias("record_count"), F.bit_xor(value).alias("xor_digest"), F.sum(value).alias("sum_digest")
+        F.count(F.lit(1)).alias("record_count"), F.bit_xor(value).alias("xor_digest"), (F.pmod(total + half, whole) - half).cast("bigint").alias("sum_digest")
     )
