@@ -14,6 +14,8 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
+from evidquarry.functions.text import bound
+
 # The shapes of Markdown lines and the limits of a readable table.
 SEPARATOR = r"^\s*\|?[\s:|-]*-{2,}[\s:|-]*\|?\s*$"
 HEADING = r"^#{1,6}\s"
@@ -248,8 +250,13 @@ def claim_key(value: Column) -> Column:
 def pruned(lines: Column, rejected: Column) -> Column:
     """The text without rejected claims; tables left without rows lose their header.
 
-    *rejected* is an array of claim keys.
+    *rejected* is an array of claim keys. It and the rewritten lines are bound: every line and
+    its neighbours look at them.
     """
+    return bound(rejected, lambda keys: bound(_rewritten(lines, keys), _without_bare_headers))
+
+
+def _rewritten(lines: Column, rejected: Column) -> Column:
     kept = F.filter(
         lines,
         lambda l: ~(l["kind"].isin("TABLE_ROW", "LIST_ITEM") & F.array_contains(rejected, claim_key(l["text"]))),
@@ -262,8 +269,10 @@ def pruned(lines: Column, rejected: Column) -> Column:
             F.array_join(F.transform(parts, lambda s: F.trim(s)), " "),
         ).otherwise(l["text"])
 
-    texts = F.transform(kept, rewrite)
+    return F.transform(kept, rewrite)
+
 
+def _without_bare_headers(texts: Column) -> Column:
     def pipe(line: Column) -> Column:
         return F.coalesce(line.contains("|") & ~line.rlike(SEPARATOR), F.lit(False))
 
