@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidquarry.functions.text import fold_accents
+from evidquarry.functions.text import bound, fold_accents
 from evidquarry.operators import routing as RT
 from evidquarry.plans.registry import ctes, query
 from evidquarry.sources.tables import ISSUE_COLUMNS
@@ -77,8 +77,8 @@ SELECT o_orderkey, CASE WHEN labels LIKE '%POS' THEN op WHEN o_orderstatus = 'F'
     CASE WHEN fl AND NOT (labels NOT LIKE '%POS' AND o_orderstatus = 'F') THEN 'status_category_key=' || CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'new' ELSE 'indeterminate' END END], lambda x: x IS NOT NULL)), ';') AS merged FROM iq""")
 def r3_follow_up_merge(t):
     """What follows an issue question: other labels where the row has one, blocked ones where it is done, else the next page."""
-    first = RT.structured_query(F.col("q"))
-    scope = F.struct(first["operation"].alias("operation"), first["filters"].alias("filters"), F.lit(RT.PAGE_SIZE).alias("next_offset"))
+    scope = bound(RT.structured_query(F.col("q")), lambda first: F.struct(
+        first["operation"].alias("operation"), first["filters"].alias("filters"), F.lit(RT.PAGE_SIZE).alias("next_offset")))
     asked = F.when(F.col("labels").endswith("POS"), "what about KIOSK?").when(F.col("o_orderstatus") == "F", "and how many are blocked?").otherwise("show more")
     found = issue_questions(t).select("o_orderkey", asked.alias("asked"), scope.alias("scope")).select("o_orderkey", RT.continued_query(F.col("scope"), F.col("asked")).alias("s"))
     entries = F.array_sort(F.transform(F.map_entries("s.filters"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ","))))
