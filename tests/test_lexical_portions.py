@@ -30,3 +30,12 @@ def test_rows_over_the_bar_are_sorted_in_a_few_times(monkeypatch):
     want = [(q, int(ids[i]), scores[i, q]) for q in range(40) for i in sorted(range(3000), key=lambda i: (-scores[i, q], ids[i]))[:5]]
     assert list(zip(got["query_id"], got["chunk_id"], got["score"], strict=True)) == want
     assert len(sorts) < 100
+
+
+def test_frequencies_of_repeated_chunks_are_those_of_their_postings(spark, monkeypatch):
+    rows = [(1, "Alpha alpha beta fooBar"), (2, "beta gamma"), (2, "beta gamma"), (3, "beta one more"), (3, "delta"), (None, "alpha"), (None, "omega"), (4, None), (5, "")]
+    chunks = spark.createDataFrame([(i, t, "Beta title") for i, t in rows], "chunk_id long, page_content string, title string")
+    want = {r.term: r.df for r in lexical.document_frequency(lexical.postings(chunks)).collect()}
+    assert {r.term: r.df for r in lexical.term_frequency(chunks).collect()} == want
+    monkeypatch.setattr(lexical, "REPEATED", 0)
+    assert {r.term: r.df for r in lexical.term_frequency(chunks).collect()} == want
