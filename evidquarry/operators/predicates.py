@@ -3,7 +3,8 @@
 Trees become node rows. Leaves are looked up all at once: ``equals`` by a join on the folded
 value, ``contains`` by one pass over the field's texts (and a second one over the texts with
 all but letters and digits left out, which forgives punctuation). Inner nodes then hold for the
-chunks that enough of their children hold for, level by level from the deepest up.
+chunks that enough of their children hold for, level by level from the deepest up: the rarest
+children name the chunks, so a child that holds nearly everywhere is not spread over all cases.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import json
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evidquarry.functions.text import casefold
 from evidquarry.operators.phrases import found_in
@@ -69,17 +70,40 @@ def matching(chunks: DataFrame, nodes: DataFrame, key: str, fields: Sequence[str
     """Rows (case_id, *key*) of the chunks for which a case's whole tree holds.
 
     Leaves over other fields than *fields* hold nowhere. A missing field counts as empty.
+    Equal leaves of all cases are one condition, looked up and stored once.
     """
     spark = chunks.sparkSession
-    path = shared_path(spark, "predicates")
-    nodes.write.parquet(path)
-    nodes = spark.read.schema(nodes.schema).parquet(path).withColumn("leaf", F.concat_ws(":", "case_id", "node"))
-    asked = {(r.field, r.operation) for r in nodes.where("needed = 0").select("field", "operation").distinct().collect() if r.field in (*fields, None)}
-    held = spark.createDataFrame([], f"leaf string, {key} {chunks.schema[key].dataType.simpleString()}")
+    nodes = _stored(nodes, "predicates").withColumn("leaf", F.concat_ws(":", "case_id", "node"))
+    leaves = nodes.where("needed = 0").withColumn("needle", casefold(F.coalesce("value", F.lit(""))))
+    kinds = ["field", "operation", "needle"]
+    conditions = _stored(leaves.groupBy(*kinds).agg(F.min("leaf").alias("what"), F.collect_set("leaf").alias("leaves")), "conditions")
+    facts = _stored(_held(chunks, conditions, key, fields), "held")
+    places = nodes.select("leaf", "case_id", F.col("node").alias("slot"), F.col("parent").alias("up"), "depth").distinct()
+    places = places.join(conditions.select("what", F.explode("leaves").alias("leaf")), "leaf").drop("leaf").distinct()
+    inner = nodes.where("needed > 0").select("case_id", F.col("node").alias("up"), F.col("parent").alias("above"), "needed").distinct()
+    risen = spark.createDataFrame([], f"case_id bigint, up bigint, slot bigint, what string, {key} {chunks.schema[key].dataType.simpleString()}")
+    for depth in range(nodes.agg(F.max("depth")).first()[0] or 0, 0, -1):
+        slots = places.where(F.col("depth") == depth).select("case_id", "up", "slot", "what").unionByName(risen.drop(key).distinct())
+        known = facts.unionByName(risen.select("what", key).distinct())
+        risen = _stored(_risen(slots, known, inner, key), "risen")
+    roots = places.where("depth = 0 and up is null").join(facts, "what").select("case_id", key)
+    return roots.unionByName(risen.where("up is null").select("case_id", key)).distinct()
+
+
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _held(chunks: DataFrame, conditions: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """Rows (what, *key*) of the chunks that each condition holds for."""
+    spark = chunks.sparkSession
+    asked = {(r.field, r.operation) for r in conditions.select("field", "operation").distinct().collect() if r.field in (*fields, None)}
+    held = spark.createDataFrame([], f"what string, {key} {chunks.schema[key].dataType.simpleString()}")
     for field, operation in sorted(asked, key=str):
-        leaves = nodes.where((F.col("needed") == 0) & F.col("field").eqNullSafe(F.lit(field)) & (F.col("operation") == operation))
+        wanted = conditions.where(F.col("field").eqNullSafe(F.lit(field)) & (F.col("operation") == operation)).select(F.col("what").alias("needle_id"), "needle")
         actual = casefold(F.coalesce(F.col(field).cast("string"), F.lit(""))) if field else F.lit("")
-        wanted = leaves.select(F.col("leaf").alias("needle_id"), casefold(F.coalesce("value", F.lit(""))).alias("needle"))
         if operation == "equals":
             found = chunks.select(key, actual.alias("needle")).join(wanted, "needle").select("needle_id", key)
         elif operation == "contains":
@@ -90,12 +114,29 @@ def matching(chunks: DataFrame, nodes: DataFrame, key: str, fields: Sequence[str
             found = found_in(chunks, key, actual, wanted).select("needle_id", key)
         else:
             continue
-        held = held.unionByName(found.withColumnRenamed("needle_id", "leaf"))
-    held = held.join(nodes.select("leaf", "case_id", "node", "parent", "depth"), "leaf").select("case_id", "node", "parent", "depth", key).distinct()
-    inner = nodes.where("needed > 0").select("case_id", F.col("node").alias("up"), F.col("parent").alias("above"), "needed")
-    for depth in range(nodes.agg(F.max("depth")).first()[0] or 0, 0, -1):
-        counted = held.where(F.col("depth") == depth).groupBy("case_id", F.col("parent").alias("up"), key).agg(F.count(F.lit(1)).alias("n"))
-        risen = counted.join(inner, ["case_id", "up"]).where("n >= needed").select(
-            "case_id", F.col("up").alias("node"), F.col("above").alias("parent"), F.lit(depth - 1).alias("depth"), key)
-        held = held.where(F.col("depth") < depth).unionByName(risen)
-    return held.where("parent is null").select("case_id", key).distinct()
+        held = held.unionByName(found.withColumnRenamed("needle_id", "what"))
+    return held.distinct()
+
+
+def _risen(slots: DataFrame, facts: DataFrame, inner: DataFrame, key: str) -> DataFrame:
+    """The inner nodes that hold, as slots of their own parents: case_id, up, slot, what, *key*.
+
+    *slots* (case_id, up, slot, what) are the children of one level, *facts* (what, *key*) where they hold.
+    Where *needed* of m children must hold, one of any m - needed + 1 does: chunks come from as many
+    of the rarest children, and only for these chunks the others are asked.
+    """
+    counts = facts.groupBy("what").agg(F.count(F.lit(1)).alias("n"))
+    sizes = slots.join(counts, "what").groupBy("case_id", "up", "slot").agg(F.sum("n").alias("n"))
+    family = Window.partitionBy("case_id", "up")
+    ranked = sizes.select("case_id", "up", "slot", F.row_number().over(family.orderBy("n", "slot")).alias("place"), F.count(F.lit(1)).over(family).alias("m"))
+    children = slots.join(ranked, ["case_id", "up", "slot"]).join(inner, ["case_id", "up"]).withColumn("leads", F.col("place") <= F.col("m") - F.col("needed") + 1)
+    children = _stored(children.drop("place", "m"), "children")
+    parent = ["case_id", "up", "above", "needed"]
+    first = _stored(children.where("leads").join(facts, "what").select(*parent, "slot", key).distinct(), "first")
+    others = children.where("not leads").select("case_id", "up", F.col("above").alias("_above"), F.col("needed").alias("_needed"), "slot", F.col("what").alias("_what"))
+    asked = first.select(*parent, F.col(key).alias("_key")).distinct().join(others, ["case_id", "up"]).where(
+        F.col("above").eqNullSafe(F.col("_above")) & (F.col("needed") == F.col("_needed")))
+    more = asked.join(facts, (F.col("_what") == F.col("what")) & F.col("_key").eqNullSafe(F.col(key))).select(*parent, "slot", key)
+    counted = first.unionByName(more.distinct()).groupBy(*parent, key).agg(F.count(F.lit(1)).alias("n")).where("n >= needed")
+    return counted.select(
+        "case_id", F.col("above").alias("up"), F.col("up").alias("slot"), F.concat_ws(":", F.lit("inner"), "case_id", "up", "above").alias("what"), key).distinct()

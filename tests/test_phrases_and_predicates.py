@@ -66,3 +66,25 @@ def test_letters_beyond_latin_one_are_folded(spark):
     rows = spark.createDataFrame([("Őrült ŞİŞLİ čaj Ǆ",), ("café Ｘ",), ("Straße ﬁ",)], "t string")
     got = [r[0] for r in rows.select(F.array_join(normalized_words(F.col("t")), " ")).collect()]
     assert got[0].startswith("orult sisli caj") and got[1].startswith("cafe") and got[2].startswith("strasse")
+
+
+def test_a_condition_of_many_cases_is_held_once(spark, monkeypatch):
+    sizes = {}
+    kept = predicates._stored
+
+    def stored(df, label):
+        out = kept(df, label)
+        sizes[label] = max(sizes.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(predicates, "_stored", stored, raising=False)
+    rows = [(i, f"text {i:03} end", "EN") for i in range(300)] + [(None, "text 005 end", "en")]
+    trees = [(c, json.dumps({"all_of": [{"field": "lang", "equals": "En"}, {"field": "body", "contains": f"text {c:03} "}]})) for c in range(50)]
+    trees += [(70, json.dumps({"all_of": []})), (71, json.dumps({"field": "lang", "equals": "es"})), trees[3]]
+    frame = spark.createDataFrame(rows, "chunk_id long, body string, lang string")
+    nodes = predicates.predicate_nodes(spark.createDataFrame(trees, "case_id long, tree string"), "case_id", "tree")
+    got = [tuple(r) for r in predicates.matching(frame, nodes, "chunk_id", ("body", "lang")).collect()]
+    everywhere = [(70, i) for i in [*range(300), None]]
+    assert sorted(got, key=str) == sorted([*((c, c) for c in range(50)), (5, None), *everywhere], key=str)
+    # 300 and one English chunks once, not for each of the 50 cases
+    assert sizes["held"] <= 301 + 301 + 51 + 50 and sizes["first"] <= 51
