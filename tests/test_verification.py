@@ -147,3 +147,15 @@ def test_releases_are_switched_and_rolled_back_by_checksum(spark, tmp_path):
     assert cached_frame(spark, str(tmp_path / "c"), "k", lambda: spark.range(9), 4, 5)[1]
     frame, held = cached_frame(spark, str(tmp_path / "c"), "k", lambda: spark.range(9), 5, 5)
     assert (frame.count(), held) == (9, False)
+
+
+def test_repair_tokenizes_the_chunks_once(spark, monkeypatch):
+    read, kept = [], lexical.bags
+    for module in (lexical, repair):
+        monkeypatch.setattr(module, "bags", lambda chunks: read.append(1) or kept(chunks), raising=False)
+    chunks = spark.createDataFrame([(1, "Alpha_Beta gamma", "deltaword"), (2, "alpha gamma", "other"), (3, None, "x")], "chunk_id long, page_content string, symbol string")
+    asked = spark.createDataFrame([(1, "gamma beta deltaword")], "query_id long, question string")
+    needs = asked.select("query_id", F.posexplode(repair.term_requirements(F.col("question"))).alias("place", "term"))
+    row = repair.repaired(chunks, asked, needs).first()
+    assert len(read) == 1
+    assert (row.attempts, row.missing) == (3, "deltaword") and row.chunks.split(",")[0] == "1"  # a symbol is searched but covers nothing
