@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from evidquarry.operators import fusion, lexical, ranking as R, scans
 from evidquarry.plans.registry import ctes, query
-from evidquarry.plans.retrieval import _AUTH_SQL, _BODY, CHUNK_META, DENSE_CTES, LEX_CTES, POOL, dense_top, lexical_top, questions, sql_tokens
+from evidquarry.plans.retrieval import _AUTH_SQL, _BODY, CHUNK_META, DENSE_CTES, LEX_CTES, POOL, dense_top, questions, sql_tokens
 from evidquarry.session import shared_path
 from evidquarry.sources.tables import CALLER_POLICIES, PROJECT
 
@@ -48,15 +48,16 @@ SELECT * FROM (SELECT query_id, chunk_id, p.l AS lane, row_number() OVER (PARTIT
 def c2_full_chain(t):
     """Two wordings and the dense channel fused, authorized, deduplicated, weak ones removed, each
     wording's best preserved, and exact identifier matches put in front."""
-    second = questions(t).selectExpr("query_id", "substring(question, length(question) DIV 2 + 1) AS question")
-
-    def run(ranked, variant, rank):
-        return ranked.select("query_id", F.lit(variant).alias("variant"), F.col(rank).alias("rank"), "chunk_id", F.lit(0.0).alias("score"))
-
-    runs = run(lexical_top(t), 0, "lexical_rank").unionByName(run(lexical.bm25_top_k(t.chunks(), second, POOL), 1, "lexical_rank")).unionByName(
+    wordings = questions(t).select("query_id", F.lit(0).alias("variant"), "question").unionByName(
+        questions(t).selectExpr("query_id", "1 AS variant", "substring(question, length(question) DIV 2 + 1) AS question"))
+    ranked = lexical.wordings_top_k(t.chunks(), wordings, POOL, 2)
+    runs = ranked.select("query_id", "variant", F.col("lexical_rank").alias("rank"), "chunk_id", F.lit(0.0).alias("score")).unionByName(
         dense_top(t).select("query_id", F.lit(2).alias("variant"), F.col("dense_rank").alias("rank"), "chunk_id", "score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), F.desc("score"), "chunk_id")
     fused = fusion.multi_query(runs).withColumn("ord", F.row_number().over(best)).where(F.col("ord") <= POOL)
+    path = shared_path(t.spark, "fused")  # so that the pool is known to be small where the texts join it
+    fused.write.parquet(path)
+    fused = t.spark.read.schema(fused.schema).parquet(path)
     allowed = t.chunks().drop("ord").where(scans.authorized(PROJECT, CALLER_POLICIES))
     pool = R.dedup_bodies(fused.join(allowed.where("doc_category <> 'index'"), "chunk_id"))
     weak = (F.col("score") < 0.30) & F.col("primary_rank").isNull()

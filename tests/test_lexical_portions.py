@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from evidquarry.operators import best, lexical
 
@@ -39,3 +40,19 @@ def test_frequencies_of_repeated_chunks_are_those_of_their_postings(spark, monke
     assert {r.term: r.df for r in lexical.term_frequency(chunks).collect()} == want
     monkeypatch.setattr(lexical, "REPEATED", 0)
     assert {r.term: r.df for r in lexical.term_frequency(chunks).collect()} == want
+
+
+def test_wordings_are_ranked_in_one_pass(spark, monkeypatch):
+    passes, scored = [], lexical._scored_block
+    monkeypatch.setattr(lexical, "_scored_block", lambda *a: passes.append(1) or scored(*a))
+    chunks = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} common") for i in range(40)], "chunk_id long, page_content string")
+    first = [(q, 0, f"w{q % 7} common") for q in (-3, 0, 4, 9)]
+    second = [(-3, 1, "w2"), (0, 1, ""), (4, 1, "w1 w3"), (9, 1, None)]
+    frame = spark.createDataFrame(first + second, "query_id long, variant int, question string")
+    got = {tuple(r) for r in lexical.wordings_top_k(chunks, frame, 6, 2).select("query_id", "variant", "chunk_id", "lexical_score", "lexical_rank").collect()}
+    assert len(passes) == 1
+    want = set()
+    for variant in (0, 1):
+        asked = frame.where(F.col("variant") == variant)
+        want |= {(r.query_id, variant, r.chunk_id, r.lexical_score, r.lexical_rank) for r in lexical.bm25_top_k(chunks, asked, 6).collect()}
+    assert got == want and len(got) == 8 * 6
